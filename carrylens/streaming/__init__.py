@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analysis this library re-expresses is batch only: every input is either
+pinned to one block or a finished event table, and it has no watermark,
+stream window or stateful operator.  Nothing is built here on purpose; the
+batch jobs in :mod:`carrylens.operators` are plain DataFrame transforms, so a
+caller who lands events incrementally can run them inside
+``writeStream.foreachBatch`` unchanged.
+"""
