@@ -13,9 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels, units
 from ..functions.units import r8, safe_div, scale
 from ..operators import ledger, positions
 from ..sources import standins as S
+from ..sources.standins import ZERO_ADDRESS  # noqa: F401
 
 # Fixed parameters of the catalog queries (FIXTURES.md, "Parameters").
 MIN_DEBT = 500_000.0
@@ -189,3 +191,171 @@ def params_cross_join(spark, sf):
     j = b.crossJoin(F.broadcast(params))
     return j.groupBy("debt_asset", "ltv_min", "ltv_max").agg(
         F.count(F.lit(1)).alias("n_borrows"), scale(F.sum(F.col("amount").cast("decimal(38,0)")), S.UNIT).alias("borrowed"))
+
+
+# ============================================================ transfers
+@query
+def scan_transfers(spark, sf):
+    """SRC-1: one transfer scan for every watched contract, filter pushed."""
+    s = S.StandIns(spark, sf)
+    t = s.transfers.filter(F.col("contract_address").isin(S.ASSET, S.SHARE, S.ATOKEN, S.DTOKEN))
+    return t.groupBy("contract_address").agg(F.count(F.lit(1)).alias("n_transfers"),
+                                             scale(F.sum(F.col("value").cast("decimal(38,0)")), S.UNIT).alias("volume"))
+
+
+@query
+def vault_net_flow(spark, sf):
+    """PF-4: per-transfer signed flow relative to the vault, asset contract."""
+    s = S.StandIns(spark, sf)
+    f = ledger.flow_kinds(s.transfers, [S.ASSET], S.VAULT)
+    return f.filter((F.col("from") == S.VAULT) | (F.col("to") == S.VAULT)).select(
+        "from", "to", F.to_date("evt_block_time").alias("day"), scale("vault_flow", S.UNIT).alias("flow"))
+
+
+@query
+def mint_burn_flow(spark, sf):
+    """PF-5: per-transfer mint (+) / burn (-) flow of the share token."""
+    s = S.StandIns(spark, sf)
+    z = S.ZERO_ADDRESS
+    f = ledger.flow_kinds(s.transfers, [S.SHARE], None)
+    return f.filter((F.col("from") == z) | (F.col("to") == z)).select(
+        "from", "to", F.to_date("evt_block_time").alias("day"), scale("mint_flow", S.UNIT).alias("flow"))
+
+
+@query
+def daily_net_flows(spark, sf):
+    """AG-2: daily vault and mint/burn net flows of four contracts, one pass."""
+    s = S.StandIns(spark, sf)
+    return ledger.daily_net_flows(s.transfers, [S.ASSET, S.SHARE, S.ATOKEN, S.DTOKEN], S.VAULT, S.UNIT)
+
+
+@query
+def exchange_rate_scalar(spark, sf):
+    """J-2 scalar / AG-1: vault assets over share supply."""
+    return _rate(S.StandIns(spark, sf)).select(
+        "total_assets", "total_shares", r8(F.col("exchange_rate")).alias("exchange_rate"))
+
+
+@query
+def distinct_holders(spark, sf):
+    """J-30 / SO-2 / SO-3 / SL-6: every address that ever held either position token."""
+    s = S.StandIns(spark, sf)
+    return ledger.distinct_holders(s.transfers, [S.ATOKEN, S.DTOKEN])
+
+
+# ===================================================== calendar and carry
+from datetime import date  # noqa: E402
+
+from ..operators import series  # noqa: E402
+
+CARRY = series.CarryParams(
+    asset=S.ASSET, vault=S.VAULT, a_token=S.ATOKEN, debt_token=S.DTOKEN, reserve_factor=0.25,
+    start_day=S.CAL_START, end_day=S.CAL_END, window_start=S.WINDOW_START, unit=S.UNIT,
+)
+PERIODS = [(date(1998, 1, 1), "1. 1996-1997"), (date(2000, 1, 1), "2. 1998-1999")]
+LAST_PERIOD = "3. 2000-2001"
+DIVERGENCE_TOL = 0.05
+
+
+@query
+def calendar(spark, sf):
+    """SC-4 / SC-5: dense day calendar between two argument dates."""
+    S.StandIns(spark, sf)
+    return series.calendar(spark, CARRY.start_day, CARRY.end_day)
+
+
+@query
+def calendar_labels(spark, sf):
+    """SC-2 / SC-3: year, quarter and month labels of every day with flows."""
+    s = S.StandIns(spark, sf)
+    d = series.densified_flows(spark, s.transfers, CARRY)
+    return d.select("day", labels.year_label("day").alias("year"), labels.quarter_label("day").alias("quarter"),
+                    labels.month_label("day").alias("month"))
+
+
+@query
+def period_label(spark, sf):
+    """PF-13: open-ended period label per day with rates."""
+    s = S.StandIns(spark, sf)
+    r = series.latest_per_day(s.reserve_updates, S.ASSET, CARRY.start_day)
+    return r.select("day", labels.period_label("day", PERIODS, LAST_PERIOD).alias("period"))
+
+
+@query
+def calendar_densify(spark, sf):
+    """JN-6 / PF-11: calendar left-joined to the four daily flows, NULL -> 0."""
+    s = S.StandIns(spark, sf)
+    d = series.densified_flows(spark, s.transfers, CARRY)
+    return d.select("day", *[scale(k, S.UNIT).alias(k) for k in ("a_net", "d_net", "u_net", "s_net")])
+
+
+@query
+def latest_per_day(spark, sf):
+    """AG-17 / WN-6 / SRC-4: last rate update of each day."""
+    s = S.StandIns(spark, sf)
+    return series.latest_per_day(s.reserve_updates, S.ASSET, CARRY.start_day)
+
+
+@query
+def running_balances(spark, sf):
+    """WN-4: running scaled balances, vault assets and shares over the calendar."""
+    s = S.StandIns(spark, sf)
+    return series.running_state(spark, s.transfers, CARRY)
+
+
+@query
+def exchange_rate_daily(spark, sf):
+    """J-2 daily: vault exchange rate per calendar day."""
+    s = S.StandIns(spark, sf)
+    e = series.exchange_rate_daily(series.running_state(spark, s.transfers, CARRY))
+    return e.select("day", r8(F.col("exch_rate")).alias("exch_rate"))
+
+
+@query
+def annualised_yield_30d(spark, sf):
+    """J-13 / WN-5: 30-row lagged annualised growth of the exchange rate."""
+    s = S.StandIns(spark, sf)
+    e = series.annualised_growth(series.exchange_rate_daily(series.running_state(spark, s.transfers, CARRY)), "exch_rate")
+    return e.select("day", r8(F.col("exch_rate_growth_30d")).alias("vault_apy_30d"))
+
+
+@query
+def reserve_balances_daily(spark, sf):
+    """J-9: actual supply and borrow = running scaled balance x index."""
+    s = S.StandIns(spark, sf)
+    d = series.reserve_daily(spark, s.reserve_updates, s.transfers, CARRY)
+    return d.select("day", "total_supply", "total_borrow")
+
+
+@query
+def utilisation_dual(spark, sf):
+    """J-10: utilisation from balances and from rates."""
+    s = S.StandIns(spark, sf)
+    d = series.utilisation(series.reserve_daily(spark, s.reserve_updates, s.transfers, CARRY), CARRY.reserve_factor)
+    return d.select("day", r8(F.col("utilisation_balances")).alias("utilisation_balances"),
+                    r8(F.col("utilisation_rates")).alias("utilisation_rates"))
+
+
+@query
+def utilisation_divergence(spark, sf):
+    """J-11: days where the two utilisation measures differ by more than a tolerance."""
+    s = S.StandIns(spark, sf)
+    d = series.utilisation(series.reserve_daily(spark, s.reserve_updates, s.transfers, CARRY), CARRY.reserve_factor)
+    gap = F.col("utilisation_balances") - F.col("utilisation_rates")
+    return d.filter(F.abs(gap) > DIVERGENCE_TOL).select("day", r8(gap).alias("utilisation_gap"))
+
+
+@query
+def apr_to_apy(spark, sf):
+    """J-12 / SC-6: per-second compounded APY of the daily rates."""
+    s = S.StandIns(spark, sf)
+    r = series.latest_per_day(s.reserve_updates, S.ASSET, CARRY.start_day)
+    return r.select("day", r8(units.apr_to_apy("borrow_apr")).alias("borrow_apy"),
+                    r8(units.apr_to_apy("supply_apr")).alias("supply_apy"))
+
+
+@query
+def carry_daily(spark, sf):
+    """J-14: the carry dashboard, 15 columns per day."""
+    s = S.StandIns(spark, sf)
+    return series.carry_daily(spark, s.reserve_updates, s.transfers, CARRY, PERIODS, LAST_PERIOD)

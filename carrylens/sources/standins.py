@@ -103,7 +103,7 @@ class StandIns:
     def borrow(self) -> DataFrame:
         u = F.col("user")
         k = (
-            F.when(u % 5 == 0, 60).when(u % 10 == 1, 110).when(u % 10 == 6, 100).otherwise(95)
+            F.when(u % 5 == 0, 80).when(u % 10 == 1, 150).when(u % 10 == 6, 135).otherwise(127)
         )
         x = self.lines.filter(F.col("f").isin("N", "A"))
         return x.select(
@@ -210,7 +210,7 @@ class StandIns:
         f, st, t = F.col("f"), F.col("st"), F.col("t")
         na = f.isin("N", "A")
         u = F.col("user")
-        k = F.when(u % 5 == 0, 60).when(u % 10 == 1, 110).when(u % 10 == 6, 100).otherwise(95)
+        k = F.when(u % 5 == 0, 80).when(u % 10 == 1, 150).when(u % 10 == 6, 135).otherwise(127)
         c = (
             F.when(na, F.col("cents") * 100)
             .when((f == "R") & (st == "O"), -F.col("cents") * F.col("d"))
@@ -239,20 +239,25 @@ class StandIns:
     @cached_property
     def account_words(self) -> DataFrame:
         """getUserAccountData-style return blobs: six 32-byte words
-        (collateral, debt, available in 1e-8 units; lt, ltv in bps; HF in
-        1e-4 units).  Accounts without a positive position return a short blob."""
-        p = self.positions_all
-        c, d = F.col("c_raw"), F.col("d_raw")
-        coll = c * 10_000
-        debt = d * 10_000
-        avail = F.greatest(c * 9200 - d * 10_000, F.lit(0))
-        hf = F.round(F.lit(9400.0) * c / d).cast("bigint")
-        full = F.concat(F.lit("0x"), _word(coll), _word(debt), _word(avail), _word(F.lit(9400)),
-                        _word(F.lit(9200)), _word(hf))
-        short = F.concat(F.lit("0x"), _word(coll), _word(debt))
+        (collateral, debt, available in 1e-8 base units priced at the vault
+        exchange rate; lt, ltv in bps; HF in 1e-4 units).  Accounts without a
+        positive position return a short blob (a failed read)."""
+        from ..operators.ledger import exchange_rate_scalar
+
+        rate = exchange_rate_scalar(self.transfers, ASSET, VAULT, UNIT).select("exchange_rate")
+        p = self.positions_all.crossJoin(F.broadcast(rate))
+        coll = F.round(F.col("c_raw").cast("double") * F.col("exchange_rate") * 1e4).cast("bigint")
+        debt = F.col("d_raw") * 10_000
+        p = p.select("user", coll.alias("cb"), debt.alias("db"))
+        cb, db = F.col("cb"), F.col("db")
+        avail = F.greatest(F.round(cb.cast("double") * 0.92).cast("bigint") - db, F.lit(0).cast("bigint"))
+        hf = F.round(F.lit(9400.0) * cb / db).cast("bigint")
+        full = F.concat(F.lit("0x"), _word(cb), _word(db), _word(avail), _word(F.lit(9400).cast("bigint")),
+                        _word(F.lit(9200).cast("bigint")), _word(hf))
+        short = F.concat(F.lit("0x"), _word(cb), _word(db))
         return p.select(
             F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), user_address("user").alias("address"),
-            F.when((c > 0) & (d > 0), full).otherwise(short).alias("data"),
+            F.when((cb > 0) & (db > 0), full).otherwise(short).alias("data"),
         )
 
     @cached_property
