@@ -97,7 +97,7 @@ def word_to_decimal(word: str | Column) -> Column:
     any token amount), else NULL (Hard 1).  ``try_*`` keeps ANSI from raising."""
     l0, l1, l2, l3 = word_limbs(word)
     fits = (l0 == 0) & (l1 == 0)
-    two64 = F.lit(18446744073709551616).cast(DecimalType(20, 0))
+    two64 = F.lit("18446744073709551616").cast(DecimalType(20, 0))
     hi = F.try_multiply(l2.cast(EXACT), two64)
     return F.when(fits, F.try_add(hi, l3).cast(EXACT))
 
@@ -124,8 +124,8 @@ def bit_is_set(bitmap: str | Column, i: int | Column) -> Column:
     """Bit test on a DECIMAL(38,0) bitmap of up to 128 bits (Hard 2): the
     bitmap is split into two 64-bit limbs so bit 64..127 work too."""
     b = col_(bitmap).cast(EXACT)
-    lo = F.pmod(b, F.lit(18446744073709551616).cast(EXACT))
-    hi = F.floor(b / F.lit(18446744073709551616).cast(EXACT))
+    lo = F.pmod(b, F.lit("18446744073709551616").cast(EXACT))
+    hi = F.floor(b / F.lit("18446744073709551616").cast(EXACT))
     i = F.lit(i) if isinstance(i, int) else i
     # shiftright on a double would lose bits: stay in decimal and use floor(x / 2^k) mod 2
     limb = F.when(i < 64, lo).otherwise(hi)

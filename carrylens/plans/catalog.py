@@ -359,3 +359,183 @@ def carry_daily(spark, sf):
     """J-14: the carry dashboard, 15 columns per day."""
     s = S.StandIns(spark, sf)
     return series.carry_daily(spark, s.reserve_updates, s.transfers, CARRY, PERIODS, LAST_PERIOD)
+
+
+# ================================================= raw logs and account words
+from ..operators import accounts  # noqa: E402
+from ..sources import decode  # noqa: E402
+
+WINDOW_FIRST, WINDOW_LAST, WINDOW_SIZE = 0, 999_999, 9_999
+ZERO_WORD = "0x" + "0" * 64
+HF_UNIT = 1e4  # the stand-in account records carry HF in 1e-4 units
+DUST_CUT = 1_000_000.0
+LARGE_CUT = 2_000_000.0
+LEVERAGE_CAP = 12.5
+PROFILE_K = 10
+AS_OF_BLOCK = 10_000
+
+
+def _decoded(s: S.StandIns) -> DataFrame:
+    return decode.decode_transfers(s.raw_logs, S.TRANSFER_TOPIC)
+
+
+def _accounts(s: S.StandIns) -> DataFrame:
+    return decode.decode_account_words(s.account_words, hf_unit=HF_UNIT)
+
+
+def _holder_legs(s: S.StandIns) -> DataFrame:
+    return positions.holder_legs(s.balances, S.ATOKEN, S.DTOKEN)
+
+
+def _loopers(s: S.StandIns) -> DataFrame:
+    return positions.both_legs_positive(_holder_legs(s), S.UNIT)
+
+
+def _mints(s: S.StandIns) -> DataFrame:
+    m = decode.filter_logs(s.raw_logs, S.TRANSFER_TOPIC, ZERO_WORD, S.ASSET)
+    return decode.decode_transfers(m, S.TRANSFER_TOPIC)
+
+
+@query
+def decode_transfer_logs(spark, sf):
+    """SRC-6 / SC-9 / SC-10 / SC-11: landed logs decoded back into transfers."""
+    d = _decoded(S.StandIns(spark, sf))
+    return d.select("contract_address", "from", "to", F.col("value").cast("string").alias("value"),
+                    "block_number", "log_index")
+
+
+@query
+def decode_account_words(spark, sf):
+    """SC-12: six-word account records decoded, short records skipped."""
+    a = _accounts(S.StandIns(spark, sf))
+    return a.select("address", "collateral", "debt", "available", "liquidation_threshold", "ltv", "health_factor")
+
+
+@query
+def mint_events(spark, sf):
+    """SRC-7: topic-filtered logs: mints (from = zero) of the asset."""
+    m = _mints(S.StandIns(spark, sf))
+    return m.select("to", F.col("value").cast("string").alias("value"), "block_number", "log_index")
+
+
+@query
+def block_window_counts(spark, sf):
+    """SRC-8: fixed-size inclusive block windows with log counts (coverage)."""
+    s = S.StandIns(spark, sf)
+    return decode.window_counts(spark, s.raw_logs, WINDOW_FIRST, WINDOW_LAST, WINDOW_SIZE)
+
+
+@query
+def snapshot_as_of(spark, sf):
+    """SRC-9: state of every reserve as of a pinned block, by max_by."""
+    s = S.StandIns(spark, sf)
+    u = s.reserve_updates.filter(F.col("evt_block_number") <= AS_OF_BLOCK)
+    key = F.struct("evt_block_number", "evt_index")
+    g = u.groupBy("reserve").agg(F.max_by(F.struct("evt_block_number", "variable_borrow_rate", "liquidity_rate"), key).alias("s"))
+    return g.select("reserve", F.col("s.evt_block_number").alias("evt_block_number"),
+                    F.col("s.variable_borrow_rate").alias("borrow_apr"), F.col("s.liquidity_rate").alias("supply_apr"))
+
+
+# ======================================== balances, accounts, code, traces
+@query
+def both_legs_positive(spark, sf):
+    """J-5 / PF-12 / SO-4: addresses holding both position tokens."""
+    return _loopers(S.StandIns(spark, sf)).select("address", "collateral", "debt")
+
+
+@query
+def loop_share_of_reserve(spark, sf):
+    """AG-7: looper totals against the whole reserve."""
+    return positions.loop_share_of_reserve(_holder_legs(S.StandIns(spark, sf)), S.UNIT)
+
+
+@query
+def concentration_topn(spark, sf):
+    """AG-8 / SL-3: top-3 and top-10 share of looper debt."""
+    return positions.concentration_topn(_loopers(S.StandIns(spark, sf)), (3, 10))
+
+
+@query
+def size_bands(spark, sf):
+    """AG-9: small and large positions, counts and debt share."""
+    return positions.size_bands(_loopers(S.StandIns(spark, sf)), S.UNIT, DUST_CUT, LARGE_CUT)
+
+
+@query
+def account_leverage(spark, sf):
+    """J-7 / SC-18: equity and leverage per account, NULL when insolvent."""
+    a = accounts.account_leverage(_accounts(S.StandIns(spark, sf)))
+    return a.select("address", "equity", r8(F.col("leverage")).alias("leverage"), "is_insolvent",
+                    r8(F.col("health_factor")).alias("health_factor"))
+
+
+@query
+def risk_segments(spark, sf):
+    """AG-14: dust / near-liquidation / normal counts."""
+    return accounts.risk_segments(_accounts(S.StandIns(spark, sf)), DUST_CUT)
+
+
+@query
+def leverage_stats(spark, sf):
+    """AG-11 / AG-12: median, weighted, min and max leverage of normal accounts."""
+    return accounts.leverage_stats(_accounts(S.StandIns(spark, sf)), DUST_CUT)
+
+
+@query
+def weighted_leverage(spark, sf):
+    """AG-10: debt-weighted leverage of normal accounts by HF band."""
+    a = accounts.with_segments(_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
+    band = F.when(F.col("health_factor") < 1.05, F.lit("hf<1.05")).otherwise(F.lit("hf>=1.05"))
+    g = a.groupBy(band.alias("hf_band")).agg(
+        safe_div(F.sum(F.col("leverage") * F.col("debt")), F.sum("debt")).alias("w"), F.count(F.lit(1)).alias("n_accounts"))
+    return g.select("hf_band", "n_accounts", r8(F.col("w")).alias("weighted_leverage"))
+
+
+@query
+def over_cap_positions(spark, sf):
+    """J-7: healthy non-dust accounts above the 12.5x cap."""
+    return accounts.over_cap(_accounts(S.StandIns(spark, sf)), DUST_CUT, LEVERAGE_CAP)
+
+
+@query
+def leverage_histogram(spark, sf):
+    """AG-13: fixed-edge leverage histogram with empty buckets."""
+    return accounts.leverage_histogram(_accounts(S.StandIns(spark, sf)), DUST_CUT)
+
+
+@query
+def mint_profile(spark, sf):
+    """JN-7 / AG-6: direct mint count of every looper, default 0."""
+    s = S.StandIns(spark, sf)
+    m = ledger.mint_counts(_mints(s))
+    return _loopers(s).join(m, "address", "left").select(
+        "address", F.coalesce(F.col("mint_events"), F.lit(0)).alias("mint_events"))
+
+
+@query
+def top_profile(spark, sf):
+    """J-8: kind, debt, leverage, HF and mint count of the top 10 loopers."""
+    s = S.StandIns(spark, sf)
+    mints = _mints(s).select(F.col("to").alias("address"))
+    return accounts.top_profile(_loopers(s), _accounts(s), s.code, mints, PROFILE_K)
+
+
+@query
+def intra_cluster_transfers(spark, sf):
+    """JN-12: asset and share transfers with both ends among the top 10 loopers."""
+    s = S.StandIns(spark, sf)
+    top = _loopers(s).orderBy(F.col("debt_raw").desc(), F.col("address")).limit(PROFILE_K).select("address")
+    t = s.transfers.filter(F.col("contract_address").isin(S.ASSET, S.SHARE))
+    x = ledger.intra_set_transfers(t, top)
+    return x.select("contract_address", "from", "to", scale(F.col("value"), S.UNIT).alias("value"), "evt_block_number")
+
+
+@query
+def reconcile_positions(spark, sf):
+    """J-27: event-netted debt against the balance snapshot, per address."""
+    s = S.StandIns(spark, sf)
+    from ..operators import quality
+
+    ev = ledger.position_sums(_legs(s)).select(F.col("user_addr").alias("address"), scale("debt_raw", S.UNIT).alias("a"))
+    bal = _holder_legs(s).select("address", scale("debt_raw", S.UNIT).alias("b"))
+    return quality.reconcile(ev, bal, "address", 1e-9)
