@@ -539,3 +539,318 @@ def reconcile_positions(spark, sf):
     ev = ledger.position_sums(_legs(s)).select(F.col("user_addr").alias("address"), scale("debt_raw", S.UNIT).alias("a"))
     bal = _holder_legs(s).select("address", scale("debt_raw", S.UNIT).alias("b"))
     return quality.reconcile(ev, bal, "address", 1e-9)
+
+
+# ======================================== categories, reserves, lineage
+from ..operators import categories, quality, scenarios  # noqa: E402
+
+TARGET = "0x" + "0".rjust(40, "a")  # lineage target: address of region TARGET_REGION (= 0)
+CATEGORY_SCAN_BOUND = 1_000_000
+LOOP_EQUITY, LOOP_Y, LOOP_R = 1000.0, 0.04, 0.032
+
+
+def _cands(s: S.StandIns) -> DataFrame:
+    return categories.candidates(s.categories, S.COLLATERAL_BIT, S.BORROWABLE_BIT)
+
+
+def _flagged(s: S.StandIns) -> DataFrame:
+    return categories.pure_flags(_cands(s), s.reserves, s.lineage, S.COLLATERAL_BIT, TARGET)
+
+
+def _cat_terms(df: DataFrame) -> DataFrame:
+    return df.select("category_id", "label", r8(F.col("ltv") / 1e4).alias("ltv"), r8(F.col("lt") / 1e4).alias("lt"),
+                     r8((F.col("bonus") - 10000) / 1e4).alias("bonus"))
+
+
+@query
+def category_candidates(spark, sf):
+    """J-24 / SC-13: categories with A as collateral and B borrowable."""
+    return _cat_terms(_cands(S.StandIns(spark, sf)))
+
+
+@query
+def category_pure_flag(spark, sf):
+    """J-24 / AG-15 / PF-15: every other collateral resolves to the target."""
+    return _flagged(S.StandIns(spark, sf)).select("category_id", "is_pure")
+
+
+@query
+def category_coverage(spark, sf):
+    """AG-16: highest configured category id against the scan bound."""
+    return categories.coverage(S.StandIns(spark, sf).categories, CATEGORY_SCAN_BOUND)
+
+
+@query
+def token_lineage(spark, sf):
+    """JN-9 / SC-14: reserve -> SY -> yield token, compared with the target."""
+    s = S.StandIns(spark, sf)
+    r = categories.lineage_resolved(s.reserves, s.lineage)
+    return r.select("reserve_index", "address", "symbol", "sy", "yield_token",
+                    F.coalesce(F.col("yield_token") == F.lit(TARGET), F.lit(False)).alias("resolves_to_target"))
+
+
+@query
+def best_category(spark, sf):
+    """SL-4: best pure category by LTV desc, bonus asc, id asc."""
+    return _cat_terms(categories.best(_flagged(S.StandIns(spark, sf))))
+
+
+@query
+def max_leverage_roe(spark, sf):
+    """J-17: max leverage, position build and ROE per candidate category."""
+    return categories.loop_economics(_cands(S.StandIns(spark, sf)), LOOP_EQUITY, LOOP_Y, LOOP_R)
+
+
+@query
+def category_baskets(spark, sf):
+    """J-25 / JN-8: collateral basket of every candidate with PT lineage."""
+    s = S.StandIns(spark, sf)
+    return categories.baskets(_cands(s), s.reserves, s.lineage, TARGET)
+
+
+# ============================================ reserve snapshot, token supply
+def _scaled_reserves(s: S.StandIns) -> DataFrame:
+    r = s.reserves
+    d = lambda c, u: r8(F.col(c).cast("double") / F.lit(u))
+    return r.select(
+        "reserve_index", "address",
+        d("ltv", 1e4).alias("ltv"), d("liquidation_threshold", 1e4).alias("liquidation_threshold"),
+        r8((F.col("liquidation_bonus") - 10000) / F.lit(1e4)).alias("liquidation_bonus"),
+        d("reserve_factor", 1e4).alias("reserve_factor"),
+        scenarios.r4(F.col("total_supplied").cast("double") / F.lit(1e18)).alias("total_supplied"),
+        scenarios.r4(F.col("total_variable_debt").cast("double") / F.lit(1e18)).alias("total_variable_debt"),
+        d("liquidity_rate", 1e27).alias("supply_rate"), d("variable_borrow_rate", 1e27).alias("borrow_rate"),
+        F.to_date(F.timestamp_seconds("last_update")).alias("last_update_day"),
+        d("optimal_usage", 1e4).alias("uopt"), d("base_rate", 1e4).alias("base_rate"),
+        d("slope1", 1e4).alias("slope1"), d("slope2", 1e4).alias("slope2"),
+    )
+
+
+@query
+def scale_units(spark, sf):
+    """PF-2 / SC-8 / SC-15: raw reserve snapshot fields in natural units."""
+    return _scaled_reserves(S.StandIns(spark, sf))
+
+
+@query
+def curve_rate(spark, sf):
+    """J-15: borrow rate implied by each reserve's curve at its utilisation,
+    against the stored rate (formula self-check)."""
+    from ..functions.curves import curve_rate as rate_at
+
+    r = _scaled_reserves(S.StandIns(spark, sf))
+    u = F.col("total_variable_debt") / F.col("total_supplied")
+    x = r.select("reserve_index", u.alias("u"), "borrow_rate", "base_rate", "uopt", "slope1", "slope2")
+    implied = rate_at("u", "base_rate", "uopt", "slope1", "slope2")
+    return x.select("reserve_index", r8(F.col("u")).alias("utilisation"), r8(implied).alias("implied_rate"),
+                    F.col("borrow_rate").alias("stored_rate"), r8(implied - F.col("borrow_rate")).alias("rate_gap"))
+
+
+@query
+def staking_state(spark, sf):
+    """J-26: asset supply, staked part, vault shares, ratio and exchange rate."""
+    return quality.staking_state(S.StandIns(spark, sf).token_supply, S.ASSET, S.VAULT, S.UNIT)
+
+
+def _param_row(s: S.StandIns) -> DataFrame:
+    r = _scaled_reserves(s).filter(F.col("reserve_index") == S.BORROWABLE_BIT).select(
+        F.col("ltv").alias("debt_reserve_ltv"), F.col("reserve_factor").alias("debt_reserve_factor"),
+        F.col("uopt").alias("ir_uopt"), F.col("base_rate").alias("ir_base"), F.col("slope1").alias("ir_slope1"),
+        F.col("slope2").alias("ir_slope2"), F.col("borrow_rate").alias("debt_borrow_rate"),
+        F.col("supply_rate").alias("debt_supply_rate"),
+        r8(F.col("total_variable_debt") / F.col("total_supplied")).alias("debt_utilisation"))
+    b = _cat_terms(categories.best(_flagged(s))).select(
+        F.col("category_id").alias("best_category_id"), F.col("ltv").alias("best_category_ltv"),
+        F.col("lt").alias("best_category_lt"), F.col("bonus").alias("best_category_bonus"))
+    st = quality.staking_state(s.token_supply, S.ASSET, S.VAULT, S.UNIT).select("staking_ratio", "exchange_rate")
+    return r.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(st))
+
+
+@query
+def param_table(spark, sf):
+    """J-29: consolidated parameter table, one (param, value) row each."""
+    return quality.param_table(_param_row(S.StandIns(spark, sf)))
+
+
+@query
+def params_as_json(spark, sf):
+    """SC-20 / SRC-11: the same parameters rendered as one JSON object."""
+    row = _param_row(S.StandIns(spark, sf))
+    return row.select(F.to_json(F.struct(*row.columns)).alias("params_json"))
+
+
+@query
+def integrity_checks(spark, sf):
+    """J-28: identity and pointer rules as (rule, n_checked, n_bad) rows."""
+    s = S.StandIns(spark, sf)
+    members = categories.collateral_members(s.categories)
+    sy = s.lineage.filter(F.col("relation") == "SY")
+    yt = s.lineage.filter(F.col("relation") == "yieldToken")
+    return quality.run_checks(
+        quality.duplicates(s.reserves, "reserve_index_unique", ["reserve_index"]),
+        quality.duplicates(s.reserves, "reserve_address_unique", ["address"]),
+        quality.dangling(members, "category_bit_has_reserve", "reserve_index", s.reserves, "reserve_index"),
+        quality.dangling(sy, "sy_hop_resolves", "target", yt, "token"),
+        quality.duplicates(s.reserve_updates, "update_key_unique", ["reserve", "evt_block_number", "evt_index"]),
+        quality.rule(s.transfers, "transfer_not_to_self", quality.transfers_self(s.transfers)),
+    )
+
+
+# ============================ accounts as cluster + literal scenario tables
+Y, R_CASE, LT = 0.04, 0.033, 0.94
+CURVE = scenarios.Curve()
+DEPOSITS = 1e9
+CLUSTER_K, CLUSTER_MIN_LEVERAGE = 10, 5.0
+HF_TARGETS = (1.025, 1.05, 1.10)
+L_TARGETS = (10.0, None, 12.0)
+CONFIGS = [("Status quo", 0.90, 0.04), ("A: lower Uopt", 0.80, 0.04), ("B: raise slope1", 0.90, 0.07),
+           ("C: moderate both", 0.85, 0.055)]
+SLOPES = (0.02, 0.03, 0.034, 0.04, 0.05, 0.07, 0.10, 0.15, 0.20)
+PLACEHOLDER_SLOPE1 = 0.035
+RATE_SCENARIOS = (0.02, 0.025, 0.03, 0.033, 0.035, 0.04)
+
+
+def _members(s: S.StandIns) -> DataFrame:
+    return scenarios.cluster_members(_accounts(s), DUST_CUT, CLUSTER_K, CLUSTER_MIN_LEVERAGE)
+
+
+def _stats(s: S.StandIns) -> DataFrame:
+    loop_debt = _loopers(s).agg(scale(F.sum("debt_raw"), S.UNIT).alias("loop_debt"))
+    return scenarios.cluster_stats(_members(s), Y, R_CASE, loop_debt)
+
+
+def _eq_cols(money=("revenue",)) -> list:
+    return [r8(F.col("r_star")).alias("r_star"), r8(F.col("u_star")).alias("u_star"), "branch",
+            scenarios.r4(F.col("revenue")).alias("revenue"), r8(F.col("supply_apy")).alias("supply_apy")]
+
+
+@query
+def cluster_excluding(spark, sf):
+    """JN-10: top-10 account cluster with the low-leverage outliers left out."""
+    m = _members(S.StandIns(spark, sf))
+    return m.select("address", "debt", r8(F.col("leverage")).alias("leverage"), r8(F.col("health_factor")).alias("health_factor"))
+
+
+@query
+def cluster_hurdle(spark, sf):
+    """J-18: weighted leverage, HF, ROE range, hurdle and share of loop debt."""
+    st = _stats(S.StandIns(spark, sf))
+    return st.select("n_members", scenarios.r4(F.col("cluster_debt")).alias("cluster_debt"),
+                     *[r8(F.col(c)).alias(c) for c in ("w_leverage", "w_hf", "hurdle", "roe_min", "roe_max", "share_of_loop_debt")])
+
+
+@query
+def equilibrium(spark, sf):
+    """J-19: status-quo equilibrium rate, utilisation, revenue and supply APY."""
+    st = _stats(S.StandIns(spark, sf))
+    return scenarios.solve(st, Y, "hurdle", "w_leverage", CURVE, DEPOSITS).select(*_eq_cols())
+
+
+@query
+def curve_inverse(spark, sf):
+    """J-16: utilisation the status-quo curve needs for each day's borrow rate."""
+    from ..functions.curves import curve_branch, curve_utilisation
+
+    s = S.StandIns(spark, sf)
+    r = series.latest_per_day(s.reserve_updates, S.ASSET, CARRY.start_day)
+    return r.select("day", "borrow_apr",
+                    r8(curve_utilisation("borrow_apr", CURVE.r0, CURVE.uopt, CURVE.slope1, CURVE.slope2)).alias("implied_utilisation"),
+                    curve_branch("borrow_apr", CURVE.r0, CURVE.slope1).alias("branch"))
+
+
+@query
+def scenario_grid(spark, sf):
+    """JN-11: every healthy account x every scenario borrow rate -> ROE."""
+    a = accounts.with_segments(_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
+    return scenarios.positions_x_rates(a, RATE_SCENARIOS, Y)
+
+
+@query
+def hf_leverage_map(spark, sf):
+    """J-20: HF <-> leverage conversions against each account's measured values."""
+    from ..functions.curves import hf_from_leverage, leverage_from_hf
+
+    a = accounts.with_segments(_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
+    lt = F.col("liquidation_threshold")
+    return a.select("address", r8(F.col("health_factor")).alias("health_factor"), r8(F.col("leverage")).alias("leverage"),
+                    r8(leverage_from_hf("health_factor", lt)).alias("leverage_from_hf"),
+                    r8(hf_from_leverage("leverage", lt)).alias("hf_from_leverage"))
+
+
+def _sens(s: S.StandIns) -> DataFrame:
+    return scenarios.sensitivity(_stats(s), HF_TARGETS, L_TARGETS, LT, Y, CURVE, DEPOSITS)
+
+
+@query
+def sensitivity_table(spark, sf):
+    """J-20 / SL-5: six HF / leverage scenarios, ranked by revenue."""
+    from pyspark.sql import Window
+
+    x = _sens(S.StandIns(spark, sf))
+    rk = F.row_number().over(Window.orderBy(F.col("revenue").asc(), F.col("scenario").asc())).cast("bigint")
+    return x.select("scenario", r8(F.col("L")).alias("leverage"), r8(F.col("HF")).alias("health_factor"),
+                    *_eq_cols(), rk.alias("revenue_rank"))
+
+
+@query
+def scenario_range(spark, sf):
+    """AG-12: revenue range across the sensitivity scenarios, also in bps."""
+    x = _sens(S.StandIns(spark, sf))
+    g = x.agg(F.min("revenue").alias("lo"), F.max("revenue").alias("hi"))
+    return g.select(scenarios.r4(F.col("lo")).alias("revenue_min"), scenarios.r4(F.col("hi")).alias("revenue_max"),
+                    r8(F.col("lo") / F.lit(DEPOSITS) * 1e4).alias("bps_min"), r8(F.col("hi") / F.lit(DEPOSITS) * 1e4).alias("bps_max"))
+
+
+def _configs(s: S.StandIns) -> DataFrame:
+    return scenarios.config_grid(_stats(s), CONFIGS, Y, CURVE, DEPOSITS, "Status quo")
+
+
+@query
+def curve_configs(spark, sf):
+    """J-21: curve configurations and their change against the status quo."""
+    x = _configs(S.StandIns(spark, sf))
+    return x.select("config", "uopt", "slope1", *_eq_cols(), r8(F.col("revenue_change")).alias("revenue_change"),
+                    r8(F.col("u_change_points")).alias("u_change_points"))
+
+
+@query
+def config_table_text(spark, sf):
+    """SC-19: the configuration table as display text, formatted last."""
+    x = _configs(S.StandIns(spark, sf))
+    return x.select(
+        "config", labels.pct_text("uopt", 0).alias("uopt_text"), labels.pct_text("slope1", 1).alias("slope1_text"),
+        labels.pct_text("u_star").alias("u_star_text"), labels.pct_text("r_star").alias("r_star_text"),
+        labels.money_m_text("revenue").alias("revenue_text"), labels.pct_text("supply_apy").alias("supply_apy_text"), "branch")
+
+
+@query
+def slope_sweep(spark, sf):
+    """J-22: slope1 sweep at the status-quo kink."""
+    x = scenarios.slope_sweep(_stats(S.StandIns(spark, sf)), SLOPES, Y, CURVE, DEPOSITS)
+    return x.select("slope1", r8(F.col("u_star")).alias("u_star"), "branch", scenarios.r4(F.col("revenue")).alias("revenue"))
+
+
+@query
+def sweep_monotone(spark, sf):
+    """WN-7: is revenue non-increasing along the sweep?"""
+    x = scenarios.slope_sweep(_stats(S.StandIns(spark, sf)), SLOPES, Y, CURVE, DEPOSITS)
+    return scenarios.monotone(x, "slope1", "revenue")
+
+
+@query
+def fit_gap(spark, sf):
+    """J-23: model U* against the latest observed utilisation, and the same
+    with the placeholder slope1."""
+    s = S.StandIns(spark, sf)
+    st = _stats(s)
+    obs = series.utilisation(series.latest_per_day(s.reserve_updates, S.ASSET, CARRY.start_day)
+                             .withColumn("total_supply", F.lit(None).cast("double"))
+                             .withColumn("total_borrow", F.lit(None).cast("double")), CARRY.reserve_factor)
+    obs = obs.agg(F.max_by("utilisation_rates", "day").alias("observed_u"))
+    base = scenarios.solve(st, Y, "hurdle", "w_leverage", CURVE, DEPOSITS).select(F.col("u_star"))
+    alt = scenarios.solve(st, Y, "hurdle", "w_leverage", CURVE, DEPOSITS, slope1=PLACEHOLDER_SLOPE1).select(
+        F.col("u_star").alias("u_alt"))
+    j = base.crossJoin(alt).crossJoin(F.broadcast(obs))
+    return j.select(r8(F.col("observed_u")).alias("observed_u"), r8(F.col("u_star")).alias("u_star"),
+                    r8(F.col("u_star") - F.col("observed_u")).alias("gap"), r8(F.col("u_alt")).alias("u_star_placeholder"),
+                    r8(F.col("u_alt") - F.col("observed_u")).alias("gap_placeholder"))

@@ -95,7 +95,7 @@ class StandIns:
     def supply(self) -> DataFrame:
         x = self.lines.filter(F.col("f").isin("N", "A"))
         return x.select(
-            F.lit(SHARE).alias("reserve"), user_address("user").alias("on_behalf_of"),
+            F.lit(SHARE).alias("reserve"), user_address(F.col("user") + 1).alias("on_behalf_of"),
             (F.col("cents") * 100).alias("amount"), F.col("l_shipdate").alias("evt_block_time"),
         )
 
@@ -107,34 +107,34 @@ class StandIns:
         )
         x = self.lines.filter(F.col("f").isin("N", "A"))
         return x.select(
-            F.lit(ASSET).alias("reserve"), user_address("user").alias("on_behalf_of"),
+            F.lit(ASSET).alias("reserve"), user_address(F.col("user") + 1).alias("on_behalf_of"),
             (F.col("cents") * (k - F.col("d"))).alias("amount"), F.col("l_shipdate").alias("evt_block_time"),
         )
 
     @cached_property
     def withdraw(self) -> DataFrame:
         x = self.lines.filter((F.col("f") == "R") & (F.col("st") == "O"))
-        return x.select(F.lit(SHARE).alias("reserve"), user_address("user").alias("user"),
+        return x.select(F.lit(SHARE).alias("reserve"), user_address(F.col("user") + 1).alias("user"),
                         (F.col("cents") * F.col("d")).alias("amount"))
 
     @cached_property
     def repay(self) -> DataFrame:
         x = self.lines.filter((F.col("f") == "R") & (F.col("st") == "F") & (F.col("t") < 8))
-        return x.select(F.lit(ASSET).alias("reserve"), user_address("user").alias("user"),
+        return x.select(F.lit(ASSET).alias("reserve"), user_address(F.col("user") + 1).alias("user"),
                         (F.col("cents") * F.col("d")).alias("amount"))
 
     @cached_property
     def liquidation(self) -> DataFrame:
         x = self.lines.filter((F.col("f") == "R") & (F.col("st") == "F") & (F.col("t") == 8))
         return x.select(
-            user_address("user").alias("user"), F.lit(ASSET).alias("debt_asset"),
+            user_address(F.col("user") + 1).alias("user"), F.lit(ASSET).alias("debt_asset"),
             (F.col("cents") * F.col("d")).alias("debt_to_cover"), F.lit(SHARE).alias("collateral_asset"),
             (F.col("cents") * F.col("t")).alias("liquidated_collateral_amount"),
         )
 
     @cached_property
     def creation_traces(self) -> DataFrame:
-        return self.table("lineitem").select(user_address("l_suppkey").alias("address"))
+        return self.table("lineitem").select(user_address(F.col("l_suppkey") + 1).alias("address"))
 
     # --------------------------------------------------------------- transfers
     @cached_property
@@ -148,8 +148,8 @@ class StandIns:
             .otherwise(F.lit(DTOKEN))
         )
         f = F.col("f")
-        user = user_address("user")
-        other = user_address("l_suppkey")
+        user = user_address(F.col("user") + 1)
+        other = user_address(F.col("l_suppkey") + 1)
         is_asset = contract == F.lit(ASSET)
         frm = (
             F.when(f == "N", F.lit(ZERO_ADDRESS))
@@ -230,10 +230,10 @@ class StandIns:
         u = F.col("user")
         coll = p.filter(u % 7 != 3).select(
             F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), F.lit(ATOKEN).alias("token"),
-            user_address("user").alias("address"), F.col("c_raw").alias("balance"))
+            user_address(F.col("user") + 1).alias("address"), F.col("c_raw").alias("balance"))
         debt = p.filter(u % 11 != 5).select(
             F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), F.lit(DTOKEN).alias("token"),
-            user_address("user").alias("address"), F.col("d_raw").alias("balance"))
+            user_address(F.col("user") + 1).alias("address"), F.col("d_raw").alias("balance"))
         return coll.unionByName(debt)
 
     @cached_property
@@ -256,13 +256,13 @@ class StandIns:
                         _word(F.lit(9200).cast("bigint")), _word(hf))
         short = F.concat(F.lit("0x"), _word(cb), _word(db))
         return p.select(
-            F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), user_address("user").alias("address"),
+            F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), user_address(F.col("user") + 1).alias("address"),
             F.when((cb > 0) & (db > 0), full).otherwise(short).alias("data"),
         )
 
     @cached_property
     def code(self) -> DataFrame:
-        users = self.positions_all.select(user_address("user").alias("address"))
+        users = self.positions_all.select(user_address(F.col("user") + 1).alias("address"))
         traced = self.creation_traces.join(users, "address", "left_semi").distinct()
         return users.join(traced.withColumn("has", F.lit(True)), "address", "left").select(
             "address", F.when(F.col("has"), F.lit("0x6080")).otherwise(F.lit("")).alias("code"))
@@ -286,7 +286,7 @@ class StandIns:
         liq_bps = F.round(rate * u * (F.lit(1.0) - rf / 1e4) * 1e4).cast("bigint")
         dec = "decimal(38,0)"
         return s.select(
-            (k - 1).cast("int").alias("reserve_index"),
+            k.cast("int").alias("reserve_index"),
             reserve_address(k).alias("address"),
             F.concat(F.when(F.col("s_acctbal") >= 5000, F.lit("PT-")).otherwise(F.lit("T")), k.cast("string")).alias("symbol"),
             F.lit(18).alias("decimals"),
@@ -296,10 +296,10 @@ class StandIns:
             rf.cast("int").alias("reserve_factor"),
             (cents * 900).alias("borrow_cap"),
             (cents * 1000).alias("supply_cap"),
-            (cents.cast(dec) * F.lit(10**22).cast(dec)).alias("total_supplied"),
-            (cents.cast(dec) * upct.cast(dec) * F.lit(10**20).cast(dec)).alias("total_variable_debt"),
-            (liq_bps.cast(dec) * F.lit(10**23).cast(dec)).alias("liquidity_rate"),
-            (rate_bps.cast(dec) * F.lit(10**23).cast(dec)).alias("variable_borrow_rate"),
+            (cents.cast(dec) * F.lit(str(10**22)).cast(dec)).alias("total_supplied"),
+            (cents.cast(dec) * upct.cast(dec) * F.lit(str(10**20)).cast(dec)).alias("total_variable_debt"),
+            (liq_bps.cast(dec) * F.lit(str(10**23)).cast(dec)).alias("liquidity_rate"),
+            (rate_bps.cast(dec) * F.lit(str(10**23)).cast(dec)).alias("variable_borrow_rate"),
             (F.lit(788918400) + k * 86400).alias("last_update"),
             uopt.cast("int").alias("optimal_usage"),
             F.lit(0).alias("base_rate"),
@@ -310,10 +310,9 @@ class StandIns:
     @cached_property
     def categories(self) -> DataFrame:
         p = self.table("part")
-        one = F.lit(1).cast("bigint")
         k, size = F.col("p_partkey"), F.col("p_size")
-        coll = F.shiftleft(one, (k % 10).cast("int")).bitwiseOR(F.shiftleft(one, (size % 10).cast("int")))
-        borr = F.shiftleft(one, (k % 7).cast("int")).bitwiseOR(F.shiftleft(one, (size % 6).cast("int")))
+        coll = F.expr("shiftleft(1L, cast(p_partkey % 10 AS INT)) | shiftleft(1L, cast(p_size % 10 AS INT))")
+        borr = F.expr("shiftleft(1L, cast(p_partkey % 7 AS INT)) | shiftleft(1L, cast(p_size % 6 AS INT))")
         return p.select(
             k.cast("int").alias("category_id"), F.col("p_brand").alias("label"),
             coll.cast("decimal(38,0)").alias("collateral_bitmap"),
@@ -327,7 +326,7 @@ class StandIns:
     def lineage(self) -> DataFrame:
         """PT -> SY -> yield-token edges: only PT- reserves have an SY hop."""
         r = self.reserves.filter(F.col("symbol").startswith("PT-")).select("address", "reserve_index")
-        s = self.table("supplier").select((F.col("s_suppkey") - 1).cast("int").alias("reserve_index"), "s_nationkey")
+        s = self.table("supplier").select(F.col("s_suppkey").cast("int").alias("reserve_index"), "s_nationkey")
         hop1 = r.join(s, "reserve_index").select(
             F.col("address").alias("token"), F.lit("SY").alias("relation"), nation_address("s_nationkey").alias("target"))
         n = self.table("nation")
