@@ -80,22 +80,20 @@ def word_from_address(c: str | Column) -> Column:
     return F.concat(F.lit("0x"), F.lpad(F.lower(F.substring(col_(c), 3, 40)), 64, "0"))
 
 
-def _strip0x(c: Column) -> Column:
-    return F.when(c.startswith("0x"), F.substring(c, 3, 1 << 20)).otherwise(c)
-
-
 def word_limbs(word: str | Column) -> list[Column]:
-    """A 64-hex-digit word as four unsigned 64-bit limbs, most significant
-    first, each a DECIMAL(20,0).  ``conv`` handles exactly 16 hex digits
-    without overflow; a wider conversion would raise under ANSI."""
-    w = F.lpad(_strip0x(col_(word)), 64, "0")
-    return [F.conv(F.substring(w, 1 + 16 * k, 16), 16, 10).cast(DecimalType(20, 0)) for k in range(4)]
+    """A 64-hex-digit word (no prefix) as four unsigned 64-bit limbs, most
+    significant first, each the decimal-digit string ``conv`` returns.
+    ``conv`` handles exactly 16 hex digits without overflow; a wider
+    conversion would raise under ANSI.  Each limb is one ``substring`` of
+    the input, so decoding stays a small expression."""
+    w = col_(word)
+    return [F.conv(F.substring(w, 1 + 16 * k, 16), 16, 10) for k in range(4)]
 
 
 def word_to_decimal(word: str | Column) -> Column:
     """uint256 word -> DECIMAL(38,0) when the value fits 128 bits (enough for
     any token amount), else NULL (Hard 1).  ``try_*`` keeps ANSI from raising."""
-    l0, l1, l2, l3 = word_limbs(word)
+    l0, l1, l2, l3 = (x.cast(DecimalType(20, 0)) for x in word_limbs(word))
     fits = (l0 == 0) & (l1 == 0)
     two64 = F.lit("18446744073709551616").cast(DecimalType(20, 0))
     hi = F.try_multiply(l2.cast(EXACT), two64)
@@ -104,20 +102,26 @@ def word_to_decimal(word: str | Column) -> Column:
 
 def word_to_double(word: str | Column) -> Column:
     """uint256 word -> DOUBLE over the full 256-bit range."""
-    limbs = word_limbs(word)
-    out = F.lit(0.0)
-    for k, limb in enumerate(limbs):
-        out = out + limb.cast("double") * F.lit(float(2 ** (64 * (3 - k))))
+    out = None
+    for k, limb in enumerate(word_limbs(word)):
+        term = limb.cast("double") * F.lit(float(2 ** (64 * (3 - k))))
+        out = term if out is None else out + term
     return out
 
 
+def hex64(c: str | Column) -> Column:
+    """The 64 hex digits of a 0x-prefixed 32-byte word (a topic)."""
+    return F.substring(col_(c), 3, 64)
+
+
 def word_at(data: str | Column, i: int) -> Column:
-    """The i-th 32-byte word (0-based) of a 0x-prefixed call-return blob (SC-12)."""
-    return F.substring(_strip0x(col_(data)), 1 + 64 * i, 64)
+    """The i-th 32-byte word (0-based) of a 0x-prefixed ABI blob (SC-12)."""
+    return F.substring(col_(data), 3 + 64 * i, 64)
 
 
 def n_words(data: str | Column) -> Column:
-    return F.floor(F.length(_strip0x(col_(data))) / 64).cast("int")
+    """Number of whole 32-byte words in a 0x-prefixed blob."""
+    return F.floor((F.length(col_(data)) - F.lit(2)) / 64).cast("int")
 
 
 def bit_is_set(bitmap: str | Column, i: int | Column) -> Column:

@@ -29,6 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.driver.memory": os.environ.get("CARRYLENS_DRIVER_MEMORY", "8g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.log.level": "WARN",
+        "spark.ui.showConsoleProgress": "false",
     }.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -16,10 +16,11 @@ from ..functions.units import address_from_topic, n_words, scale, word_at, word_
 
 def filter_logs(logs: DataFrame, topic0: str, topic1: str | None = None, address: str | None = None) -> DataFrame:
     """Topic (and emitter) filtered logs (SRC-7)."""
+    # ``get`` is the NULL-on-missing, 0-based array access (no ANSI error)
     t = F.col("topics")
-    cond = F.element_at(t, 1) == F.lit(topic0)
+    cond = F.get(t, 0) == F.lit(topic0)
     if topic1 is not None:
-        cond = cond & (F.element_at(t, 2) == F.lit(topic1))
+        cond = cond & (F.get(t, 1) == F.lit(topic1))
     if address is not None:
         cond = (F.col("address") == F.lit(address)) & cond
     return logs.filter(cond)
@@ -29,11 +30,11 @@ def decode_transfers(logs: DataFrame, topic0: str) -> DataFrame:
     """ERC-20 Transfer logs -> (contract_address, from, to, value, value_double,
     block_number, log_index) (SRC-6, SC-9, SC-10).  ``value`` is an exact
     DECIMAL(38,0) (NULL above 128 bits); ``value_double`` covers all 256."""
-    x = filter_logs(logs, topic0).filter(F.size("topics") >= 3)
+    x = filter_logs(logs, topic0).filter(F.get(F.col("topics"), 2).isNotNull())
     return x.select(
         F.lower(F.col("address")).alias("contract_address"),
-        address_from_topic(F.element_at("topics", 2)).alias("from"),
-        address_from_topic(F.element_at("topics", 3)).alias("to"),
+        address_from_topic(F.get(F.col("topics"), 1)).alias("from"),
+        address_from_topic(F.get(F.col("topics"), 2)).alias("to"),
         word_to_decimal(word_at("data", 0)).alias("value"),
         word_to_double(word_at("data", 0)).alias("value_double"),
         "block_number", "log_index",

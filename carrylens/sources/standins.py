@@ -10,6 +10,7 @@ Money is an exact BIGINT in 1e-4 units (``UNIT``): cents x percent points.
 
 from __future__ import annotations
 
+import os
 from datetime import date
 from functools import cached_property
 
@@ -56,6 +57,28 @@ def region_address(c) -> F.Column:
     return address_from_id(c, "a")
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
+def parallel_scan(df: DataFrame, min_bytes: int = int(os.environ.get("CARRYLENS_SPLIT_MIN_BYTES", 4 << 20))) -> DataFrame:
+    """Spread an under-partitioned scan over the available cores.
+
+    A parquet file with one row group is read by one task whatever
+    ``spark.sql.files.maxPartitionBytes`` says, and everything fused before
+    the first shuffle then runs single-threaded.  When a scan of at least
+    ``min_bytes`` (estimated from file sizes) yields fewer partitions than
+    the default parallelism, it is round-robin repartitioned once.  At scale
+    the scan already has far more splits than cores and this is a no-op.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    if n >= target:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(target) if size >= min_bytes else df
+
+
 def _word(c) -> F.Column:
     return F.lpad(F.lower(F.hex(c)), 64, "0")
 
@@ -68,7 +91,17 @@ class StandIns:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The parquet table ``name``; the resolved DataFrame (file listing,
+        footer schema, partition count) is kept per session and path so a
+        query that reads a table five times lists it once.  Only the plan is
+        kept -- every query still scans the data."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (self.spark._jsparkSession.hashCode(), path)
+        df = _TABLES.get(key)
+        if df is None:
+            df = parallel_scan(self.spark.read.parquet(path))
+            _TABLES[key] = df
+        return df
 
     # ------------------------------------------------------------------ base
     @cached_property
