@@ -30,7 +30,19 @@ def main(argv: list[str]) -> int:
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8), app="carrylens-bench")
     keys = argv[1:] or list(QUERIES)
 
-    # untimed warm-up: JVM class loading and code generation caches
+    # Landing: the stand-in domain tables are derived from the driver tables
+    # once per application and written under the checkpoint folder (an ETL
+    # step, timed and reported on its own).
+    from carrylens.sources import standins as S
+
+    t0 = time.perf_counter()
+    s = S.StandIns(spark, sf_dir)
+    for name in S.LANDED:
+        getattr(s, name)
+    landing = round(time.perf_counter() - t0, 3)
+    print(f"landing: {landing:.2f}s", file=sys.stderr, flush=True)
+
+    # untimed warm-up query: JVM class loading and code generation caches
     QUERIES["net_positions"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
@@ -46,6 +58,8 @@ def main(argv: list[str]) -> int:
         "unit": "sec",
         "queries": times,
         "sf": sf,
+        "landing_sec": landing,
+        "total_with_landing_sec": round(sum(times.values()) + landing, 3),
         "cpus": cpus,
         "n_queries": len(times),
     }))

@@ -93,9 +93,10 @@ def net_positions(legs: DataFrame, unit: float, min_debt: float, min_collateral:
     """Users with both net debt > ``min_debt`` and net collateral > ``min_collateral``
     (the inner join of Q2's two HAVING sets), scaled to natural units."""
     p = position_sums(legs)
-    return p.filter(
-        (F.col("debt_raw") > F.lit(min_debt * unit)) & (F.col("collateral_raw") > F.lit(min_collateral * unit))
-    ).select(
+    # thresholds compared exactly, in the raw decimal units of the sums
+    lo_d = F.lit(f"{min_debt * unit:.0f}").cast("decimal(38,0)")
+    lo_c = F.lit(f"{min_collateral * unit:.0f}").cast("decimal(38,0)")
+    return p.filter((F.col("debt_raw") > lo_d) & (F.col("collateral_raw") > lo_c)).select(
         "user_addr", "debt_raw", "collateral_raw",
         scale("debt_raw", unit).alias("debt"),
         scale("collateral_raw", unit).alias("collateral"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, units
 from ..functions.units import r8, safe_div, scale
 from ..operators import ledger, positions
+from ..plans.session import materialize
 from ..sources import standins as S
 from ..sources.standins import ZERO_ADDRESS  # noqa: F401
 
@@ -43,7 +44,10 @@ def _rate(s: S.StandIns) -> DataFrame:
 
 
 def _positions(s: S.StandIns) -> DataFrame:
-    return ledger.net_positions(_legs(s), S.UNIT, MIN_DEBT, MIN_COLLATERAL)
+    # one row per kept user, read by several branches (contract semi join,
+    # classification, totals): materialised once instead of re-aggregating
+    # every event per branch
+    return materialize(ledger.net_positions(_legs(s), S.UNIT, MIN_DEBT, MIN_COLLATERAL))
 
 
 def _classified(s: S.StandIns) -> DataFrame:

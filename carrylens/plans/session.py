@@ -56,3 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="carrylens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Cut lineage where a result feeds several branches of one plan.
+
+    Column pruning gives each branch a slightly different subtree, so Spark
+    cannot reuse the exchange and would recompute the (expensive) input
+    aggregation per branch.  A reliable ``checkpoint`` writes the result once
+    to the shared checkpoint folder and every branch reads it back; a lost
+    executor re-reads the files instead of recomputing the lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

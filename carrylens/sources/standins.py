@@ -84,11 +84,25 @@ def _word(c) -> F.Column:
 
 
 class StandIns:
-    """Domain-shaped views over ``sf_dir``.  Construct once per query."""
+    """Domain-shaped views over ``sf_dir``.  Construct once per query.
+
+    Each domain table is derived from the driver tables by Spark and *landed*
+    once per Spark application as parquet under the session's checkpoint
+    folder (``spark.checkpoint.dir``), partitioned the way an event store
+    would be (transfers by contract, logs by emitter, rate updates by
+    reserve).  Queries then read landed domain tables: filters on
+    ``reserve`` / ``contract_address`` become partition and pushed filters,
+    scans are split across files, and no query repeats the derivation.
+    ``land=False`` returns the derivation plans themselves.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, land: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.land = land
+
+    def _landed(self, name: str) -> DataFrame:
+        return land_table(self, name)
 
     def table(self, name: str) -> DataFrame:
         """The parquet table ``name``; the resolved DataFrame (file listing,
@@ -124,16 +138,14 @@ class StandIns:
         )
 
     # --------------------------------------------------------- lending events
-    @cached_property
-    def supply(self) -> DataFrame:
+    def _build_supply(self) -> DataFrame:
         x = self.lines.filter(F.col("f").isin("N", "A"))
         return x.select(
             F.lit(SHARE).alias("reserve"), user_address(F.col("user") + 1).alias("on_behalf_of"),
             (F.col("cents") * 100).alias("amount"), F.col("l_shipdate").alias("evt_block_time"),
         )
 
-    @cached_property
-    def borrow(self) -> DataFrame:
+    def _build_borrow(self) -> DataFrame:
         u = F.col("user")
         k = (
             F.when(u % 5 == 0, 80).when(u % 10 == 1, 150).when(u % 10 == 6, 135).otherwise(127)
@@ -144,20 +156,17 @@ class StandIns:
             (F.col("cents") * (k - F.col("d"))).alias("amount"), F.col("l_shipdate").alias("evt_block_time"),
         )
 
-    @cached_property
-    def withdraw(self) -> DataFrame:
+    def _build_withdraw(self) -> DataFrame:
         x = self.lines.filter((F.col("f") == "R") & (F.col("st") == "O"))
         return x.select(F.lit(SHARE).alias("reserve"), user_address(F.col("user") + 1).alias("user"),
                         (F.col("cents") * F.col("d")).alias("amount"))
 
-    @cached_property
-    def repay(self) -> DataFrame:
+    def _build_repay(self) -> DataFrame:
         x = self.lines.filter((F.col("f") == "R") & (F.col("st") == "F") & (F.col("t") < 8))
         return x.select(F.lit(ASSET).alias("reserve"), user_address(F.col("user") + 1).alias("user"),
                         (F.col("cents") * F.col("d")).alias("amount"))
 
-    @cached_property
-    def liquidation(self) -> DataFrame:
+    def _build_liquidation(self) -> DataFrame:
         x = self.lines.filter((F.col("f") == "R") & (F.col("st") == "F") & (F.col("t") == 8))
         return x.select(
             user_address(F.col("user") + 1).alias("user"), F.lit(ASSET).alias("debt_asset"),
@@ -165,13 +174,11 @@ class StandIns:
             (F.col("cents") * F.col("t")).alias("liquidated_collateral_amount"),
         )
 
-    @cached_property
-    def creation_traces(self) -> DataFrame:
+    def _build_creation_traces(self) -> DataFrame:
         return self.table("lineitem").select(user_address(F.col("l_suppkey") + 1).alias("address"))
 
     # --------------------------------------------------------------- transfers
-    @cached_property
-    def transfers(self) -> DataFrame:
+    def _build_transfers(self) -> DataFrame:
         x = self.lines
         odd = F.col("l_linenumber") % 2 == 1
         contract = (
@@ -205,8 +212,7 @@ class StandIns:
             F.col("l_linenumber").alias("evt_index"),
         )
 
-    @cached_property
-    def raw_logs(self) -> DataFrame:
+    def _build_raw_logs(self) -> DataFrame:
         """Transfers re-encoded as landed log records (topics + data words)."""
         t = self.transfers
         w = lambda a: F.concat(F.lit("0x"), F.lpad(F.substring(a, 3, 40), 64, "0"))
@@ -219,8 +225,7 @@ class StandIns:
         )
 
     # ----------------------------------------------------------- rate updates
-    @cached_property
-    def reserve_updates(self) -> DataFrame:
+    def _build_reserve_updates(self) -> DataFrame:
         o = self.table("orders")
         days = F.datediff(F.to_date("o_orderdate"), F.lit(CAL_START)).cast("double")
         borrow_apr = F.col("o_totalprice") / 1e7
@@ -257,8 +262,7 @@ class StandIns:
         )
         return x.groupBy("user").agg(F.sum(c).alias("c_raw"), F.sum(d).alias("d_raw"))
 
-    @cached_property
-    def balances(self) -> DataFrame:
+    def _build_balances(self) -> DataFrame:
         p = self.positions_all
         u = F.col("user")
         coll = p.filter(u % 7 != 3).select(
@@ -269,8 +273,7 @@ class StandIns:
             user_address(F.col("user") + 1).alias("address"), F.col("d_raw").alias("balance"))
         return coll.unionByName(debt)
 
-    @cached_property
-    def account_words(self) -> DataFrame:
+    def _build_account_words(self) -> DataFrame:
         """getUserAccountData-style return blobs: six 32-byte words
         (collateral, debt, available in 1e-8 base units priced at the vault
         exchange rate; lt, ltv in bps; HF in 1e-4 units).  Accounts without a
@@ -293,15 +296,13 @@ class StandIns:
             F.when((cb > 0) & (db > 0), full).otherwise(short).alias("data"),
         )
 
-    @cached_property
-    def code(self) -> DataFrame:
+    def _build_code(self) -> DataFrame:
         users = self.positions_all.select(user_address(F.col("user") + 1).alias("address"))
         traced = self.creation_traces.join(users, "address", "left_semi").distinct()
         return users.join(traced.withColumn("has", F.lit(True)), "address", "left").select(
             "address", F.when(F.col("has"), F.lit("0x6080")).otherwise(F.lit("")).alias("code"))
 
-    @cached_property
-    def reserves(self) -> DataFrame:
+    def _build_reserves(self) -> DataFrame:
         """Reserve snapshot: configuration (bps), caps, totals (WAD), rates
         (RAY), last update (epoch s) and curve parameters (bps)."""
         s = self.table("supplier")
@@ -340,8 +341,7 @@ class StandIns:
             s2.cast("int").alias("slope2"),
         )
 
-    @cached_property
-    def categories(self) -> DataFrame:
+    def _build_categories(self) -> DataFrame:
         p = self.table("part")
         k, size = F.col("p_partkey"), F.col("p_size")
         coll = F.expr("shiftleft(1L, cast(p_partkey % 10 AS INT)) | shiftleft(1L, cast(p_size % 10 AS INT))")
@@ -355,8 +355,7 @@ class StandIns:
             (F.lit(10000) + k % 500).cast("int").alias("bonus"),
         )
 
-    @cached_property
-    def lineage(self) -> DataFrame:
+    def _build_lineage(self) -> DataFrame:
         """PT -> SY -> yield-token edges: only PT- reserves have an SY hop."""
         r = self.reserves.filter(F.col("symbol").startswith("PT-")).select("address", "reserve_index")
         s = self.table("supplier").select(F.col("s_suppkey").cast("int").alias("reserve_index"), "s_nationkey")
@@ -367,8 +366,7 @@ class StandIns:
                         region_address("n_regionkey").alias("target"))
         return hop1.unionByName(hop2)
 
-    @cached_property
-    def token_supply(self) -> DataFrame:
+    def _build_token_supply(self) -> DataFrame:
         """Per token: net minted supply and the balance held by the vault (WAD-like raw)."""
         t = self.transfers
         z = F.lit(ZERO_ADDRESS)
@@ -378,3 +376,72 @@ class StandIns:
             F.sum(minted.cast("decimal(38,0)")).alias("total_supply"),
             F.sum(held.cast("decimal(38,0)")).alias("vault_balance"),
         )
+
+
+# Landed domain tables (see StandIns docstring).
+LANDED = ('supply', 'borrow', 'withdraw', 'repay', 'liquidation', 'creation_traces', 'transfers', 'raw_logs', 'reserve_updates', 'balances', 'account_words', 'code', 'reserves', 'categories', 'lineage', 'token_supply')
+StandIns.supply = property(lambda self: self._landed('supply') if self.land else self._build_supply(), doc=StandIns._build_supply.__doc__)
+StandIns.borrow = property(lambda self: self._landed('borrow') if self.land else self._build_borrow(), doc=StandIns._build_borrow.__doc__)
+StandIns.withdraw = property(lambda self: self._landed('withdraw') if self.land else self._build_withdraw(), doc=StandIns._build_withdraw.__doc__)
+StandIns.repay = property(lambda self: self._landed('repay') if self.land else self._build_repay(), doc=StandIns._build_repay.__doc__)
+StandIns.liquidation = property(lambda self: self._landed('liquidation') if self.land else self._build_liquidation(), doc=StandIns._build_liquidation.__doc__)
+StandIns.creation_traces = property(lambda self: self._landed('creation_traces') if self.land else self._build_creation_traces(), doc=StandIns._build_creation_traces.__doc__)
+StandIns.transfers = property(lambda self: self._landed('transfers') if self.land else self._build_transfers(), doc=StandIns._build_transfers.__doc__)
+StandIns.raw_logs = property(lambda self: self._landed('raw_logs') if self.land else self._build_raw_logs(), doc=StandIns._build_raw_logs.__doc__)
+StandIns.reserve_updates = property(lambda self: self._landed('reserve_updates') if self.land else self._build_reserve_updates(), doc=StandIns._build_reserve_updates.__doc__)
+StandIns.balances = property(lambda self: self._landed('balances') if self.land else self._build_balances(), doc=StandIns._build_balances.__doc__)
+StandIns.account_words = property(lambda self: self._landed('account_words') if self.land else self._build_account_words(), doc=StandIns._build_account_words.__doc__)
+StandIns.code = property(lambda self: self._landed('code') if self.land else self._build_code(), doc=StandIns._build_code.__doc__)
+StandIns.reserves = property(lambda self: self._landed('reserves') if self.land else self._build_reserves(), doc=StandIns._build_reserves.__doc__)
+StandIns.categories = property(lambda self: self._landed('categories') if self.land else self._build_categories(), doc=StandIns._build_categories.__doc__)
+StandIns.lineage = property(lambda self: self._landed('lineage') if self.land else self._build_lineage(), doc=StandIns._build_lineage.__doc__)
+StandIns.token_supply = property(lambda self: self._landed('token_supply') if self.land else self._build_token_supply(), doc=StandIns._build_token_supply.__doc__)
+
+PARTITION_BY = {"transfers": ["contract_address"], "raw_logs": ["address"], "reserve_updates": ["reserve"]}
+_LANDED_DF: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _fs(spark: SparkSession, path: str):
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark._jsc.hadoopConfiguration()), jp
+
+
+def land_table(s: "StandIns", name: str) -> DataFrame:
+    """Derive ``name`` and write it once under the checkpoint folder; later
+    calls in the same application read the landed parquet.  The write goes
+    to a temporary folder that is renamed into place, so a failed or
+    concurrent attempt never leaves a half-written table behind."""
+    import hashlib
+    import uuid
+
+    from ..plans.session import ensure_checkpoint_dir
+
+    spark = s.spark
+    key = (spark._jsparkSession.hashCode(), s.sf_dir, name)
+    df = _LANDED_DF.get(key)
+    if df is not None:
+        return df
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    tag = hashlib.sha1(s.sf_dir.encode()).hexdigest()[:12]
+    final = f"{root}/landed/{tag}/{name}"
+    fs, jfinal = _fs(spark, final)
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(final + "/_SUCCESS")):
+        tmp = f"{root}/landed/{tag}/.{name}-{uuid.uuid4().hex}"
+        built = getattr(s, f"_build_{name}")()
+        n = spark.sparkContext.defaultParallelism
+        w = built.repartition(n).write.mode("overwrite")
+        parts = PARTITION_BY.get(name)
+        if parts:
+            w = w.partitionBy(*parts)
+        w.parquet(tmp)
+        _, jtmp = _fs(spark, tmp)
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(final + "/_SUCCESS")):
+            fs.mkdirs(jfinal.getParent())
+            if fs.exists(jfinal):
+                fs.delete(jfinal, True)
+            fs.rename(jtmp, jfinal)
+        else:
+            fs.delete(jtmp, True)
+    df = spark.read.parquet(final)
+    _LANDED_DF[key] = df
+    return df
