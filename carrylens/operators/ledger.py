@@ -131,8 +131,13 @@ def daily_net_flows(transfers: DataFrame, contracts: Sequence[str], vault: str,
 
 def exchange_rate_scalar(transfers: DataFrame, asset: str, vault: str, unit: float) -> DataFrame:
     """Vault assets / vault share supply (J-2, AG-1, JN-2): a one-row DataFrame.
-    Both totals come from the same single scan and aggregation."""
-    f = flow_kinds(transfers, [asset, vault], vault)
+    Both totals come from the same single scan and aggregation; the
+    disjunctive "touches the vault / touches zero" filters (PF-6) go to the
+    parquet reader together with the contract filter."""
+    z = F.lit(ZERO_ADDRESS)
+    c, frm, to = F.col("contract_address"), F.col("from"), F.col("to")
+    relevant = ((c == asset) & ((to == vault) | (frm == vault))) | ((c == vault) & ((frm == z) | (to == z)))
+    f = flow_kinds(transfers.filter(relevant), [asset, vault], vault)
     c = F.col("contract_address")
     g = f.agg(
         F.sum(F.when(c == asset, F.col("vault_flow"))).alias("assets_raw"),

@@ -1,6 +1,6 @@
 """Hurdle, equilibrium and scenario grids (J-18..J-23).
 
-The studied notebook solves each scenario in a Python loop on one machine.
+The studied analysis solves each scenario in a Python loop on one machine.
 Here a scenario is a row: a literal scenario table is cross-joined (broadcast,
 its size is fixed by the caller) with the one-row cluster statistics computed
 from the account data, and every formula is a column expression.  A grid of

@@ -67,10 +67,14 @@ def daily_flows(transfers: DataFrame, p: CarryParams) -> DataFrame:
     """All four daily flows of the carry query from one scan and one
     aggregation (AG-2, R1): deposit-token and debt-token mint/burn, the
     asset's vault flow and the vault share mint/burn.  Exact sums."""
-    t = transfers.filter(F.col("contract_address").isin(p.a_token, p.debt_token, p.asset, p.vault))
     c, frm, to = F.col("contract_address"), F.col("from"), F.col("to")
-    v = exact("value")
     z = F.lit(ZERO_ADDRESS)
+    touches_zero = (frm == z) | (to == z)
+    touches_vault = (to == F.lit(p.vault)) | (frm == F.lit(p.vault))
+    # contract IN (...) prunes partitions; the disjunctions (PF-6) are pushed to the reader
+    t = transfers.filter(c.isin(p.a_token, p.debt_token, p.asset, p.vault)).filter(
+        (c.isin(p.a_token, p.debt_token, p.vault) & touches_zero) | ((c == p.asset) & touches_vault))
+    v = exact("value")
     mint = F.when(frm == z, v).when(to == z, -v)
     vault = F.when(to == F.lit(p.vault), v).when(frm == F.lit(p.vault), -v)
     g = t.groupBy(F.to_date("evt_block_time").alias("day")).agg(
@@ -182,4 +186,4 @@ def carry_daily(spark: SparkSession, updates: DataFrame, transfers: DataFrame, p
         r8(F.col("exch_rate_growth_30d")).alias("vault_apy_30d"),
         r8(F.col("exch_rate")).alias("vault_exchange_rate"),
         r8(F.col("exch_rate_growth_30d") - borrow_apy).alias("carry"),
-    )
+    ).orderBy("day")  # SL-2: a few thousand rows, one per day

@@ -165,7 +165,7 @@ BODIES_MODEL: dict[str, str] = {
     "curve_inverse": f"""SELECT day, borrow_apr,
         round(CASE WHEN borrow_apr <= 0.0{D} + 0.04{D} THEN 0.90{D} * (borrow_apr - 0.0{D}) / 0.04{D}
             ELSE 0.90{D} + (1.0{D} - 0.90{D}) * (borrow_apr - 0.0{D} - 0.04{D}) / 0.12{D} END, 8) AS implied_utilisation,
-        CASE WHEN borrow_apr <= 0.0{D} + 0.04{D} THEN 'below kink' ELSE 'above kink' END AS branch FROM aave_daily""",
+        CASE WHEN borrow_apr <= 0.0{D} + 0.04{D} THEN 'below kink' ELSE 'above kink' END AS branch FROM rate_daily""",
     "scenario_grid": f"""SELECT a.address, r.borrow_rate, round(a.leverage, 8) AS leverage, round({roe('a.leverage', 'r.borrow_rate')}, 8) AS roe
         FROM normal_acc a CROSS JOIN (SELECT * FROM (VALUES (0.02{D}), (0.025{D}), (0.03{D}), (0.033{D}),
             (0.035{D}), (0.04{D})) t(borrow_rate)) r""",
@@ -190,5 +190,5 @@ BODIES_MODEL: dict[str, str] = {
         FROM (SELECT {EQ_SQ} FROM (SELECT hurdle, w_leverage AS L FROM cstats)) b
         CROSS JOIN (SELECT {EQ_ALT} FROM (SELECT hurdle, w_leverage AS L FROM cstats)) a
         CROSS JOIN (SELECT arg_max(CASE WHEN borrow_apr > 0 THEN supply_apr / (borrow_apr * (1.0{D} - 0.25{D})) END, day) AS observed_u
-                    FROM aave_daily) o""",
+                    FROM rate_daily) o""",
 }

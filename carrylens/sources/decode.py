@@ -1,6 +1,6 @@
 """Landed raw logs and call-return blobs -> typed columns (SRC-6..SRC-8, SC-9..SC-12).
 
-The studied notebook pages a JSON-RPC endpoint by block window and decodes
+The studied analysis pages a JSON-RPC endpoint by block window and decodes
 topics in Python; here the logs are a landed table and decoding is pure
 column arithmetic (hex limbs through ``conv``), so it runs in codegen and
 scales with the scan.

@@ -71,11 +71,14 @@ def parallel_scan(df: DataFrame, min_bytes: int = int(os.environ.get("CARRYLENS_
     the scan already has far more splits than cores and this is a no-op.
     """
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n >= target:
+    try:
+        target = spark.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+        if n >= target:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # Spark Connect: no RDD view; leave the scan as it is
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(target) if size >= min_bytes else df
 
 
@@ -110,7 +113,8 @@ class StandIns:
         query that reads a table five times lists it once.  Only the plan is
         kept -- every query still scans the data."""
         path = f"{self.sf_dir}/{name}.parquet"
-        key = (self.spark._jsparkSession.hashCode(), path)
+        key = (getattr(self.spark, "_jsparkSession", self.spark).hashCode() if hasattr(self.spark, "_jsparkSession")
+               else id(self.spark), path)
         df = _TABLES.get(key)
         if df is None:
             df = parallel_scan(self.spark.read.parquet(path))
@@ -417,6 +421,8 @@ def land_table(s: "StandIns", name: str) -> DataFrame:
     from ..plans.session import ensure_checkpoint_dir
 
     spark = s.spark
+    if not hasattr(spark, "_jsparkSession"):  # Spark Connect: query the derivation directly
+        return getattr(s, f"_build_{name}")()
     key = (spark._jsparkSession.hashCode(), s.sf_dir, name)
     df = _LANDED_DF.get(key)
     if df is not None:
