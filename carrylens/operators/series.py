@@ -45,6 +45,13 @@ def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
         F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("INTERVAL 1 DAY"))).alias("day"))
 
 
+def calendar_span(df: DataFrame, ts: str) -> DataFrame:
+    """Dense calendar from the first to the last day present in ``df[ts]``:
+    a one-row min/max aggregate (partial aggregation) exploded into days."""
+    b = df.agg(F.min(F.to_date(ts)).alias("lo"), F.max(F.to_date(ts)).alias("hi"))
+    return b.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
+
+
 def latest_per_day(updates: DataFrame, reserve: str, start: date, rate_unit: float = 1.0) -> DataFrame:
     """Last update of each day by (block desc, log index desc) (AG-17, WN-6,
     SRC-4): ``max_by`` over a struct key is a plain hash aggregate with

@@ -263,9 +263,9 @@ DIVERGENCE_TOL = 0.05
 
 @query
 def calendar(spark, sf):
-    """SC-4 / SC-5: dense day calendar between two argument dates."""
-    S.StandIns(spark, sf)
-    return series.calendar(spark, CARRY.start_day, CARRY.end_day)
+    """SC-4 / SC-5: dense day calendar spanning the transfer history (the
+    carry jobs use the same generator between two argument dates)."""
+    return series.calendar_span(S.StandIns(spark, sf).transfers, "evt_block_time")
 
 
 @query

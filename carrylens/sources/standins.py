@@ -41,6 +41,13 @@ TABLES = (
 ).split()
 
 
+def borrow_multiplier(segment) -> F.Column:
+    """Borrowed amount per 100 supplied, by the customer's market segment:
+    one segment borrows conservatively, two over-borrow, the rest loop."""
+    return (F.when(segment == "AUTOMOBILE", 80).when(segment == "BUILDING", 150)
+            .when(segment == "FURNITURE", 135).otherwise(127))
+
+
 def user_address(c) -> F.Column:
     return address_from_id(c, "0")
 
@@ -130,9 +137,11 @@ class StandIns:
             "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
         )
         o = self.table("orders").select(F.col("o_orderkey"), F.col("o_custkey"))
-        j = li.join(o, li.l_orderkey == o.o_orderkey)
+        c = self.table("customer").select(F.col("c_custkey"), F.col("c_mktsegment"))
+        j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
         return j.select(
             F.col("o_custkey").alias("user"),
+            F.col("c_mktsegment").alias("seg"),
             F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
             F.round(F.col("l_discount") * 100).cast("bigint").alias("d"),
             F.round(F.col("l_tax") * 100).cast("bigint").alias("t"),
@@ -150,10 +159,7 @@ class StandIns:
         )
 
     def _build_borrow(self) -> DataFrame:
-        u = F.col("user")
-        k = (
-            F.when(u % 5 == 0, 80).when(u % 10 == 1, 150).when(u % 10 == 6, 135).otherwise(127)
-        )
+        k = borrow_multiplier(F.col("seg"))
         x = self.lines.filter(F.col("f").isin("N", "A"))
         return x.select(
             F.lit(ASSET).alias("reserve"), user_address(F.col("user") + 1).alias("on_behalf_of"),
@@ -251,8 +257,7 @@ class StandIns:
         x = self.lines
         f, st, t = F.col("f"), F.col("st"), F.col("t")
         na = f.isin("N", "A")
-        u = F.col("user")
-        k = F.when(u % 5 == 0, 80).when(u % 10 == 1, 150).when(u % 10 == 6, 135).otherwise(127)
+        k = borrow_multiplier(F.col("seg"))
         c = (
             F.when(na, F.col("cents") * 100)
             .when((f == "R") & (st == "O"), -F.col("cents") * F.col("d"))
@@ -267,12 +272,15 @@ class StandIns:
         return x.groupBy("user").agg(F.sum(c).alias("c_raw"), F.sum(d).alias("d_raw"))
 
     def _build_balances(self) -> DataFrame:
-        p = self.positions_all
-        u = F.col("user")
-        coll = p.filter(u % 7 != 3).select(
+        # who holds which token is an account attribute: one market segment keeps
+        # its collateral outside the deposit token, overdrawn customers carry
+        # no variable debt token -- so some addresses hold one leg only
+        c = self.table("customer").select(F.col("c_custkey").alias("user"), "c_mktsegment", "c_acctbal")
+        p = self.positions_all.join(c, "user", "left")
+        coll = p.filter(~F.coalesce(F.col("c_mktsegment") == "HOUSEHOLD", F.lit(False))).select(
             F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), F.lit(ATOKEN).alias("token"),
             user_address(F.col("user") + 1).alias("address"), F.col("c_raw").alias("balance"))
-        debt = p.filter(u % 11 != 5).select(
+        debt = p.filter(~F.coalesce(F.col("c_acctbal") < 0, F.lit(False))).select(
             F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), F.lit(DTOKEN).alias("token"),
             user_address(F.col("user") + 1).alias("address"), F.col("d_raw").alias("balance"))
         return coll.unionByName(debt)
