@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import os
 from datetime import date
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,8 +128,7 @@ class StandIns:
         return df
 
     # ------------------------------------------------------------------ base
-    @cached_property
-    def lines(self) -> DataFrame:
+    def _build_lines(self) -> DataFrame:
         """lineitem joined to its order; one row per line (no unique key)."""
         li = self.table("lineitem").select(
             "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
@@ -251,8 +249,7 @@ class StandIns:
         )
 
     # --------------------------------------------------------------- snapshots
-    @cached_property
-    def positions_all(self) -> DataFrame:
+    def _build_positions_all(self) -> DataFrame:
         """Net collateral C and debt D per user in raw 1e-4 units, no threshold."""
         x = self.lines
         f, st, t = F.col("f"), F.col("st"), F.col("t")
@@ -391,7 +388,12 @@ class StandIns:
 
 
 # Landed domain tables (see StandIns docstring).
-LANDED = ('supply', 'borrow', 'withdraw', 'repay', 'liquidation', 'creation_traces', 'transfers', 'raw_logs', 'reserve_updates', 'balances', 'account_words', 'code', 'reserves', 'categories', 'lineage', 'token_supply')
+BASES = ("lines", "positions_all")  # shared intermediates, landed first
+LANDED = BASES + ('supply', 'borrow', 'withdraw', 'repay', 'liquidation', 'creation_traces', 'transfers', 'raw_logs', 'reserve_updates', 'balances', 'account_words', 'code', 'reserves', 'categories', 'lineage', 'token_supply')
+StandIns.lines = property(lambda self: self._landed("lines") if self.land else self._build_lines(),
+                          doc=StandIns._build_lines.__doc__)
+StandIns.positions_all = property(lambda self: self._landed("positions_all") if self.land else self._build_positions_all(),
+                                  doc=StandIns._build_positions_all.__doc__)
 StandIns.supply = property(lambda self: self._landed('supply') if self.land else self._build_supply(), doc=StandIns._build_supply.__doc__)
 StandIns.borrow = property(lambda self: self._landed('borrow') if self.land else self._build_borrow(), doc=StandIns._build_borrow.__doc__)
 StandIns.withdraw = property(lambda self: self._landed('withdraw') if self.land else self._build_withdraw(), doc=StandIns._build_withdraw.__doc__)
