@@ -432,12 +432,12 @@ def block_window_counts(spark, sf):
 @query
 def snapshot_as_of(spark, sf):
     """SRC-9: state of every reserve as of a pinned block, by max_by."""
+    from ..sources.schemas import snapshot_as_of as as_of
+
     s = S.StandIns(spark, sf)
-    u = s.reserve_updates.filter(F.col("evt_block_number") <= AS_OF_BLOCK)
-    key = F.struct("evt_block_number", "evt_index")
-    g = u.groupBy("reserve").agg(F.max_by(F.struct("evt_block_number", "variable_borrow_rate", "liquidity_rate"), key).alias("s"))
-    return g.select("reserve", F.col("s.evt_block_number").alias("evt_block_number"),
-                    F.col("s.variable_borrow_rate").alias("borrow_apr"), F.col("s.liquidity_rate").alias("supply_apr"))
+    x = as_of(s.reserve_updates, ["reserve"], AS_OF_BLOCK, block="evt_block_number", order=["evt_index"])
+    return x.select("reserve", "evt_block_number", F.col("variable_borrow_rate").alias("borrow_apr"),
+                    F.col("liquidity_rate").alias("supply_apr"))
 
 
 # ======================================== balances, accounts, code, traces

@@ -100,3 +100,25 @@ def test_concentration_with_fewer_loopers_than_n(spark):
         "address", F.col("debt_raw").cast("decimal(38,0)").alias("debt_raw"))
     r = {x.top_n: x.share_of_looper_debt for x in positions.concentration_topn(df, (1, 3)).collect()}
     assert r == {1: 0.6, 3: 1.0}
+
+
+def test_read_events_schema_and_pushdown(spark, tmp_path):
+    from carrylens.sources.schemas import read_events
+
+    df = spark.createDataFrame([("0xr", "0xu", 5, None), ("0xq", "0xu", 7, None)],
+                               "reserve string, on_behalf_of string, amount long, evt_block_time timestamp_ntz")
+    df.select("amount", "on_behalf_of", "reserve").write.parquet(str(tmp_path / "b"))  # reordered, a column missing
+    r = read_events(spark, str(tmp_path / "b"), "borrow", reserve="0xr")
+    assert [f.name for f in r.schema.fields] == ["reserve", "on_behalf_of", "amount", "evt_block_time"]
+    assert r.schema["amount"].dataType.simpleString() == "decimal(38,0)"
+    assert [x.amount for x in r.collect()] == [5]
+    assert "EqualTo(reserve,0xr)" in r._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_as_of_takes_latest_at_or_before_pin(spark):
+    from carrylens.sources.schemas import snapshot_as_of
+
+    df = spark.createDataFrame([("a", 1, 0, 10), ("a", 5, 0, 50), ("a", 5, 2, 52), ("a", 9, 0, 90), ("b", 9, 0, 99)],
+                               "k string, block_number long, idx int, v long")
+    r = {x.k: x for x in snapshot_as_of(df, ["k"], 5, order=["idx"]).collect()}
+    assert set(r) == {"a"} and r["a"].v == 52 and r["a"].block_number == 5
