@@ -27,7 +27,8 @@ def main(argv: list[str]) -> int:
     from carrylens.plans.catalog import QUERIES
     from carrylens.plans.session import build_session
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8), app="carrylens-bench")
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(cpus, 8)))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=shuffle, app="carrylens-bench")
     keys = argv[1:] or list(QUERIES)
 
     # Landing: the stand-in domain tables are derived from the driver tables
