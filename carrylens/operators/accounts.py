@@ -42,16 +42,18 @@ def risk_segments(accounts: DataFrame, dust_cut: float) -> DataFrame:
 
 
 def leverage_stats(accounts: DataFrame, dust_cut: float) -> DataFrame:
-    """Median (exact, mean of the middle pair), debt-weighted mean, min and
-    max leverage over normal accounts (AG-10..AG-12), one aggregation."""
+    """Median (exact, mean of the middle pair, by distributed rank), debt-
+    weighted mean, min and max leverage over normal accounts (AG-10..AG-12)."""
+    from .ranking import exact_median
+
     n = with_segments(accounts, dust_cut).filter(F.col("segment") == "normal")
+    med = exact_median(n, "leverage", "address").select(F.col("median").alias("median_leverage"))
     g = n.agg(
         F.count(F.lit(1)).alias("n_accounts"),
-        F.median("leverage").alias("median_leverage"),
         safe_div(F.sum(F.col("leverage") * F.col("debt")), F.sum("debt")).alias("weighted_leverage"),
         F.min("leverage").alias("min_leverage"),
         F.max("leverage").alias("max_leverage"),
-    )
+    ).crossJoin(F.broadcast(med))
     return g.select("n_accounts", *[r8(F.col(k)).alias(k) for k in
                                     ("median_leverage", "weighted_leverage", "min_leverage", "max_leverage")])
 

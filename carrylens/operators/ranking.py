@@ -86,3 +86,19 @@ def top_k_with_running(
         F.row_number().over(w).cast("bigint").alias(rank_col),
         *[F.sum(e).over(w).alias(name) for name, e in running.items()],
     )
+
+
+def exact_median(df: DataFrame, value: str, tiebreak: str) -> DataFrame:
+    """Exact median of ``value`` (mean of the middle pair when the count is
+    even) as a one-row DataFrame, without gathering the values of the group
+    into one task: the built-in exact ``percentile``/``median`` buffers every
+    value of a group in a single aggregation buffer, which does not bound at
+    scale.  Here the values are globally ranked (range partitioned, see
+    :func:`global_rank`) and only the one or two middle ranks are kept."""
+    v = df.filter(F.col(value).isNotNull()).select(value, tiebreak)
+    n = v.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = global_rank(v, [F.col(value).asc(), F.col(tiebreak).asc()], rank_col="_r")
+    lo = F.floor((F.col("_n") + 1) / 2)
+    hi = F.floor(F.col("_n") / 2) + 1
+    mid = ranked.crossJoin(F.broadcast(n)).filter((F.col("_r") == lo) | (F.col("_r") == hi))
+    return mid.agg(F.avg(value).alias("median"))

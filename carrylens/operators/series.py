@@ -97,8 +97,9 @@ def densified_flows(spark: SparkSession, transfers: DataFrame, p: CarryParams) -
     """Calendar left-joined to the daily flows, NULL -> 0 (JN-6, PF-11).
     Flows dated before ``start_day`` fall off the calendar (T17)."""
     cal = calendar(spark, p.start_day, p.end_day)
+    # one row per day on both sides; the daily aggregate is the build side
     f = daily_flows(transfers, p)
-    j = F.broadcast(cal).join(f, "day", "left")
+    j = cal.join(F.broadcast(f), "day", "left")
     zero = F.lit(0).cast("decimal(38,0)")
     return j.select("day", *[F.coalesce(F.col(k), zero).alias(k) for k in ("a_net", "d_net", "u_net", "s_net")])
 

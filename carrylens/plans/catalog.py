@@ -244,7 +244,8 @@ def exchange_rate_scalar(spark, sf):
 def distinct_holders(spark, sf):
     """J-30 / SO-2 / SO-3 / SL-6: every address that ever held either position token."""
     s = S.StandIns(spark, sf)
-    return ledger.distinct_holders(s.transfers, [S.ATOKEN, S.DTOKEN])
+    # SL-6: sorted list; a range-partitioned sort, not a single-task one
+    return ledger.distinct_holders(s.transfers, [S.ATOKEN, S.DTOKEN]).orderBy("address")
 
 
 # ===================================================== calendar and carry
