@@ -36,6 +36,13 @@ class CarryParams:
     rate_unit: float = 1.0  # raw units per natural unit of rates/indices (1e27 on chain)
     secs_per_year: float = 31_536_000.0
     amounts_are_scaled: bool = True  # T19: mint/burn carry scaled amounts
+    # T17: balances carried into start_day (raw units); flows before start_day
+    # are otherwise off the calendar
+    opening_scaled_supply: int = 0
+    opening_scaled_debt: int = 0
+    opening_assets: int = 0
+    opening_shares: int = 0
+    forward_fill_rates: bool = False  # T16: default drops days without an update
 
 
 def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
@@ -111,7 +118,9 @@ def running_state(spark: SparkSession, transfers: DataFrame, p: CarryParams) ->
     the window runs over the calendar only (days, not events)."""
     d = densified_flows(spark, transfers, p)
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = d.select("day", *[F.sum(k).over(w).alias(k) for k in ("a_net", "d_net", "u_net", "s_net")])
+    opening = {"a_net": p.opening_scaled_supply, "d_net": p.opening_scaled_debt,
+               "u_net": p.opening_assets, "s_net": p.opening_shares}
+    r = d.select("day", *[(F.sum(k).over(w) + F.lit(str(v)).cast("decimal(38,0)")).alias(k) for k, v in opening.items()])
     return r.select(
         "day",
         scale("a_net", p.unit).alias("scaled_supply"),
@@ -148,7 +157,13 @@ def reserve_daily(spark: SparkSession, updates: DataFrame, transfers: DataFrame,
     NOT NULL filter becomes an inner join in the optimised plan (PF-9)."""
     rates = latest_per_day(updates, p.asset, p.start_day, p.rate_unit)
     state = state if state is not None else running_state(spark, transfers, p)
-    j = state.join(rates, "day", "left").filter(F.col("borrow_apr").isNotNull())
+    j = state.join(rates, "day", "left")
+    if p.forward_fill_rates:
+        # carry the last update forward over the (calendar-bounded) day axis
+        w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cols = ["evt_block_number", "supply_apr", "borrow_apr", "liq_index", "debt_index"]
+        j = j.select(*[c for c in j.columns if c not in cols], *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
+    j = j.filter(F.col("borrow_apr").isNotNull())
     if p.amounts_are_scaled:
         supply = F.col("scaled_supply") * F.col("liq_index")
         borrow = F.col("scaled_debt") * F.col("debt_index")

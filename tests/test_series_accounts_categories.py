@@ -89,3 +89,23 @@ def test_category_purity_vacuous_and_unresolvable(spark):
     assert f == {1: True, 2: True, 3: False}
     best = categories.best(categories.pure_flags(cands, reserves, lineage, 3, "TARGET")).first()
     assert best.category_id == 1
+
+
+def test_opening_balance_and_forward_fill_options(spark):
+    import dataclasses
+
+    z = "0x" + "0" * 40
+    p = series.CarryParams(asset="A", vault="V", a_token="AT", debt_token="DT", reserve_factor=0.25,
+                           start_day=dt.date(2024, 1, 1), end_day=dt.date(2024, 1, 4), window_start=dt.date(2024, 1, 1), unit=1.0)
+    t = spark.createDataFrame([("AT", z, "u", 5, dt.datetime(2024, 1, 2))],
+                              "contract_address string, from string, to string, value long, evt_block_time timestamp_ntz")
+    s = {r.day: r.scaled_supply for r in series.running_state(spark, t, dataclasses.replace(p, opening_scaled_supply=10)).collect()}
+    assert [s[dt.date(2024, 1, d)] for d in range(1, 5)] == [10, 15, 15, 15]
+    u = spark.createDataFrame([("A", dt.datetime(2024, 1, 1), 1, 0, 0.01, 0.02, 1.0, 1.0),
+                               ("A", dt.datetime(2024, 1, 3), 2, 0, 0.03, 0.04, 1.1, 1.1)],
+                              "reserve string, evt_block_time timestamp_ntz, evt_block_number long, evt_index int, "
+                              "liquidity_rate double, variable_borrow_rate double, liquidity_index double, variable_borrow_index double")
+    dropped = series.reserve_daily(spark, u, t, p).select("day").collect()
+    filled = {r.day: r.borrow_apr for r in series.reserve_daily(spark, u, t, dataclasses.replace(p, forward_fill_rates=True)).collect()}
+    assert len(dropped) == 2  # default: days without an update are dropped (T16)
+    assert filled == {dt.date(2024, 1, 1): 0.02, dt.date(2024, 1, 2): 0.02, dt.date(2024, 1, 3): 0.04, dt.date(2024, 1, 4): 0.04}
