@@ -257,6 +257,8 @@ CARRY = series.CarryParams(
     asset=S.ASSET, vault=S.VAULT, a_token=S.ATOKEN, debt_token=S.DTOKEN, reserve_factor=0.25,
     start_day=S.CAL_START, end_day=S.CAL_END, window_start=S.WINDOW_START, unit=S.UNIT,
 )
+# period labels: the studied query labels three open-ended periods by two
+# cut dates; the stand-in calendar gets its own cut dates and labels
 PERIODS = [(date(1998, 1, 1), "1. 1996-1997"), (date(2000, 1, 1), "2. 1998-1999")]
 LAST_PERIOD = "3. 2000-2001"
 DIVERGENCE_TOL = 0.05
@@ -370,6 +372,7 @@ def carry_daily(spark, sf):
 from ..operators import accounts  # noqa: E402
 from ..sources import decode  # noqa: E402
 
+# block windows: the studied pager requests inclusive windows of 9,999 + 1 blocks
 WINDOW_FIRST, WINDOW_LAST, WINDOW_SIZE = 0, 999_999, 9_999
 ZERO_WORD = "0x" + "0" * 64
 HF_UNIT = 1e4  # the stand-in account records carry HF in 1e-4 units
@@ -702,6 +705,14 @@ def integrity_checks(spark, sf):
 
 
 # ============================ accounts as cluster + literal scenario tables
+# Fixed values of the studied scenario model, as stated there: vault yield,
+# case borrow rate, liquidation threshold, status-quo curve (base 0, kink
+# 0.90, slope1 0.04, slope2 0.12, reserve factor 0.25), deposits 1e9, a
+# 10-member cluster excluding leverage below 5x, HF targets 1.025 / 1.05 /
+# 1.10, leverage targets 10x / cluster / 12x, the four configurations
+# (status quo 0.90/0.04, A 0.80/0.04, B 0.90/0.07, C 0.85/0.055), the slope1
+# sweep 0.02 0.03 0.034 0.04 0.05 0.07 0.10 0.15 0.20 and the placeholder
+# slope1 0.035.
 Y, R_CASE, LT = 0.04, 0.033, 0.94
 CURVE = scenarios.Curve()
 DEPOSITS = 1e9
