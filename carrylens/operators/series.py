@@ -59,21 +59,29 @@ def calendar_span(df: DataFrame, ts: str) -> DataFrame:
     return b.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
 
 
+def event_order_key(block: str = "evt_block_number", index: str = "evt_index") -> F.Column:
+    """(block, log index) packed into one BIGINT that sorts the same way:
+    ``block * 2^20 + index`` (log indices stay far below 2^20 and block
+    numbers far below 2^43)."""
+    return F.col(block) * F.lit(1 << 20) + F.col(index).cast("bigint")
+
+
 def latest_per_day(updates: DataFrame, reserve: str, start: date, rate_unit: float = 1.0) -> DataFrame:
     """Last update of each day by (block desc, log index desc) (AG-17, WN-6,
-    SRC-4): ``max_by`` over a struct key is a plain hash aggregate with
-    partial aggregation -- no per-day sort and no window."""
+    SRC-4).  One ``max_by`` per column over a packed BIGINT order key: the
+    buffers are primitive, so this stays a hash aggregate with partial
+    aggregation -- no per-day sort, no window, no sort aggregate."""
     u = updates.filter((F.col("reserve") == reserve) & (F.col("evt_block_time") >= F.lit(start)))
-    key = F.struct("evt_block_number", "evt_index")
-    val = F.struct("evt_block_number", "liquidity_rate", "variable_borrow_rate", "liquidity_index",
-                   "variable_borrow_index")
-    g = u.groupBy(F.to_date("evt_block_time").alias("day")).agg(F.max_by(val, key).alias("l"))
+    u = u.select(F.to_date("evt_block_time").alias("day"), event_order_key().alias("_k"), "evt_block_number",
+                 "liquidity_rate", "variable_borrow_rate", "liquidity_index", "variable_borrow_index")
+    cols = ["evt_block_number", "liquidity_rate", "variable_borrow_rate", "liquidity_index", "variable_borrow_index"]
+    g = u.groupBy("day").agg(*[F.max_by(c, "_k").alias(c) for c in cols])
     return g.select(
-        "day", F.col("l.evt_block_number").alias("evt_block_number"),
-        scale("l.liquidity_rate", rate_unit).alias("supply_apr"),
-        scale("l.variable_borrow_rate", rate_unit).alias("borrow_apr"),
-        scale("l.liquidity_index", rate_unit).alias("liq_index"),
-        scale("l.variable_borrow_index", rate_unit).alias("debt_index"),
+        "day", "evt_block_number",
+        scale("liquidity_rate", rate_unit).alias("supply_apr"),
+        scale("variable_borrow_rate", rate_unit).alias("borrow_apr"),
+        scale("liquidity_index", rate_unit).alias("liq_index"),
+        scale("variable_borrow_index", rate_unit).alias("debt_index"),
     )
 
 

@@ -439,7 +439,7 @@ def snapshot_as_of(spark, sf):
     from ..sources.schemas import snapshot_as_of as as_of
 
     s = S.StandIns(spark, sf)
-    x = as_of(s.reserve_updates, ["reserve"], AS_OF_BLOCK, block="evt_block_number", order=["evt_index"])
+    x = as_of(s.reserve_updates, ["reserve"], AS_OF_BLOCK, block="evt_block_number", index="evt_index")
     return x.select("reserve", "evt_block_number", F.col("variable_borrow_rate").alias("borrow_apr"),
                     F.col("liquidity_rate").alias("supply_apr"))
 

@@ -71,13 +71,15 @@ def read_events(spark: SparkSession, path: str, kind: str, **equals: str) -> Dat
 
 
 def snapshot_as_of(df: DataFrame, keys: list[str], pin: int, block: str = "block_number",
-                   order: list[str] | None = None) -> DataFrame:
+                   index: str | None = None) -> DataFrame:
     """State of every entity as of a pinned block (SRC-9): the latest row with
-    ``block <= pin`` per key, chosen by ``max_by`` over (block, *order) --
-    a hash aggregate with partial aggregation, no sort.  A table holding
-    exactly one snapshot per pin reduces to ``block = pin``."""
-    ordering = F.struct(block, *(order or []))
+    ``block <= pin`` per key, by (block, index).  One ``max_by`` per column
+    over a packed BIGINT order key keeps primitive aggregation buffers, so
+    this is a hash aggregate with partial aggregation and no sort.  A table
+    holding exactly one snapshot per pin reduces to ``block = pin``."""
+    k = F.col(block).cast("bigint")
+    if index is not None:
+        k = k * F.lit(1 << 20) + F.col(index).cast("bigint")
     cols = [c for c in df.columns if c not in keys]
-    g = df.filter(F.col(block) <= F.lit(pin)).groupBy(*keys).agg(F.max_by(F.struct(*cols), ordering).alias("_s"))
-    return g.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in cols])
-
+    x = df.filter(F.col(block) <= F.lit(pin)).withColumn("_k", k)
+    return x.groupBy(*keys).agg(*[F.max_by(c, "_k").alias(c) for c in cols])

@@ -120,5 +120,5 @@ def test_snapshot_as_of_takes_latest_at_or_before_pin(spark):
 
     df = spark.createDataFrame([("a", 1, 0, 10), ("a", 5, 0, 50), ("a", 5, 2, 52), ("a", 9, 0, 90), ("b", 9, 0, 99)],
                                "k string, block_number long, idx int, v long")
-    r = {x.k: x for x in snapshot_as_of(df, ["k"], 5, order=["idx"]).collect()}
+    r = {x.k: x for x in snapshot_as_of(df, ["k"], 5, index="idx").collect()}
     assert set(r) == {"a"} and r["a"].v == 52 and r["a"].block_number == 5
