@@ -43,11 +43,12 @@ def _rate(s: S.StandIns) -> DataFrame:
     return ledger.exchange_rate_scalar(s.transfers, S.ASSET, S.VAULT, S.UNIT)
 
 
-def _positions(s: S.StandIns) -> DataFrame:
-    # one row per kept user, read by several branches (contract semi join,
-    # classification, totals): materialised once instead of re-aggregating
-    # every event per branch
-    return materialize(ledger.net_positions(_legs(s), S.UNIT, MIN_DEBT, MIN_COLLATERAL))
+def _positions(s: S.StandIns, shared: bool = True) -> DataFrame:
+    # one row per kept user; when several branches read it (contract semi
+    # join, classification, totals) it is materialised once instead of
+    # re-aggregating every event per branch
+    p = ledger.net_positions(_legs(s), S.UNIT, MIN_DEBT, MIN_COLLATERAL)
+    return materialize(p) if shared else p
 
 
 def _classified(s: S.StandIns) -> DataFrame:
@@ -104,14 +105,14 @@ def borrow_activity(spark, sf):
 @query
 def net_positions(spark, sf):
     """J-1: both sides netted and thresholded in one grouped pass."""
-    return _positions(S.StandIns(spark, sf)).select("user_addr", "debt", "collateral", "n_borrows")
+    return _positions(S.StandIns(spark, sf), shared=False).select("user_addr", "debt", "collateral", "n_borrows")
 
 
 @query
 def positions_joined(spark, sf):
     """JN-3 + JN-2: positions with collateral valued at the vault exchange rate."""
     s = S.StandIns(spark, sf)
-    j = _positions(s).crossJoin(F.broadcast(_rate(s).select("exchange_rate")))
+    j = _positions(s, shared=False).crossJoin(F.broadcast(_rate(s).select("exchange_rate")))
     return j.select("user_addr", "debt", "collateral", (F.col("collateral") * F.col("exchange_rate")).alias("collateral_equiv"))
 
 
