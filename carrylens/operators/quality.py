@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +69,7 @@ def staking_state(token_supply: DataFrame, asset: str, vault: str, unit: float)
     )
 
 
-def param_table(row: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
+def param_table(row: DataFrame) -> DataFrame:
     """One wide parameter row -> ``(param, value)`` rows (J-29), via unpivot."""
     cols = [c for c in row.columns]
     r = row.select(*[F.col(c).cast("double").alias(c) for c in cols])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.units import address_from_topic, n_words, scale, word_at, word_to_decimal, word_to_double
+from ..functions.units import address_from_topic, n_words, word_at, word_to_decimal, word_to_double
 
 
 def filter_logs(logs: DataFrame, topic0: str, topic1: str | None = None, address: str | None = None) -> DataFrame:
@@ -79,6 +79,3 @@ def window_counts(spark: SparkSession, logs: DataFrame, first: int, last: int, s
     return w.join(c, "window_index", "left").select(
         "window_index", "start_block", "end_block", F.coalesce(F.col("n_logs"), F.lit(0)).alias("n_logs"))
 
-
-def scaled_value(c, unit: float):
-    return scale(c, unit)
