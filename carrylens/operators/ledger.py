@@ -92,11 +92,14 @@ def position_sums(legs: DataFrame) -> DataFrame:
 def net_positions(legs: DataFrame, unit: float, min_debt: float, min_collateral: float) -> DataFrame:
     """Users with both net debt > ``min_debt`` and net collateral > ``min_collateral``
     (the inner join of Q2's two HAVING sets), scaled to natural units."""
-    p = position_sums(legs)
-    # thresholds compared exactly, in the raw decimal units of the sums
+    return threshold_positions(position_sums(legs), unit, min_debt, min_collateral)
+
+
+def threshold_positions(sums: DataFrame, unit: float, min_debt: float, min_collateral: float) -> DataFrame:
+    """Apply both HAVING thresholds to per-user sums (exact, in raw units)."""
     lo_d = F.lit(f"{min_debt * unit:.0f}").cast("decimal(38,0)")
     lo_c = F.lit(f"{min_collateral * unit:.0f}").cast("decimal(38,0)")
-    return p.filter((F.col("debt_raw") > lo_d) & (F.col("collateral_raw") > lo_c)).select(
+    return sums.filter((F.col("debt_raw") > lo_d) & (F.col("collateral_raw") > lo_c)).select(
         "user_addr", "debt_raw", "collateral_raw",
         scale("debt_raw", unit).alias("debt"),
         scale("collateral_raw", unit).alias("collateral"),
@@ -104,6 +107,12 @@ def net_positions(legs: DataFrame, unit: float, min_debt: float, min_collateral:
     )
 
 
+def all_debt_total(sums: DataFrame) -> DataFrame:
+    """Net debt of every borrower with positive net debt, thresholds off: the
+    true "all debt" total next to the joined-set total (T4).  One row."""
+    return sums.agg(F.sum(F.when(F.col("debt_raw") > 0, F.col("debt_raw"))).alias("all_debt_raw"))
+
+
 # ---------------------------------------------------------------- transfers
 def flow_kinds(transfers: DataFrame, contracts: Sequence[str], vault: str | None = None) -> DataFrame:
     """Per transfer: vault flow (to vault +, from vault -) and mint/burn flow

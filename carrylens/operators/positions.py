@@ -68,20 +68,27 @@ def _share_columns(running_col: str | None) -> list[Column]:
     return cols
 
 
-def leaderboard(classified: DataFrame, k: int) -> DataFrame:
+def leaderboard(classified: DataFrame, k: int, all_debt: DataFrame | None = None) -> DataFrame:
     """Top ``k`` by debt with rank, loop shares, cumulative loop share and
     share of the joined set's debt (J-4), without a single-partition window
-    over all positions (R2a)."""
-    tot = F.broadcast(debt_totals(classified))
+    over all positions (R2a).  With ``all_debt`` (one row, ``all_debt_raw``)
+    the share of all borrowers' net debt is added as well (T4)."""
+    tot = debt_totals(classified)
+    if all_debt is not None:
+        tot = tot.crossJoin(all_debt)
+    tot = F.broadcast(tot)
     top = top_k_with_running(
         classified, _order(), k,
         running={"_cum_loop": F.when(F.col("is_loop_position"), F.col("debt_raw"))},
     )
     j = top.crossJoin(tot)
+    extra = []
+    if all_debt is not None:
+        extra = [r8(safe_div(F.col("debt_raw").cast("double"), F.col("all_debt_raw").cast("double"))).alias("share_of_all_debt")]
     return j.select(
         "rank", "user_addr", "addr_type", "is_loop_position", "debt", "collateral_equiv",
         r8(F.col("ltv")).alias("ltv"), r8(F.col("implied_leverage")).alias("implied_leverage"),
-        *_share_columns("_cum_loop"), "n_borrows", "first_borrow", "last_borrow",
+        *_share_columns("_cum_loop"), *extra, "n_borrows", "first_borrow", "last_borrow",
     )
 
 

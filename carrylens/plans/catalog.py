@@ -43,16 +43,21 @@ def _rate(s: S.StandIns) -> DataFrame:
     return ledger.exchange_rate_scalar(s.transfers, S.ASSET, S.VAULT, S.UNIT)
 
 
-def _positions(s: S.StandIns, shared: bool = True) -> DataFrame:
-    # one row per kept user; when several branches read it (contract semi
-    # join, classification, totals) it is materialised once instead of
-    # re-aggregating every event per branch
-    p = ledger.net_positions(_legs(s), S.UNIT, MIN_DEBT, MIN_COLLATERAL)
-    return materialize(p) if shared else p
+def _sums(s: S.StandIns) -> DataFrame:
+    # one row per user (thresholds off), read by several branches: the kept
+    # positions, the contract semi join, the totals and the all-debt total.
+    # Materialised once instead of re-aggregating every event per branch.
+    return materialize(ledger.position_sums(_legs(s)))
 
 
-def _classified(s: S.StandIns) -> DataFrame:
-    pos = positions.contract_flag(_positions(s), s.creation_traces)
+def _positions(s: S.StandIns, shared: bool = True, sums: DataFrame | None = None) -> DataFrame:
+    if not shared:
+        return ledger.net_positions(_legs(s), S.UNIT, MIN_DEBT, MIN_COLLATERAL)
+    return ledger.threshold_positions(sums if sums is not None else _sums(s), S.UNIT, MIN_DEBT, MIN_COLLATERAL)
+
+
+def _classified(s: S.StandIns, sums: DataFrame | None = None) -> DataFrame:
+    pos = positions.contract_flag(_positions(s, sums=sums), s.creation_traces)
     return positions.classify_positions(pos, _rate(s), LTV_MIN, LTV_MAX)
 
 
@@ -182,8 +187,11 @@ def debt_shares(spark, sf):
 
 @query
 def top_loopers(spark, sf):
-    """J-4 / SL-1: the leaderboard, top 20 by debt."""
-    return positions.leaderboard(_classified(S.StandIns(spark, sf)), TOP_K)
+    """J-4 / SL-1: the leaderboard, top 20 by debt, with shares of the loop
+    set, of the joined set and of all borrowers' debt (T4)."""
+    s = S.StandIns(spark, sf)
+    sums = _sums(s)
+    return positions.leaderboard(_classified(s, sums), TOP_K, ledger.all_debt_total(sums))
 
 
 @query
