@@ -445,7 +445,11 @@ def land_table(s: "StandIns", name: str) -> DataFrame:
         tmp = f"{root}/landed/{tag}/.{name}-{uuid.uuid4().hex}"
         built = getattr(s, f"_build_{name}")()
         n = spark.sparkContext.defaultParallelism
-        w = built.repartition(n).write.mode("overwrite")
+        # spread the output over the cores only when the derivation would not
+        # already write that many files (no extra shuffle otherwise)
+        if built.rdd.getNumPartitions() < n:
+            built = built.repartition(n)
+        w = built.write.mode("overwrite")
         parts = PARTITION_BY.get(name)
         if parts:
             w = w.partitionBy(*parts)
