@@ -106,6 +106,22 @@ def window_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return np.where(h[a] <= h[b], a, b)
 
 
+def window_minima(h: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least values of all windows of ``width`` values (every
+    place of a tie): those that equal the greatest minimum of their windows."""
+
+    def sliding(x: np.ndarray, of, n: int) -> np.ndarray:
+        span = 1
+        while 2 * span <= n:
+            x = of(x[: len(x) - span], x[span:])
+            span *= 2
+        return of(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
+
+    least = sliding(h, np.minimum, width)
+    pad = np.zeros(width - 1, dtype=h.dtype)
+    return np.flatnonzero(sliding(np.concatenate((pad, least, pad)), np.maximum, width) == h)
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of half-open spans as maximal runs, in order."""
     out: list[list[int]] = []

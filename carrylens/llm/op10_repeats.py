@@ -165,14 +165,14 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = (long.join(rows.filter("not copy and doc_id is not null").dropDuplicates(["doc_id", "row_id"]), ["doc_id", "row_id"], "left_semi")
              .dropDuplicates(["doc_id", "row_id"]).select("doc_id", "row_id", F.explode("anchors").alias("anchor")))
     seeds = written(seeds, "seeds")
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("leader < last")
-    shared = written(shared.select("anchor", "leader", F.ceil(F.col("n") / PORTION).alias("portions")), "shared")
+    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
+    shared = written(shared.select("anchor", "leader"), "shared")
     held = (seeds.join(shared, "anchor").groupBy("doc_id", "row_id")
             .agg(F.collect_list(F.struct("anchor", (F.col("leader") == F.col("doc_id")).alias("led"))).alias("held"))
             .select("doc_id", "row_id", F.col("held.anchor").alias("shared"), F.col("held.led").alias("led")))
     texts = docs.join(held, ["doc_id", "row_id"])
     found = written(texts.mapInArrow(_occurrences, _SEEDS), "occurrences")
-    portions = shared.filter("portions > 1").select("anchor", "portions")
+    portions = found.groupBy("anchor").agg(F.ceil(F.count("*") / PORTION).alias("portions")).filter("portions > 1")
     found = found.join(portions, "anchor", "left").withColumn("portions", F.coalesce("portions", F.lit(1)))
     # rows that share a doc_id may bring an anchor several leaders: the first stays, the others are compared with it
     member = found.filter("member").withColumn("portion", F.pmod(F.xxhash64("doc_id", "first"), F.col("portions")))

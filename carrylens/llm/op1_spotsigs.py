@@ -43,9 +43,10 @@ def signatures(text: Column) -> Column:
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
     def of_words(w: Column) -> Column:
-        # the last common word of each run opens a spot; a spot's other words are content
-        spots = F.split(F.regexp_replace(w, rf" (?:(?:{_ANCHOR}) )*({_ANCHOR})(?= )", " \x01$1"), "\x01", -1)
-        chains = _once(spots, lambda s: F.zip_with(F.slice(s, 2, F.size(s)), F.slice(s, 3, F.size(s)), _chain))
+        # the last common word of each run opens a spot: parts without a content word after their anchor are dropped
+        parts = F.split(F.regexp_replace(w, rf" ({_ANCHOR})(?= )", " \x01$1"), "\x01", -1)
+        spots = F.filter(_once(parts, lambda p: F.slice(p, 2, F.size(p))), lambda p: F.length(p) > F.instr(p, " "))
+        chains = _once(spots, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), _chain))
         hashed = F.array_sort(F.array_distinct(F.transform(F.filter(chains, lambda s: F.contains(s, F.lit(" "))), lambda s: F.xxhash64(s))))
         whole = F.when(F.trim(w) != "", F.array(F.xxhash64(F.trim(w), F.lit(0)))).otherwise(F.array(F.xxhash64(text, F.lit(1))))
         return _once(hashed, lambda h: F.when(F.size(h) > 0, h).otherwise(whole))
@@ -96,8 +97,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """Every document with the next document's text and signatures, and its
     edited text: the last half replaced by the first as many of the next."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("next_text"))
+    # dealt by doc_id once; the least text of an id and the join below need no further exchange of their own
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+    texts = rows.groupBy("doc_id").agg(F.min("text").alias("next_text"))
     order = followers(docs).withColumnRenamed("doc_id", "of_id")
     nexts = texts.join(order, texts.doc_id == order.next_id).select("of_id", "next_text")
     both = rows.join(nexts, rows.doc_id == nexts.of_id, "left").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))

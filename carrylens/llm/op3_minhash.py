@@ -14,8 +14,9 @@ copies costs a link per member.  Buckets that still hold many components are
 split by a second and third shared band instead of being paired whole.  The
 leader's members are dealt in salted portions.  The later pairs pass an exact
 bound first: with S(x) the shingles of x that any other candidate holds,
-``J(a, b) <= m / (|a| + |b| - m)`` for ``m = min(S(a), S(b))``, so a member of
-a big family whose own edits alone keep it under the threshold meets nobody.
+``J(a, b) <= m / (|a| + |b| - m)`` for ``m = min(S(a), S(b))``.  They also
+carry 1024 more coordinates, a bit of each, which the join itself compares, so
+members of a big family that stay under the threshold make no rows.
 
 Edge cases: null or wordless texts have the empty set, no links, and are their
 own component; fewer words than a shingle make one shingle of all words; rows
@@ -40,6 +41,8 @@ BANDS, ROWS = 40, 4  # a pair at 0.75 shares no band with probability (1 - 0.75*
 PERCENT = 75
 SKETCH_MIN = 0.58  # share of equal coordinates below which a candidate isn't compared (five deviations under 0.75)
 SPLIT = 4096  # members above which a bucket of several components is split by another band
+BITS = 1024  # coordinates whose lowest bit is compared before a later pair is made
+UNLIKE = 179  # bits that may differ: a similarity of 0.65, five deviations under 0.75
 PORTION = 2000  # members compared with one copy of their leader
 
 
@@ -173,6 +176,17 @@ def _mixed(rows: DataFrame, component: DataFrame) -> DataFrame:
     return written(rows.join(several.select("key", "n"), "key"), "mixed")
 
 
+_WORDS = [f"w{i}" for i in range(BITS // 64)]
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, w0, w1, ...): the lowest bits of BITS coordinates."""
+    for b in batches:
+        packed = [np.packbits((signature(shingles(t), BITS) & 1).astype(np.uint8)).view(np.int64) for t in b.column("text").to_pylist()]
+        cols = np.array(packed, dtype=np.int64).reshape(len(packed), len(_WORDS)).T
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in cols)], ["doc_id", *_WORDS])
+
+
 def _bound(a: str, b: str):
     """Whether two sets can reach the threshold, from sizes (sa, sb) and held counts (ha, hb)."""
     most = F.least(f"h{a}", f"h{b}")
@@ -189,8 +203,9 @@ def _cross(mixed: DataFrame, bands: DataFrame, sizes: DataFrame) -> DataFrame:
     for level in range(3):
         rows = mixed.join(sizes, "doc_id")
         few = rows if level == 2 else rows.filter(f"n <= {SPLIT}")
-        left, right = (few.select("key", *(F.col(c).alias(c[0] + x) for c in ("doc_id", "component_id", "s", "h"))) for x in "ab")
-        pairs = left.join(right, (left.key == right.key) & F.expr("da < db and ca <> cb") & _bound("a", "b"))
+        left, right = (few.select("key", *(F.col(c).alias(c[0] + x) for c in ("doc_id", "component_id", "s", "h")), *(F.col(w).alias(w + x) for w in _WORDS)) for x in "ab")
+        unlike = F.expr(" + ".join(f"bit_count({w}a ^ {w}b)" for w in _WORDS) + f" <= {UNLIKE}")
+        pairs = left.join(right, (left.key == right.key) & F.expr("da < db and ca <> cb") & _bound("a", "b") & unlike)
         pairs = pairs.select(F.col("da").alias("a"), F.col("db").alias("b"))
         found = pairs if found is None else found.union(pairs)
         more = rows.filter(f"n > {SPLIT}")
@@ -215,8 +230,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = written(confirm(stars, signed, texts), "links")
     mixed = _mixed(members, components(links))
-    held = _held(texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"))
-    sizes = written(signed.join(held, "doc_id").filter(f"100 * held >= {PERCENT} * n_shingles").select("doc_id", F.col("n_shingles").alias("s"), F.col("held").alias("h")), "held")
+    candidates = texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = signed.join(_held(candidates), "doc_id").filter(f"100 * held >= {PERCENT} * n_shingles").select("doc_id", F.col("n_shingles").alias("s"), F.col("held").alias("h"))
+    sizes = written(sizes, "held")
+    likely = texts.join(sizes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_bits, "doc_id bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
+    sizes = written(sizes.join(likely, "doc_id"), "bits")
     cross = _cross(mixed, rows.withColumnRenamed("key", "other"), sizes)
     cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():

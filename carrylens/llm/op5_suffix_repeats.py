@@ -1,7 +1,7 @@
 """Repeated byte strings by common-prefix intervals of sparse suffix arrays.
 
 Suffixes are taken at content-chosen places (of every 50-byte window the
-12-byte gram with the least hash), so two equal windows hold equal places.
+16-byte gram with the least hash), so two equal windows hold equal places.
 Documents that share a place's gram send its surroundings to one shard, which
 builds an enhanced suffix array of them (suffixes in order, longest common
 prefixes), stack-scans it into common-prefix intervals, and tests the left
@@ -11,7 +11,7 @@ repeat, with all its occurrences.  Every group of at least 50 bytes marks its
 occurrences whose doc_id is not the smallest.
 
 Scale: exact copies are recognised by digest first.  Grams held by one
-document only are dropped by a count that combines before the shuffle.  A
+document only are dropped by a count over one shuffle that spills.  A
 shard's tasks hold whole grams of a bounded number of occurrences; a gram with
 more than ``HOT`` occurrences is settled window by window in a plain
 aggregation (the same windows, keyed by content), so no group is gathered.
@@ -29,14 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from carrylens.llm.common import RangeHash, merge_spans, table, window_argmin, written
+from carrylens.llm.common import RangeHash, merge_spans, table, window_minima, written
 
 WINDOW = 50
-GRAM = 12
+GRAM = 16
 REACH = WINDOW - GRAM  # bytes to the left of a gram that a window can hold
 HOT = 50_000  # occurrences of a gram above which its windows are settled one by one
+BROADCAST_ROWS = 2_000_000  # copies (16 bytes each) up to which they go to every task; more are joined by a shuffle
 CHUNK = 20_000  # suffixes of one array at most, besides one gram
 
 
@@ -45,8 +47,7 @@ def places_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(data) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = RangeHash(data).fixed(GRAM)
-    chosen = window_argmin(grams, REACH + 1)
-    at = np.flatnonzero(np.bincount(chosen))
+    at = window_minima(grams, REACH + 1)
     return at, grams[at].view(np.int64)
 
 
@@ -64,12 +65,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, doc_id, row_id): the distinct grams of each document."""
+    """(gram, doc_id, row_id, n): the grams of each document and how often it has them."""
     for b in batches:
-        for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), b.column("text")):
-            grams = np.unique(places_of(_bytes(text.as_py()))[1])
-            if len(grams):
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(len(grams), doc)), pa.array(np.full(len(grams), row))], ["gram", "doc_id", "row_id"])
+        grams, counts, sizes = [], [], []
+        for text in b.column("text"):
+            g, n = np.unique(places_of(_bytes(text.as_py()))[1], return_counts=True)
+            grams.append(g)
+            counts.append(n)
+            sizes.append(len(g))
+        ids = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc_id", "row_id"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams or [np.zeros(0, np.int64)])), *(pa.array(x) for x in ids), pa.array(np.concatenate(counts or [np.zeros(0, np.int64)]))], ["gram", "doc_id", "row_id", "n"])
 
 
 _SUFFIXES = "gram bigint, doc_id bigint, row_id bigint, at bigint, before binary, after binary"
@@ -78,15 +83,25 @@ _SUFFIXES = "gram bigint, doc_id bigint, row_id bigint, at bigint, before binary
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, row_id, text, shared) -> every place of a shared gram with
     the bytes before it (nearest first) and from it on."""
+
+    def flush() -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["gram", "doc_id", "row_id", "at", "before", "after"])
+
+    cols: list[list] = [[] for _ in range(6)]
     for b in batches:
         for doc, row, text, shared in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), b.column("text"), b.column("shared")):
             data = _bytes(text.as_py())
             at, grams = places_of(data)
-            keep = np.isin(grams, np.array(shared.values, dtype=np.int64))
-            at, grams = at[keep], grams[keep]
-            before = [data[max(0, p - REACH) : p][::-1] for p in at.tolist()]
-            after = [data[p : p + WINDOW] for p in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), row)), pa.array(at, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["gram", "doc_id", "row_id", "at", "before", "after"])
+            keep = np.isin(grams, shared.values.to_numpy())
+            at, grams = at[keep].tolist(), grams[keep].tolist()
+            for col, v in zip(cols, (grams, [doc] * len(at), [row] * len(at), at, [data[max(0, p - REACH) : p][::-1] for p in at], [data[p : p + WINDOW] for p in at])):
+                col += v
+            if len(cols[0]) >= CHUNK:
+                yield flush()
+                cols = [[] for _ in range(6)]
+    if cols[0]:
+        yield flush()
 
 
 def _matrix(strings: list[bytes], width: int) -> np.ndarray:
@@ -161,7 +176,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks of one occurrence all hold its place, so they join to one span."""
 
     def flush(cols: list[list]) -> pa.RecordBatch:
-        _, docs, rows, ats, before, after = cols
+        docs, rows, ats, before, after = cols
         # equal surroundings are one suffix, of the smallest doc_id that has them
         kinds: dict[tuple[bytes, bytes], int] = {}
         kind = np.fromiter((kinds.setdefault(x, len(kinds)) for x in zip(before, after)), np.int64, len(docs))
@@ -182,58 +197,74 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hit = np.array(ats, np.int64), lose_r > 0
         return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(np.array(rows, np.int64)[hit]), pa.array((at - lose_l)[hit]), pa.array((at + lose_r)[hit])], ["doc_id", "row_id", "first", "last"])
 
-    held: list[list] = [[] for _ in range(6)]
+    held: list[list] = [[] for _ in range(5)]
     for b in batches:
         new = [c.to_pylist() for c in b.columns]
+        gram = [a[:GRAM] for a in new[4]]
         start = 0
         while len(held[0]) + len(new[0]) - start >= CHUNK:
             # up to the first change of gram at or after CHUNK
             i = max(start + CHUNK - len(held[0]), start + (0 if held[0] else 1))
-            last = lambda k: new[0][k - 1] if k > start else held[0][-1]
-            while i < len(new[0]) and new[0][i] == last(i):
+            last = lambda k: gram[k - 1] if k > start else held[4][-1][:GRAM]
+            while i < len(new[0]) and gram[i] == last(i):
                 i += 1
             if i >= len(new[0]):
                 break
             yield flush([h + n[start:i] for h, n in zip(held, new)])
-            held, start = [[] for _ in range(6)], i
+            held, start = [[] for _ in range(5)], i
         held = [h + n[start:] for h, n in zip(held, new)]
     if held[0]:
         yield flush(held)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window around a place, with the hash of its bytes."""
+    """The different windows around a document's places, with where each starts."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     for b in batches:
+        starts: dict[tuple[int, int, int], set[int]] = {}
         for doc, row, at, before, after in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_id", "at", "before", "after"))):
-            data = before[::-1] + after
-            h = RangeHash(data).fixed(WINDOW).view(np.int64)
-            first = at - len(before) + np.arange(len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc)), pa.array(np.full(len(h), row)), pa.array(first), pa.array(h)], ["doc_id", "row_id", "first", "window"])
+            first = at - len(before)
+            for k, h in enumerate(RangeHash(before[::-1] + after).fixed(WINDOW).view(np.int64).tolist()):
+                starts.setdefault((doc, row, h), set()).add(first + k)
+        cols = (*zip(*starts), [sorted(x) for x in starts.values()]) if starts else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "row_id", "window", "starts"])
+
+
+def _by_gram(suffixes: DataFrame) -> DataFrame:
+    """Suffixes dealt by their first bytes, the gram, and in its order."""
+    bare = suffixes.select("doc_id", "row_id", "at", "before", "after")
+    return bare.repartition(F.substring("after", 1, GRAM)).sortWithinPartitions("after")
 
 
-def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """documents (doc_id, row_id, text) -> (copies, spans): rows all of whose bytes
-    a smaller doc_id has as a whole text, and the byte spans of the other rows
-    that start in a smaller doc_id too."""
+def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """documents (doc_id, row_id, text) -> (copies, spans, starts): rows all of
+    whose bytes a smaller doc_id has as a whole text, the byte spans (first, last)
+    of the other rows that a smaller doc_id has too, and where windows of the hot
+    grams start (an array a row) that a smaller doc_id has."""
     rows = written(docs.mapInArrow(_digest, _ROWS).filter(f"n_bytes >= {WINDOW} and doc_id is not null"), "rows")
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"))
     judged = written(rows.join(least, "digest").select("doc_id", "row_id", (F.col("doc_id") > F.col("least")).alias("copy")).distinct(), "judged")
-    copies = judged.filter("copy").select("doc_id", "row_id")
-    grams = docs.filter("doc_id is not null").mapInArrow(_grams, "gram bigint, doc_id bigint, row_id bigint").join(copies, ["doc_id", "row_id"], "left_anti")
-    counts = grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    shared = written(counts.select("gram", (F.col("n") > HOT).alias("hot")), "shared")
-    held = grams.join(shared, "gram").distinct().groupBy("doc_id", "row_id").agg(F.collect_list("gram").alias("shared"))
-    suffixes = docs.join(held, ["doc_id", "row_id"]).select("doc_id", "row_id", "text", "shared").mapInArrow(_suffixes, _SUFFIXES)
-    suffixes = suffixes.repartition("gram")
-    hot = shared.filter("hot").select("gram")
+    copies = written(judged.filter("copy").select("doc_id", "row_id"), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    grams = docs.filter("doc_id is not null").mapInArrow(_grams, "gram bigint, doc_id bigint, row_id bigint, n bigint")
+    grams = grams.join(F.broadcast(copies) if few else copies, ["doc_id", "row_id"], "left_anti").select("gram", "doc_id", "n")
+    # one shuffle: a gram's documents are counted next to each other, spilling where they are many
+    held = F.count("*").over(W.partitionBy("gram"))
+    hits = written(grams.withColumn("held", held).filter("held > 1").select("gram", "doc_id", "n"), "hits")
+    hot = written(hits.groupBy("gram").agg(F.sum("n").alias("n")).filter(f"n > {HOT}").select("gram"), "hot")
+    # each (document, gram) is one row, so nothing combines before the shuffle
+    shared = hits.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("gram").alias("shared"))
+    texts = docs.join(F.broadcast(copies) if few else copies, ["doc_id", "row_id"], "left_anti").join(shared, "doc_id")
+    suffixes = texts.select("doc_id", "row_id", "text", "shared").mapInArrow(_suffixes, _SUFFIXES)
     if hot.isEmpty():
-        return copies, written(suffixes.sortWithinPartitions("gram").mapInArrow(_scan, _MARKED), "marked")
+        spans = _by_gram(suffixes).mapInArrow(_scan, _MARKED)
+        return copies, written(spans, "marked"), docs.sparkSession.createDataFrame([], "doc_id bigint, row_id bigint, starts array<bigint>")
     suffixes = written(suffixes, "suffixes")
-    marked = suffixes.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan, _MARKED)
-    windows = suffixes.join(hot, "gram").mapInArrow(_windows, "doc_id bigint, row_id bigint, first bigint, window bigint").distinct()
+    spans = _by_gram(suffixes.join(hot, "gram", "left_anti")).mapInArrow(_scan, _MARKED)
+    windows = written(suffixes.join(hot, "gram").mapInArrow(_windows, "doc_id bigint, row_id bigint, window bigint, starts array<bigint>"), "windows")
     first = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    late = windows.join(first, "window").filter("doc_id > lo").select("doc_id", "row_id", "first", (F.col("first") + WINDOW).alias("last"))
-    return copies, written(marked.union(late), "marked")
+    late = windows.join(first, "window").filter("doc_id > lo").select("doc_id", "row_id", "starts")
+    return copies, written(spans, "marked"), late
 
 
 _KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -242,9 +273,9 @@ _KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept b
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[] for _ in range(4)]
-        for text, spans, copy in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "copy"))):
+        for text, spans, starts, copy in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "starts", "copy"))):
             data = _bytes(text)
-            runs = [(0, len(data))] if copy else merge_spans([(s["first"], s["last"]) for s in spans or ()])
+            runs = [(0, len(data))] if copy else merge_spans([(s["first"], s["last"]) for s in spans or ()] + [(a, a + WINDOW) for a in starts or ()])
             keep, last = [], 0
             for a, z in runs:
                 keep.append(data[last:a])
@@ -258,11 +289,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_id"))
-    copies, spans = repeat_spans(docs)
+    copies, spans, starts = repeat_spans(docs)
     spans = spans.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    marks = (copies.withColumn("copy", F.lit(True)).withColumn("spans", F.lit(None).cast("array<struct<first:bigint,last:bigint>>"))
-             .unionByName(spans.withColumn("copy", F.lit(False))))
-    return docs.join(marks, ["doc_id", "row_id"], "left").select("doc_id", "text", "spans", "copy").mapInArrow(_cut, _KEPT)
+    starts = starts.groupBy("doc_id", "row_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    marks = spans.join(starts, ["doc_id", "row_id"], "full").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "row_id"], "full")
+    return docs.join(marks, ["doc_id", "row_id"], "left").select("doc_id", "text", "spans", "starts", "copy").mapInArrow(_cut, _KEPT)
 
 
 def op5_common_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
