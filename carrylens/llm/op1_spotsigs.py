@@ -97,12 +97,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """Every document with the next document's text and signatures, and its
     edited text: the last half replaced by the first as many of the next."""
-    # dealt by doc_id once; the least text of an id and the join below need no further exchange of their own
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+    # dealt by doc_id once: the least text of an id and the join below share that exchange
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    none = rows.filter("doc_id is null").withColumn("next_text", F.lit(""))
+    rows = rows.filter("doc_id is not null").repartition("doc_id")
     texts = rows.groupBy("doc_id").agg(F.min("text").alias("next_text"))
     order = followers(docs).withColumnRenamed("doc_id", "of_id")
     nexts = texts.join(order, texts.doc_id == order.next_id).select("of_id", "next_text")
-    both = rows.join(nexts, rows.doc_id == nexts.of_id, "left").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
+    both = rows.join(nexts, rows.doc_id == nexts.of_id).select("doc_id", "text", "next_text").unionByName(none)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     return both.select("doc_id", "text", "next_text", n.cast("bigint").alias("n_chars"),
