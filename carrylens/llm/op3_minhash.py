@@ -137,15 +137,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) -> the pairs whose full sets reach the threshold."""
+def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) whose sizes and sketches allow a link."""
     sizes = signed.select("doc_id", "n_shingles", "sketch").filter("sketch is not null")
     left = sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sketch_a"))
     right = sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sketch_b"))
-    near = (pairs.join(left, "a").join(right, "b")
+    return (pairs.join(left, "a").join(right, "b")
             .filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
             .select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a bigint, b bigint").distinct())
-    near = written(near.withColumn("portion", F.pmod(F.xxhash64("b"), F.lit(1 << 20))), "near")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) -> the pairs whose full sets reach the threshold."""
+    near = written(pairs.withColumn("portion", F.pmod(F.xxhash64("b"), F.lit(1 << 20))), "near")
     portions = near.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PORTION)).alias("portions"))
     members = near.join(portions, "a").select("a", F.expr("portion % portions").alias("portion"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
     leaders = members.select("a", "portion").distinct().select("a", "portion", F.lit(0).alias("role"), F.col("a").alias("doc_id"))
@@ -203,15 +207,18 @@ def _cross(mixed: DataFrame, bands: DataFrame, sizes: DataFrame) -> DataFrame:
     for level in range(3):
         rows = mixed.join(sizes, "doc_id")
         few = rows if level == 2 else rows.filter(f"n <= {SPLIT}")
-        left, right = (few.select("key", *(F.col(c).alias(c[0] + x) for c in ("doc_id", "component_id", "s", "h")), *(F.col(w).alias(w + x) for w in _WORDS)) for x in "ab")
+        left, right = (few.select("key", *(F.col(c).alias(c[0] + x) for c in ("doc_id", "component_id", "s", "h", "bands")), *(F.col(w).alias(w + x) for w in _WORDS)) for x in "ab")
         unlike = F.expr(" + ".join(f"bit_count({w}a ^ {w}b)" for w in _WORDS) + f" <= {UNLIKE}")
-        pairs = left.join(right, (left.key == right.key) & F.expr("da < db and ca <> cb") & _bound("a", "b") & unlike)
+        when = (left.key == right.key) & F.expr("da < db and ca <> cb") & _bound("a", "b") & unlike
+        if level == 0:  # a pair is made once, in the first of its common buckets
+            when = when & (F.array_min(F.array_intersect("ba", "bb")) == left.key)
+        pairs = left.join(right, when)
         pairs = pairs.select(F.col("da").alias("a"), F.col("db").alias("b"))
         found = pairs if found is None else found.union(pairs)
         more = rows.filter(f"n > {SPLIT}")
         if level == 2 or more.isEmpty():
             break
-        mixed = _mixed(more.join(bands, "doc_id").filter("other <> key")
+        mixed = _mixed(more.drop("bands").join(bands, "doc_id").filter("other <> key")
                        .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "doc_id").distinct(), component)
     return found.distinct()
 
@@ -228,17 +235,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(rows.join(leaders, "key"), "buckets")
     texts = written(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     stars = members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = written(confirm(stars, signed, texts), "links")
+    links = written(confirm(likely(stars, signed), texts), "links")
     mixed = _mixed(members, components(links))
     candidates = texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")
-    sizes = signed.join(_held(candidates), "doc_id").filter(f"100 * held >= {PERCENT} * n_shingles").select("doc_id", F.col("n_shingles").alias("s"), F.col("held").alias("h"))
+    sizes = signed.join(_held(candidates), "doc_id").filter(f"100 * held >= {PERCENT} * n_shingles").select("doc_id", F.col("n_shingles").alias("s"), F.col("held").alias("h"), "bands")
     sizes = written(sizes, "held")
-    likely = texts.join(sizes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_bits, "doc_id bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
-    sizes = written(sizes.join(likely, "doc_id"), "bits")
+    bits = texts.join(sizes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_bits, "doc_id bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
+    sizes = written(sizes.join(bits, "doc_id"), "bits")
     cross = _cross(mixed, rows.withColumnRenamed("key", "other"), sizes)
     cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        links = links.union(confirm(cross, signed, texts))
+        links = links.union(confirm(cross, texts))
     # equal sets are links too; they also tie the sets of rows that share a doc_id
     copies = full.join(classes, "set_id").filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     nodes = components(links.union(copies)).withColumnRenamed("id", "doc_id")
