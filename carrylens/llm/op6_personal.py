@@ -4,7 +4,8 @@ Seeds are the base matches of four kinds (email, ip, card, phone).  The two
 words before a seed make a lexical pattern of its kind.  Patterns and
 instances (the values they precede) form a graph that is scored in rounds: a
 pattern's score is the weight of its instances over all identifier-like tokens
-it precedes, an instance's score is ``1 - prod(1 - score of its patterns)``.
+it precedes; a seed weighs 1, any other instance ``1 - prod(1 - score)`` over
+the patterns that precede it.
 Patterns with enough different instances and a high score then mark the
 identifier-like tokens after them that the base expressions miss, if their
 shape suits the kind.
@@ -115,17 +116,23 @@ def score_patterns(found: DataFrame) -> DataFrame:
     seeds = found.select(F.explode("base").alias("s")).select("s.kind", "s.context", F.lower("s.value").alias("value")).filter("context <> ''")
     edges = written(seeds.groupBy("kind", "context", "value").agg(F.count("*").alias("n")), "edges")
     near = edges.groupBy("context").agg(F.sum("n").alias("all_seeds"))
-    missed = (found.select(F.explode("tokens").alias("s")).groupBy("s.context").agg(F.count("*").alias("missed")))
+    loose = (found.select(F.explode("tokens").alias("s")).select("s.context", F.lower("s.value").alias("value"))
+             .groupBy("context", "value").agg(F.count("*").alias("n")).join(near.select("context"), "context", "left_semi"))
+    loose = written(loose, "loose")
+    missed = loose.groupBy("context").agg(F.sum("n").alias("missed"))
     volume = written(near.join(missed, "context", "left").select("context", (F.col("all_seeds") + F.coalesce("missed", F.lit(0))).alias("volume")), "volume")
-    instance = edges.select("kind", "value").distinct().withColumn("weight", F.lit(1.0))
+    known = edges.groupBy("kind", "context").agg(F.sum("n").alias("sure"), F.count("*").alias("instances"))
+    unsure = loose.join(known.select("kind", "context"), "context").filter(_suits(F.col("kind"), F.col("value")))  # instances to be scored
     pattern = None
     for _ in range(ROUNDS):
-        pattern = (edges.join(instance, ["kind", "value"]).groupBy("kind", "context")
-                   .agg(F.sum(F.col("n") * F.col("weight")).alias("mass"), F.count("*").alias("instances"))
-                   .join(volume, "context").select("kind", "context", "instances", F.least(F.lit(1.0), F.col("mass") / F.col("volume")).alias("score")))
-        pattern = written(pattern, "patterns")
-        instance = (edges.join(pattern, ["kind", "context"]).groupBy("kind", "value")
-                    .agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))))).alias("weight")))
+        if pattern is None:
+            mass = known.withColumn("mass", F.col("sure").cast("double"))
+        else:
+            weight = (unsure.join(pattern, ["kind", "context"]).groupBy("kind", "value")
+                      .agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))))).alias("weight")))
+            more = unsure.join(weight, ["kind", "value"]).groupBy("kind", "context").agg(F.sum(F.col("n") * F.col("weight")).alias("more"))
+            mass = known.join(more, ["kind", "context"], "left").withColumn("mass", F.col("sure") + F.coalesce("more", F.lit(0.0)))
+        pattern = written(mass.join(volume, "context").select("kind", "context", "instances", F.least(F.lit(1.0), F.col("mass") / F.col("volume")).alias("score")), "patterns")
     return pattern
 
 
