@@ -20,7 +20,10 @@ from carrylens.llm.op6_personal import personal_data, redact
 from carrylens.llm.op7_decontaminate import decontaminate
 from carrylens.llm.op8_language import WORST_RATE, identify
 
-_ROW = F.xxhash64(F.coalesce("text", F.lit("")))
+
+def _row_id():
+    """What operators call a row by, besides its doc_id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +48,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Removes documents that hold a benchmark window."""
     hits = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0)
     hits = written(hits.select(F.col("doc_id").alias("h_doc"), F.col("row_id").alias("h_row")).distinct(), "contaminated")
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["h_doc"]) & (_ROW == hits["h_row"]), "left_anti")
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["h_doc"]) & (_row_id() == hits["h_row"]), "left_anti")
 
 
 def personal_data_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the text."""
     spans = personal_data(docs).filter(F.size("spans") > 0)
     spans = written(spans.select(F.col("doc_id").alias("h_doc"), F.col("row_id").alias("h_row"), F.col("spans").alias("h_spans")).dropDuplicates(["h_doc", "h_row"]), "personal")
-    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["h_doc"]) & (_ROW == spans["h_row"]), "left")
+    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["h_doc"]) & (_row_id() == spans["h_row"]), "left")
     text = F.when(F.col("h_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("h_spans")))
     put = {"text": text}
     if "n_chars" in docs.columns:
