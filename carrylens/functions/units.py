@@ -125,16 +125,21 @@ def n_words(data: str | Column) -> Column:
 
 
 def bit_is_set(bitmap: str | Column, i: int | Column) -> Column:
-    """Bit test on a DECIMAL(38,0) bitmap of up to 128 bits (Hard 2): the
-    bitmap is split into two 64-bit limbs so bit 64..127 work too."""
+    """Bit test on a DECIMAL(38,0) bitmap (Hard 2).  The bitmap is split by
+    integral division and remainder, both exact, into 32-bit limbs."""
     b = col_(bitmap).cast(EXACT)
-    lo = F.pmod(b, F.lit("18446744073709551616").cast(EXACT))
-    hi = F.floor(b / F.lit("18446744073709551616").cast(EXACT))
+    word, half = (F.lit(str(2**n)).cast(EXACT) for n in (64, 32))
+    low, high = b % word, F.call_function("div", b, word)
+    limbs = F.array((low % half).cast("bigint"), F.call_function("div", low, half), F.pmod(high, F.lit(2**32)), F.shiftrightunsigned(high, 32))
     i = F.lit(i) if isinstance(i, int) else i
-    # shiftright on a double would lose bits: stay in decimal and use floor(x / 2^k) mod 2
-    limb = F.when(i < 64, lo).otherwise(hi)
-    k = F.when(i < 64, i).otherwise(i - 64)
-    return F.pmod(F.floor(limb / F.pow(F.lit(2.0), k).cast(EXACT)), F.lit(2)) == 1
+    return F.getbit(F.get(limbs, F.floor(i / 32).cast("int")), F.pmod(i, F.lit(32)).cast("int")) == 1
+
+
+def hex_bit_is_set(bitmap: str | Column, i: int | Column) -> Column:
+    """Bit test on a bitmap of 32 hex digits, which holds all 128 bits."""
+    i = F.lit(i) if isinstance(i, int) else i
+    digit = F.conv(F.substring(col_(bitmap), F.lit(32) - F.floor(i / 4).cast("int"), F.lit(1)), 16, 10).cast("int")
+    return F.getbit(digit, F.pmod(i, F.lit(4)).cast("int")) == 1
 
 
 def set_bits(bitmap: str | Column, width: int = 128) -> Column:

@@ -382,7 +382,7 @@ from ..operators import accounts  # noqa: E402
 from ..sources import decode  # noqa: E402
 
 # block windows: the studied pager requests inclusive windows of 9,999 + 1 blocks
-WINDOW_FIRST, WINDOW_LAST, WINDOW_SIZE = 0, 999_999, 9_999
+WINDOW_FIRST, WINDOW_SIZE = 0, 9_999
 ZERO_WORD = "0x" + "0" * 64
 HF_UNIT = 1e4  # the stand-in account records carry HF in 1e-4 units
 DUST_CUT = 1_000_000.0
@@ -437,9 +437,11 @@ def mint_events(spark, sf):
 
 @query
 def block_window_counts(spark, sf):
-    """SRC-8: fixed-size inclusive block windows with log counts (coverage)."""
+    """SRC-8: fixed-size inclusive block windows with log counts (coverage), up
+    to the last block that has a log."""
     s = S.StandIns(spark, sf)
-    return decode.window_counts(spark, s.raw_logs, WINDOW_FIRST, WINDOW_LAST, WINDOW_SIZE)
+    last = s.raw_logs.agg(F.max("block_number")).first()[0]
+    return decode.window_counts(spark, s.raw_logs, WINDOW_FIRST, WINDOW_FIRST if last is None else last, WINDOW_SIZE)
 
 
 @query
@@ -736,7 +738,8 @@ RATE_SCENARIOS = (0.02, 0.025, 0.03, 0.033, 0.035, 0.04)
 
 
 def _members(s: S.StandIns) -> DataFrame:
-    return scenarios.cluster_members(_accounts(s), DUST_CUT, CLUSTER_K, CLUSTER_MIN_LEVERAGE)
+    loopers = _accounts(s).join(_loopers(s).select("address"), "address", "left_semi")
+    return scenarios.cluster_members(loopers, DUST_CUT, CLUSTER_K, CLUSTER_MIN_LEVERAGE)
 
 
 def _stats(s: S.StandIns) -> DataFrame:

@@ -91,7 +91,7 @@ CTES_MODEL: dict[str, str] = {
         round(CAST(b.lt AS DOUBLE) / 1e4, 8) AS best_category_lt, round(CAST(b.bonus - 10000 AS DOUBLE) / 1e4, 8) AS best_category_bonus,
         round(st.staked / NULLIF(st.sup, 0), 8) AS staking_ratio, round(st.staked / NULLIF(st.shares, 0), 8) AS exchange_rate
       FROM sres r CROSS JOIN best_cat b CROSS JOIN stake st WHERE r.reserve_index = 5""",
-    "cl_top": "SELECT address, debt, leverage, health_factor FROM normal_acc ORDER BY debt DESC, address LIMIT 10",
+    "cl_top": "SELECT address, debt, leverage, health_factor FROM normal_acc WHERE address IN (SELECT address FROM loopers) ORDER BY debt DESC, address LIMIT 10",
     "cl": f"SELECT * FROM cl_top WHERE address NOT IN (SELECT address FROM cl_top WHERE leverage < 5.0{D})",
     "cstats": f"""SELECT COUNT(*) AS n_members, SUM(debt) AS cluster_debt,
         SUM(debt * leverage) / NULLIF(SUM(debt), 0) AS w_leverage, SUM(debt * health_factor) / NULLIF(SUM(debt), 0) AS w_hf,

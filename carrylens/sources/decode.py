@@ -15,14 +15,14 @@ from ..functions.units import address_from_topic, n_words, word_at, word_to_deci
 
 
 def filter_logs(logs: DataFrame, topic0: str, topic1: str | None = None, address: str | None = None) -> DataFrame:
-    """Topic (and emitter) filtered logs (SRC-7)."""
+    """Topic (and emitter) filtered logs (SRC-7); hex case doesn't matter."""
     # ``get`` is the NULL-on-missing, 0-based array access (no ANSI error)
     t = F.col("topics")
-    cond = F.get(t, 0) == F.lit(topic0)
+    cond = F.lower(F.get(t, 0)) == F.lit(topic0.lower())
     if topic1 is not None:
-        cond = cond & (F.get(t, 1) == F.lit(topic1))
+        cond = cond & (F.lower(F.get(t, 1)) == F.lit(topic1.lower()))
     if address is not None:
-        cond = (F.col("address") == F.lit(address)) & cond
+        cond = (F.lower(F.col("address")) == F.lit(address.lower())) & cond
     return logs.filter(cond)
 
 

@@ -66,26 +66,10 @@ def region_address(c) -> F.Column:
 _TABLES: dict[tuple[int, str], DataFrame] = {}
 
 
-def parallel_scan(df: DataFrame, min_bytes: int = int(os.environ.get("CARRYLENS_SPLIT_MIN_BYTES", 4 << 20))) -> DataFrame:
-    """Spread an under-partitioned scan over the available cores.
-
-    A parquet file with one row group is read by one task whatever
-    ``spark.sql.files.maxPartitionBytes`` says, and everything fused before
-    the first shuffle then runs single-threaded.  When a scan of at least
-    ``min_bytes`` (estimated from file sizes) yields fewer partitions than
-    the default parallelism, it is round-robin repartitioned once.  At scale
-    the scan already has far more splits than cores and this is a no-op.
-    """
-    spark = df.sparkSession
-    try:
-        target = spark.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-        if n >= target:
-            return df
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # Spark Connect: no RDD view; leave the scan as it is
-        return df
-    return df.repartition(target) if size >= min_bytes else df
+def parallel_scan(df: DataFrame, parts: int = int(os.environ.get("CARRYLENS_SCAN_PARTS", 0))) -> DataFrame:
+    """Deal a scan over ``parts`` partitions where files have too few splits;
+    0 (the default) reads it as the files are split."""
+    return df.repartition(parts) if parts else df
 
 
 def _word(c) -> F.Column:

@@ -60,3 +60,32 @@ def test_apr_to_apy_keeps_digits(spark):
     x = spark.range(1).select(u.apr_to_apy(F.lit(apr)).alias("x")).first().x
     assert abs(x - exact) < 1e-15
     assert abs(x - 0.0325175053) < 1e-9
+
+
+def test_dense_bitmaps(spark):
+    """Runs of set bits, where rounding division went wrong, and all 128 bits in hex."""
+    from carrylens.functions.units import hex_bit_is_set, set_bits
+
+    values = [2**22 - 1, 2**30 - 1, 2**64 - 1, 2**126 - 1, (1 << 30) | (1 << 32), 0, 1 << 125]
+    rows = spark.createDataFrame([(str(v),) for v in values], "v string").selectExpr("cast(v as decimal(38,0)) as b")
+    got = sorted(tuple(r[0]) for r in rows.select(set_bits("b")).collect())
+    assert got == sorted(tuple(i for i in range(128) if v >> i & 1) for v in values)
+    full = spark.createDataFrame([(f"{2**128 - 1:032x}",), (f"{(1 << 127) | 5:032x}",)], "h string")
+    from pyspark.sql import functions as F
+
+    bits = full.select(F.filter(F.sequence(F.lit(0), F.lit(127)), lambda i: hex_bit_is_set("h", i))).collect()
+    assert [list(r[0]) for r in bits] == [list(range(128)), [0, 2, 127]]
+
+
+def test_log_filter_ignores_hex_case(spark):
+    from carrylens.sources.decode import filter_logs
+
+    logs = spark.createDataFrame([("0xAB", ["0xCD"]), ("0xab", ["0xcd"])], "address string, topics array<string>")
+    assert filter_logs(logs, "0xcd", address="0xAb").count() == 2
+
+
+def test_windows_reach_the_last_block(spark):
+    from carrylens.sources.decode import window_counts
+
+    logs = spark.createDataFrame([(5,), (1_200_000,)], "block_number bigint")
+    assert window_counts(spark, logs, 0, 1_200_000, 9_999).agg({"n_logs": "sum"}).first()[0] == 2
