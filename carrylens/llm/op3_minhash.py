@@ -152,7 +152,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     near = written(pairs.withColumn("portion", F.pmod(F.xxhash64("b"), F.lit(1 << 20))), "near")
     portions = near.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PORTION)).alias("portions"))
     members = near.join(portions, "a").select("a", F.expr("portion % portions").alias("portion"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
-    leaders = members.select("a", "portion").distinct().select("a", "portion", F.lit(0).alias("role"), F.col("a").alias("doc_id"))
+    leaders = portions.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
     rows = members.union(leaders).join(docs.select("doc_id", "text"), "doc_id").select("a", "portion", "role", "doc_id", "text")
     rows = rows.repartition("a", "portion").sortWithinPartitions("a", "portion", "role", "doc_id")
     return rows.mapInArrow(_verify, "a bigint, b bigint").distinct()
