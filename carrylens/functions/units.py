@@ -65,9 +65,10 @@ def apr_to_apy(apr: str | Column, n: float = SECONDS_PER_YEAR) -> Column:
     return F.expm1(F.lit(float(n)) * F.log1p(col_(apr) / F.lit(float(n))))
 
 
-def address_from_id(c: str | Column, pad: str = "0") -> Column:
-    """Integer id -> lower-case 0x-prefixed 20-byte hex address."""
-    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(col_(c))), 40, pad))
+def address_from_id(c: str | Column, lead: str = "") -> Column:
+    """Integer id -> lower-case 0x-prefixed 20-byte hex address; ``lead`` is a
+    fixed first part, so that ids of several kinds never meet."""
+    return F.concat(F.lit("0x" + lead), F.lpad(F.lower(F.hex(col_(c))), 40 - len(lead), "0"))
 
 
 def address_from_topic(c: str | Column) -> Column:

@@ -563,7 +563,7 @@ def reconcile_positions(spark, sf):
 # ======================================== categories, reserves, lineage
 from ..operators import categories, quality, scenarios  # noqa: E402
 
-TARGET = "0x" + "0".rjust(40, "a")  # lineage target: address of region TARGET_REGION (= 0)
+TARGET = "0xa" + "0" * 39  # lineage target: address of region TARGET_REGION (= 0)
 CATEGORY_SCAN_BOUND = 1_000_000
 LOOP_EQUITY, LOOP_Y, LOOP_R = 1000.0, 0.04, 0.032
 
@@ -693,9 +693,10 @@ def param_table(spark, sf):
 
 @query
 def params_as_json(spark, sf):
-    """SC-20 / SRC-11: the same parameters rendered as one JSON object."""
+    """SC-20 / SRC-11: the same parameters as one JSON object, numbers as text with eight places."""
     row = _param_row(S.StandIns(spark, sf))
-    return row.select(F.to_json(F.struct(*row.columns)).alias("params_json"))
+    text = [F.when(F.col(c).isNotNull(), F.format_string("%.8f", F.col(c).cast("double"))).alias(c) for c in row.columns]
+    return row.select(F.to_json(F.struct(*text), {"ignoreNullFields": "false"}).alias("params_json"))
 
 
 @query

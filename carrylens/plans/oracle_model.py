@@ -6,7 +6,10 @@ from __future__ import annotations
 
 from .oracle import SH, U, VAULT, A, Z
 
-TGT = "'0x" + "0".rjust(40, "a") + "'"
+# columns of the parameter row
+PARAMS = ("debt_reserve_ltv debt_reserve_factor ir_uopt ir_base ir_slope1 ir_slope2 debt_borrow_rate debt_supply_rate debt_utilisation "
+          "best_category_id best_category_ltv best_category_lt best_category_bonus staking_ratio exchange_rate").split()
+TGT = "'0xa" + "0" * 39 + "'"
 D = "::DOUBLE"
 
 
@@ -36,7 +39,7 @@ CTES_MODEL: dict[str, str] = {
         CAST(round(rate * u * (1.0{D} - CAST(reserve_factor AS DOUBLE) / 1e4) * 1e4) AS BIGINT) AS liq_bps
       FROM (SELECT *, CASE WHEN u <= uo THEN CAST(s1 AS DOUBLE) / 1e4 * u / uo
                            ELSE CAST(s1 AS DOUBLE) / 1e4 + CAST(s2 AS DOUBLE) / 1e4 * (u - uo) / (1.0{D} - uo) END AS rate
-            FROM (SELECT CAST(s_suppkey AS INTEGER) AS reserve_index, ('0x' || lpad(lower(hex(s_suppkey)), 40, 'c')) AS address,
+            FROM (SELECT CAST(s_suppkey AS INTEGER) AS reserve_index, ('0xc' || lpad(lower(hex(s_suppkey)), 39, '0')) AS address,
                          CASE WHEN s_acctbal >= 5000 THEN 'PT-' ELSE 'T' END || CAST(s_suppkey AS VARCHAR) AS symbol,
                          7000 + (s_suppkey % 20) * 100 AS ltv, 7300 + (s_suppkey % 20) * 100 AS liquidation_threshold,
                          10100 + (s_suppkey % 5) * 100 AS liquidation_bonus, 1000 + (s_suppkey % 4) * 500 AS reserve_factor,
@@ -63,9 +66,9 @@ CTES_MODEL: dict[str, str] = {
         (1::BIGINT << CAST(p_partkey % 7 AS INTEGER)) | (1::BIGINT << CAST(p_size % 6 AS INTEGER)) AS borrowable_bitmap,
         9000 + p_size * 10 AS ltv, 9200 + p_size * 10 AS lt, CAST(10000 + p_partkey % 500 AS INTEGER) AS bonus FROM part""",
     "cands": "SELECT * FROM v_categories WHERE (collateral_bitmap >> 3) & 1 = 1 AND (borrowable_bitmap >> 5) & 1 = 1",
-    "v_lineage": """SELECT r.address AS token, 'SY' AS relation, ('0x' || lpad(lower(hex(s.s_nationkey)), 40, 'b')) AS target
+    "v_lineage": """SELECT r.address AS token, 'SY' AS relation, ('0xb' || lpad(lower(hex(s.s_nationkey)), 39, '0')) AS target
         FROM v_reserves r JOIN supplier s ON s.s_suppkey = r.reserve_index WHERE r.symbol LIKE 'PT-%'
-      UNION ALL SELECT ('0x' || lpad(lower(hex(n_nationkey)), 40, 'b')), 'yieldToken', ('0x' || lpad(lower(hex(n_regionkey)), 40, 'a'))
+      UNION ALL SELECT ('0xb' || lpad(lower(hex(n_nationkey)), 39, '0')), 'yieldToken', ('0xa' || lpad(lower(hex(n_regionkey)), 39, '0'))
         FROM nation""",
     "resolved": """SELECT r.reserve_index, r.address, r.symbol, sy.target AS sy, yt.target AS yield_token FROM v_reserves r
         LEFT JOIN (SELECT * FROM v_lineage WHERE relation = 'SY') sy ON sy.token = r.address
@@ -143,6 +146,7 @@ BODIES_MODEL: dict[str, str] = {
     "staking_state": """SELECT sup AS asset_total_supply, staked AS asset_staked, shares AS vault_shares,
         round(staked / NULLIF(sup, 0), 8) AS staking_ratio, round(staked / NULLIF(shares, 0), 8) AS exchange_rate FROM stake""",
     "param_table": "SELECT param, value FROM (UNPIVOT prow ON COLUMNS(*) INTO NAME param VALUE value)",
+    "params_as_json": "SELECT CAST(to_json(struct_pack(" + ", ".join(f"{p} := printf('%.8f', {p})" for p in PARAMS) + ")) AS VARCHAR) AS params_json FROM prow",
     "integrity_checks": f"""SELECT 'reserve_index_unique' AS rule, CAST(SUM(n) AS BIGINT) AS n_checked,
             CAST(COALESCE(SUM(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS n_bad
           FROM (SELECT reserve_index, COUNT(*) AS n FROM v_reserves GROUP BY 1)

@@ -48,7 +48,7 @@ def borrow_multiplier(segment) -> F.Column:
 
 
 def user_address(c) -> F.Column:
-    return address_from_id(c, "0")
+    return address_from_id(c)
 
 
 def reserve_address(c) -> F.Column:
