@@ -112,10 +112,11 @@ def debt_shares(classified: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ balance-based loopers
-def holder_legs(balances: DataFrame, collateral_token: str, debt_token: str) -> DataFrame:
-    """Pivot a balance snapshot to one row per address with both legs (J-5)."""
+def holder_legs(balances: DataFrame, collateral_token: str, debt_token: str, pin: int) -> DataFrame:
+    """Pivot the balance snapshot of block ``pin`` to one row per address with
+    both legs (J-5); other snapshots in the table are left out (SRC-9)."""
     t = F.col("token")
-    b = balances.filter(t.isin(collateral_token, debt_token))
+    b = balances.filter(t.isin(collateral_token, debt_token) & (F.col("block_number") == F.lit(pin)))
     return b.groupBy("address").agg(
         F.sum(F.when(t == collateral_token, F.col("balance").cast("decimal(38,0)"))).alias("collateral_raw"),
         F.sum(F.when(t == debt_token, F.col("balance").cast("decimal(38,0)"))).alias("debt_raw"),

@@ -401,7 +401,7 @@ def _accounts(s: S.StandIns) -> DataFrame:
 
 
 def _holder_legs(s: S.StandIns) -> DataFrame:
-    return positions.holder_legs(s.balances, S.ATOKEN, S.DTOKEN)
+    return positions.holder_legs(s.balances, S.ATOKEN, S.DTOKEN, S.PIN_BLOCK)
 
 
 def _loopers(s: S.StandIns) -> DataFrame:

@@ -264,7 +264,11 @@ class StandIns:
         debt = p.filter(~F.coalesce(F.col("c_acctbal") < 0, F.lit(False))).select(
             F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), F.lit(DTOKEN).alias("token"),
             user_address(F.col("user") + 1).alias("address"), F.col("d_raw").alias("balance"))
-        return coll.unionByName(debt)
+        now = coll.unionByName(debt)
+        # an earlier, different snapshot, which readers pinned to PIN_BLOCK must leave out
+        balance = now.schema["balance"].dataType
+        before = now.select((F.col("block_number") - 1).alias("block_number"), "token", "address", (F.col("balance") * 2).cast(balance).alias("balance"))
+        return now.unionByName(before)
 
     def _build_account_words(self) -> DataFrame:
         """getUserAccountData-style return blobs: six 32-byte words
