@@ -122,3 +122,10 @@ def test_snapshot_as_of_takes_latest_at_or_before_pin(spark):
                                "k string, block_number long, idx int, v long")
     r = {x.k: x for x in snapshot_as_of(df, ["k"], 5, index="idx").collect()}
     assert set(r) == {"a"} and r["a"].v == 52 and r["a"].block_number == 5
+
+
+def test_holder_legs_reads_one_pinned_snapshot(spark):
+    rows = [(7, "c", "x", 10), (7, "d", "x", 5), (8, "c", "x", 30), (8, "d", "y", 4)]
+    balances = spark.createDataFrame(rows, "block_number bigint, token string, address string, balance bigint")
+    at = {pin: {r.address: (r.collateral_raw, r.debt_raw) for r in positions.holder_legs(balances, "c", "d", pin).collect()} for pin in (7, 8, 9)}
+    assert at == {7: {"x": (10, 5)}, 8: {"x": (30, None), "y": (None, 4)}, 9: {}}
