@@ -43,7 +43,7 @@ BASE = {
 }
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-_BYTE_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_BYTE_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _CONTEXT = 60  # characters before a match that are searched for its two words
 
 _SPAN = "struct<kind:int,first:int,last:int,value:string,context:string>"

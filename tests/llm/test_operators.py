@@ -171,6 +171,17 @@ def test_op6_base_and_discovered(spark):
     assert [(KINDS[s.kind], rows[10][1][s.first : s.last]) for s in out[102].base] == [("ip", "42.144.35.254"), ("card", "4539 1488 0343 6467"), ("phone", "+1 (988) 555-2485")]
 
 
+def test_op6_base_ips_with_any_parts(spark):
+    parts = ["0", "00", "010", "255", "256"]
+    texts = [f"at {a}.{b}.{c}.{d}, x" for a in parts for b in parts for c in parts for d in parts] + ["10.0.0.1 127.0.0.1", "0.0.0.0", "1.2.3", f"{'0' * 5000}.0.0.{'0' * 5000}256"]
+    want = {}
+    for i, t in enumerate(texts):  # four runs of digits, each at most 255
+        found = re.finditer(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}", t)
+        want[i] = [(m.start(), m.end()) for m in found if all(int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+    got = personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: [(s["first"], s["last"]) for s in r.base if KINDS[s["kind"]] == "ip"] for r in got} == want
+
+
 def test_op6_redaction(spark):
     from pyspark.sql import functions as F
 
