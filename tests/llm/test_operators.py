@@ -230,6 +230,24 @@ def test_op9_pages(spark):
     assert got[0] == "Head & line\n\nFirst text more\n\nSecond" and got[9] == "" and got[10] == "plain text" and len(got) == 7
 
 
+def test_op9_articles_are_never_lost(spark):
+    pages = {
+        1: "<html><head><meta charset=x></head><body class='no-sidebar comments-open'><div class='has-sidebar menu-closed'><article><p>one</p><div class=share>no</div></article></div></body></html>",
+        2: "<html><body><form id=aspnet><nav>no</nav><main><p>two</p></main></form></body></html>",
+        3: "<html><head><title>T</title><meta charset=x><body><article><p>three</p></article></body></html>",
+        4: "<html><head><link rel=x><p>four</p></html>",
+        5: "<html><body class='no-sidebar'><div>five</div><footer>no</footer></body></html>",
+        6: "<html><body><article><p>six</p></article><aside><article>no</article></aside><div id=comments><article>no</article></div></body></html>",
+        7: "<html><body><div class=widget><article>seven</article></div><div>no</div></body></html>",
+        8: "<html><body><form><div>eight</div><nav>no</nav></form></body></html>",
+    }
+    rows = [(i, f"http://h{i}.example/", p) for i, p in pages.items()]
+    rows += [(10 + i, "http://mixed.example/", f"<html><body><nav>no</nav>{f'<article>text {i}</article>' if i < 6 else f'<div>text {i}</div>'}</body></html>") for i in range(10)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    words = "one two three four five six seven eight".split()
+    assert got == dict(enumerate(words, 1)) | {10 + i: f"text {i}" for i in range(10)}
+
+
 def test_op4_rules(spark, docs):
     rows = [(1, "Intro. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License. x"), (2, None)]
     got = {r.doc_id: (r.sentence_ids, r.licences) for r in scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
