@@ -248,6 +248,22 @@ def test_op9_articles_are_never_lost(spark):
     assert got == dict(enumerate(words, 1)) | {10 + i: f"text {i}" for i in range(10)}
 
 
+def test_op9_wording_of_the_template_is_left_out(spark):
+    def page(i):
+        some = "<p>On six of ten.</p>" if i < 6 else ""
+        few = "<p>On four of ten.</p>" if i >= 6 else ""
+        return (f"<html><body><div class=x1>Our tagline &amp; more</div><article><h1>Title {i}</h1><p>Read <b>this</b> notice.</p>{some}<p>Text {i}</p>{few}</article><div class=x2>Legal line</div></body></html>")
+
+    rows = [(i, "http://h.example/", page(i)) for i in range(10)]
+    rows += [(20 + i, "http://plain.example/", f"<div class=x1>Our tagline</div><div>Text {i}</div><button>Go</button>") for i in range(4)]
+    rows += [(30 + i, "http://two.example/", "<p>Shared</p>" + f"<p>Text {i}</p>") for i in range(2)]
+    rows += [(40 + i, "http://copies.example/", "<p>Copied</p>") for i in range(5)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = {i: f"Title {i}\n\nText {i}" + ("" if i < 6 else "\n\nOn four of ten.") for i in range(10)}
+    want |= {20 + i: f"Text {i}" for i in range(4)} | {30 + i: f"Shared\n\nText {i}" for i in range(2)} | {40 + i: "Copied" for i in range(5)}
+    assert got == want
+
+
 def test_op4_rules(spark, docs):
     rows = [(1, "Intro. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License. x"), (2, None)]
     got = {r.doc_id: (r.sentence_ids, r.licences) for r in scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
