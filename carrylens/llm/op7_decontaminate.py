@@ -16,7 +16,8 @@ in blocks of at most ``BLOCK_BYTES`` of item text, one pass per block, so what
 is broadcast is bounded however large the benchmark is.
 
 Edge cases: null texts have no words; items without words or with a null
-item_id have no phrase; equal items are all reported; an empty benchmark finds
+item_id have no phrase; equal items are all reported, an item_id once
+however many rows it has; an empty benchmark finds
 nothing; repeated rows are judged alike; other columns are ignored.
 """
 
@@ -175,7 +176,7 @@ def searcher(block):
                     spans.setdefault(doc, []).append((a, a + int(lengths[k])))
                     items.setdefault(doc, set()).update(owners[k])
             out_spans = [[{"first": a, "last": z} for a, z in merge_spans(spans.get(i, []))] for i in range(len(rows))]
-            out_items = [sorted(names[k] for k in items.get(i, ())) for i in range(len(rows))]
+            out_items = [sorted({names[k] for k in items.get(i, ())}) for i in range(len(rows))]
             cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(out_spans, _SPANS), pa.array(out_items, pa.list_(pa.string()))]
             rows, runs, size = [], [], 0
             return pa.RecordBatch.from_arrays(cols, ["doc_id", "row_id", "n_words", "spans", "items"])

@@ -199,6 +199,19 @@ def test_op7_windows(spark, docs):
     assert all(not r.spans for r in decontaminate(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 16])  # one block, several
+def test_op7_items_are_listed_once(spark, docs, monkeypatch, block_bytes):
+    import carrylens.llm.op7_decontaminate as m
+
+    rows = [(1, "one two"), (1, "one two"), (2, "ONE two"), (3, "shared3 shared4 shared5"), (3, "shared4 shared5 shared6"), (3, "shared9 shared10"), (4, "nowhere at all")]
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    monkeypatch.setattr(m, "BLOCK_BYTES", block_bytes)
+    got = collections.Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r["items"])) for r in decontaminate(docs, bench).collect())
+    hits = {"one two": (((0, 2),), ("1", "2")), ROWS[9][1]: (((6, 10), (12, 14)), ("3",)), ROWS[10][1]: (((5, 9), (11, 13)), ("3",))}
+    want = collections.Counter((i, len((t or "").encode().split()), *hits.get(t, ((), ()))) for i, t in ROWS)
+    assert got == want
+
+
 def test_op7_fm_index_finds_what_a_scan_finds():
     rng = np.random.default_rng(5)
     text = np.append(rng.integers(1, 5, 3000), 0)
