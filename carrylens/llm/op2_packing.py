@@ -14,7 +14,8 @@ Scale: one pass, no shuffle.  A task packs its documents in blocks of
 lost task is repeated alone.  Sequence ids carry the partition, so tasks
 number independently.
 
-Edge cases: a null or empty text is the end token alone; a document of any
+Edge cases: a null or empty text is the end token alone; the string of an added
+token is that token's id, as by the tokenizer's default; a document of any
 length is streamed as pieces; rows that share a doc_id are packed one by one;
 other columns are ignored.
 """
@@ -42,20 +43,24 @@ _BITS = 33  # sequences numbered within a partition
 _TOKENIZERS: dict = {}
 
 
-def encoder(path: str, ranks: str | None = None, pattern: str | None = None):
-    """list of texts -> list of id lists, as the tokenizer file at ``path`` gives
-    them with special-token strings taken as plain text.
+def encoder(path: str, ranks: str | None = None, pattern: str | None = None, added: bool = False):
+    """A function text -> ids, as the tokenizer file at ``path`` gives them without
+    tokens around the text.  Strings of added tokens in the text are plain text,
+    or with ``added`` the tokens, which is the file's default.
 
     ``ranks`` names the same vocabulary as a rank file with its split
     ``pattern``; it serves texts of Latin characters (below U+0250), where the
     split rules of both libraries agree on every character, at several times
-    the speed.  Other texts go to the tokenizer file itself.
+    the speed.  Other texts, and with ``added`` those that hold an added token,
+    go to the tokenizer file itself.
     """
-    if path not in _TOKENIZERS:
+    key = path, ranks, pattern, added
+    if key not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
         full = Tokenizer.from_file(path)
-        full.encode_special_tokens = True
+        full.encode_special_tokens = not added
+        held = [t.content for t in full.get_added_tokens_decoder().values()] if added else []
         fast = None
         if ranks:
             import tiktoken
@@ -63,11 +68,11 @@ def encoder(path: str, ranks: str | None = None, pattern: str | None = None):
             with open(ranks, "rb") as f:
                 table_ = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
             fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table_, special_tokens={})
-        _TOKENIZERS[path] = full, fast
-    full, fast = _TOKENIZERS[path]
+        _TOKENIZERS[key] = full, fast, held
+    full, fast, held = _TOKENIZERS[key]
 
     def encode(text: str) -> list[int]:
-        if fast is not None and (text.isascii() or max(text) < "ɐ"):
+        if fast is not None and (text.isascii() or max(text) < "ɐ") and not any(t in text for t in held):
             return fast.encode_ordinary(text)
         return full.encode(text, add_special_tokens=False).ids
 
@@ -119,7 +124,7 @@ def packer(path: str, ranks: str | None, pattern: str | None, block: int = BLOCK
     """The mapInArrow function: documents (doc_id, text) -> pieces with their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, ranks, pattern)
+        encode = encoder(path, ranks, pattern, added=True)
         base = TaskContext.get().partitionId() << _BITS
         ids: list[np.ndarray] = []
         docs: list = []

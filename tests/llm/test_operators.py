@@ -152,6 +152,24 @@ def test_op2_round_trip(docs):
         assert at <= LENGTH and at & (at - 1) == 0  # no padding at all
 
 
+def test_op2_ids_are_those_of_the_call(spark, small):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)  # with its default flags
+    rows = [(i, t) for i, (_, t) in enumerate(small)]
+    rows += [(1000 + i, t) for i, t in enumerate(["<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "naïve<|endoftext|>\n\n x", "日本<|endoftext|>語", "<|endoftext", LONG])]
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    fast = encoder(path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, added=True)
+    assert all([*fast(t or ""), 1] == want[i] for i, t in rows)
+    got = collections.defaultdict(list)
+    for r in sorted(pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=lambda r: r.start):
+        got[r.doc_id] += np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert r.doc_tokens == len(want[r.doc_id])
+    assert got == want
+
+
 def test_op2_costs_are_balanced():
     rng = np.random.default_rng(3)
     pieces = pack([int(x) for x in rng.integers(1, 1500, 4000)])
