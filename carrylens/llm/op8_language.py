@@ -9,10 +9,11 @@ each language is exact, and the shortest code wins.  The score is the winner's
 posterior under equal priors.
 
 Training uses a bounded sample: the ``SAMPLE`` documents of each language with
-the least hash of doc_id, ``LONGEST`` bytes of each at most.  Counting runs as a
-Spark aggregation; the frozen table has ``MOST_CONTEXTS`` contexts at most,
-whatever the input, and is broadcast.  Every document is scored, over its
-whole text, in one pass without a shuffle.
+the least hash of doc_id, their whole texts.  Counting runs as a Spark
+aggregation, and every context of the sample is kept: the ``MOST_CONTEXTS``
+most seen as a dense table, the others as sorted arrays of what each language
+saw, which code the same lengths.  Both are broadcast.  Every document is
+scored, over its whole text, in one pass without a shuffle.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; rows
 with null lang are never learned from; without any labelled row all texts are
@@ -33,8 +34,8 @@ from carrylens.llm.common import table
 
 ORDER = 3
 SAMPLE = 400  # documents of a language that are learned from
-LONGEST = 1 << 16  # bytes of a sampled document that are learned from
-MOST_CONTEXTS = 60_000  # rows of the frozen table; the least seen contexts beyond it fall back to their suffix
+PART = 1 << 20  # bytes of a sampled document that are counted at once
+MOST_CONTEXTS = 60_000  # rows of the dense table; contexts beyond it are sparse
 WORST_RATE = 8.0  # bits a byte from which on no learned language explains a text
 
 
@@ -47,14 +48,16 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a gram is its bytes as digits in base 257 (value + 1)."""
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass")[:LONGEST], np.uint8).astype(np.int64) + 1
-            found = []
-            code = np.zeros(len(raw), np.int64)
-            for n in range(ORDER + 1):
-                code = code[: max(0, len(raw) - n)] * 257 + raw[n:]
-                found.append(code)
-            grams, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+            data = text.encode("utf-8", "surrogatepass")
+            for i in range(0, len(data), PART):
+                raw = np.frombuffer(data[i : i + PART + ORDER], np.uint8).astype(np.int64) + 1
+                found = []
+                code = np.zeros(len(raw), np.int64)
+                for n in range(ORDER + 1):
+                    code = code[: max(0, len(raw) - n)] * 257 + raw[n:]
+                    found.append(code[:PART])  # grams that start in this part
+                grams, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
 
 class Trees:
@@ -72,9 +75,10 @@ class Trees:
                 symbols.add(g % 257)
                 if g // 257:
                     seen[g // 257] = seen.get(g // 257, 0) + n
-        # contexts by order then value; deeper ones only as far as the bound goes
+        # the dense contexts: a suffix comes before what it ends
         depth = lambda g: 1 if g < 257 else 2 if g < 257**2 else 3
-        kept = sorted(seen, key=lambda g: (depth(g) > 2, -seen[g], g))[:MOST_CONTEXTS]
+        ranked = sorted(seen, key=lambda g: (depth(g) > 2, -seen[g], g))
+        kept, rest = ranked[:MOST_CONTEXTS], ranked[MOST_CONTEXTS:]
         self.alphabet = {s: i for i, s in enumerate(sorted(symbols), 1)}  # 0: any other byte
         a = len(self.alphabet) + 1
         place = {0: 0} | {c: i for i, c in enumerate(sorted(kept, key=lambda g: (depth(g), g)), 1)}
@@ -111,22 +115,76 @@ class Trees:
         for s, i in self.alphabet.items():
             self.symbol[s - 1] = i
 
+        self.sparse = self._sparse(counts, rest, depth, a) if rest else None
+
+    def _sparse(self, counts: dict[str, dict[int, int]], rest: list[int], depth, a: int) -> tuple:
+        """Of the contexts beyond the dense table: where they stand (by alphabet
+        places), and by language and order their codes (places as digits in base
+        ``a``) with escape lengths, and their grams' codes with code lengths."""
+        place = lambda g: [self.alphabet[g // 257**e % 257] for e in range(depth(g) - 1, -1, -1)]
+        code, deep = {}, np.zeros((a, a, a), dtype=bool)
+        for c in rest:
+            digits = place(c)
+            deep[(Ellipsis, *digits)] = True
+            code[c] = sum(d * a**e for e, d in enumerate(reversed(digits)))
+        trees = []
+        for lang in self.langs:
+            followers: dict[int, list[tuple[int, int]]] = {}
+            for g, n in counts[lang].items():
+                if g // 257 in code:
+                    followers.setdefault(g // 257, []).append((self.alphabet[g % 257], n))
+            orders = []
+            for d in range(1, ORDER + 1):
+                escapes, grams = [], []
+                for c, who in followers.items():
+                    if depth(c) == d:
+                        total = sum(n for _, n in who) + len(who)
+                        escapes.append((code[c], -np.log2(len(who) / total)))
+                        grams += ((code[c] * a + s, -np.log2(n / total)) for s, n in who)
+                orders.append(tuple((np.array([x for x, _ in t], np.int64), np.array([y for _, y in t], np.float32)) for t in (sorted(escapes), sorted(grams))))
+            trees.append(orders)
+        return deep, trees
+
     @property
     def tables(self) -> tuple:
         """What tasks need: plain values, so that a broadcast needs no class."""
-        return self.langs, self.row, self.bits, self.symbol
+        return self.langs, self.row, self.bits, self.symbol, self.sparse
+
+
+def _looked_up(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the sorted table, and its value there."""
+    codes, values = table_
+    if not len(codes):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+    at = np.minimum(np.searchsorted(codes, keys), len(codes) - 1)
+    return codes[at] == keys, values[at]
 
 
 def code_lengths(model: tuple, data: bytes) -> np.ndarray:
     """Code length of the bytes in each language, in bits."""
-    langs, row, bits, symbol = model
+    langs, row, bits, symbol, sparse = model
     s = symbol[np.frombuffer(data, np.uint8)]
     out = np.zeros(len(langs))
     for i in range(0, len(s), 1 << 16):
         part = s[max(0, i - ORDER) : i + (1 << 16)]
         padded = np.concatenate((np.zeros(ORDER - min(i, ORDER), np.int64), part))
         rows = row[padded[:-3], padded[1:-2], padded[2:-1]]
-        out += bits[rows, padded[3:]].sum(axis=0, dtype=np.float64)
+        lengths = bits[rows, padded[3:]]
+        if sparse is not None:
+            deep, trees = sparse
+            rare = np.flatnonzero(deep[padded[:-3], padded[1:-2], padded[2:-1]])
+            a, after = len(deep), padded[rare + 3]
+            for k, orders in enumerate(trees):
+                x = lengths[rare, k]
+                code = np.zeros(len(rare), np.int64)
+                for d, (escapes, grams) in enumerate(orders, 1):  # from the shortest: an escape adds to the suffix's length
+                    digit = padded[rare + 3 - d]
+                    code = code + digit * a ** (d - 1)
+                    known, escape = _looked_up(escapes, code)
+                    seen, own = _looked_up(grams, code * a + after)
+                    x = np.where(known, np.where(seen, own, x + escape), x)
+                lengths[rare, k] = x
+        out += lengths.sum(axis=0, dtype=np.float64)
     return out
 
 

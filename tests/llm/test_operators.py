@@ -254,6 +254,48 @@ def test_op8_accuracy_and_edges(spark, docs):
     assert {r.lang_pred for r in identify(docs, full.limit(0)).collect()} == {"und"}
 
 
+def test_op8_learns_whole_texts(spark):
+    from carrylens.llm import op8_language as m
+
+    rng = np.random.default_rng(8)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    text = "".join(chr(97 + x) for x in rng.integers(0, 26, m.PART + 1000))
+    train = spark.createDataFrame([(ids[0], "b" * 70_000 + text, "x"), (ids[1], "b" * 70_000, "y")], "doc_id bigint, text string, lang string")
+    lang = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame([(1, text[-900:])], "doc_id bigint, text string"), train).collect()}
+    grams = collections.Counter(text[i : i + n] for n in range(1, 5) for i in range(len(text) - n + 1))
+    seen = collections.Counter()
+    import pyarrow as pa
+
+    for b in m._grams(iter([pa.RecordBatch.from_pydict({"lang": ["x"], "text": [text]})])):
+        for g, n in zip(b.column("gram").to_pylist(), b.column("n").to_pylist()):
+            digits = []
+            while g:
+                g, d = divmod(g, 257)
+                digits.append(chr(d - 1))
+            seen["".join(reversed(digits))] += n
+    assert seen == grams and lang == {1: "x"}
+
+
+@pytest.mark.parametrize("dense", [0, 3, 40, 400])
+def test_op8_keeps_every_context(monkeypatch, dense):
+    from carrylens.llm import op8_language as m
+
+    rng = np.random.default_rng(9)
+    texts = {k: bytes(rng.choice(np.frombuffer(s, np.uint8), 700)) for k, s in (("x", b"abcde "), ("y", b"bdfgh \xc3\xa9"), ("z", b"klab"))}
+    counts = {k: collections.Counter() for k in texts}
+    for k, t in texts.items():
+        for n in range(1, m.ORDER + 2):
+            for i in range(len(t) - n + 1):
+                counts[k][sum((c + 1) * 257**e for e, c in enumerate(reversed(t[i : i + n])))] += 1
+    full = m.Trees(counts)
+    assert full.sparse is None
+    monkeypatch.setattr(m, "MOST_CONTEXTS", dense)
+    part = m.Trees(counts)
+    assert part.sparse is not None
+    for t in [*texts.values(), b"a", b"", b"ab cd\xff ka fgh klm", b"qqab"]:
+        assert np.allclose(m.code_lengths(part.tables, t), m.code_lengths(full.tables, t), rtol=1e-4)
+
+
 def test_op9_pages(spark):
     page = "<html><head><title>T</title><script>var t='</p>'</script></head><body><nav><a href='/x'>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; line</h1><p><b>First\n  text<br>more</b><p>Second<aside>no</aside></p></article><div id='comments'>spam</div><footer>f</footer></body></html>"
     rows = [(i, "http://h.example/p", page) for i in range(5)] + [(9, None, None), (10, "odd", "plain <b>text</b>")]
