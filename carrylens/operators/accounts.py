@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import r8, safe_div
+from .bands import banded_median
 
 # Fixed leverage bucket edges of the studied histogram, half-open, last one
 # open-ended (T11): <5, 5-8, 8-10, 10-12.5, >=12.5.
@@ -44,10 +45,8 @@ def risk_segments(accounts: DataFrame, dust_cut: float) -> DataFrame:
 def leverage_stats(accounts: DataFrame, dust_cut: float) -> DataFrame:
     """Median (exact, mean of the middle pair, by distributed rank), debt-
     weighted mean, min and max leverage over normal accounts (AG-10..AG-12)."""
-    from .ranking import exact_median
-
     n = with_segments(accounts, dust_cut).filter(F.col("segment") == "normal")
-    med = exact_median(n, "leverage", "address").select(F.col("median").alias("median_leverage"))
+    med = banded_median(n, "leverage", "address").select(F.col("median").alias("median_leverage"))
     g = n.agg(
         F.count(F.lit(1)).alias("n_accounts"),
         safe_div(F.sum(F.col("leverage") * F.col("debt")), F.sum("debt")).alias("weighted_leverage"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import r8, safe_div, scale
-from .ranking import global_rank, top_k_with_running
+from .bands import banded_rank
+from .ranking import top_k_with_running
 
 
 def contract_flag(positions: DataFrame, creation_traces: DataFrame, key: str = "user_addr") -> DataFrame:
@@ -96,10 +97,8 @@ def full_ranking(classified: DataFrame) -> DataFrame:
     """Every position ranked with its cumulative loop share (WN-1, WN-3), the
     distributed way (R2b)."""
     tot = F.broadcast(debt_totals(classified))
-    ranked = global_rank(
-        classified, _order(),
-        running={"_cum_loop": F.when(F.col("is_loop_position"), F.col("debt_raw"))},
-    )
+    slim = classified.select("user_addr", "is_loop_position", "debt", "debt_raw")
+    ranked = banded_rank(slim, [("debt_raw", False), ("user_addr", True)], running={"_cum_loop": F.when(F.col("is_loop_position"), F.col("debt_raw"))})
     j = ranked.crossJoin(tot)
     return j.select("rank", "user_addr", "is_loop_position", "debt", *_share_columns("_cum_loop"))
 

@@ -43,6 +43,7 @@ class CarryParams:
     opening_assets: int = 0
     opening_shares: int = 0
     forward_fill_rates: bool = False  # T16: default drops days without an update
+    reserve: str = ""  # reserve of the rate updates, where it isn't the asset
 
 
 def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
@@ -138,11 +139,14 @@ def running_state(spark: SparkSession, transfers: DataFrame, p: CarryParams) ->
     )
 
 
-def exchange_rate_daily(state: DataFrame) -> DataFrame:
+def with_exchange_rate(state: DataFrame) -> DataFrame:
     """Vault assets per share, defined only when both are positive (J-2)."""
     ok = (F.col("total_shares") > 0) & (F.col("total_assets") > 0)
-    return state.select("day", "total_assets", "total_shares",
-                        F.when(ok, F.col("total_assets") / F.col("total_shares")).alias("exch_rate"))
+    return state.select("*", F.when(ok, F.col("total_assets") / F.col("total_shares")).alias("exch_rate"))
+
+
+def exchange_rate_daily(state: DataFrame) -> DataFrame:
+    return with_exchange_rate(state).select("day", "total_assets", "total_shares", "exch_rate")
 
 
 def annualised_growth(df: DataFrame, col: str, lag_rows: int = 30, days_per_year: float = 365.0) -> DataFrame:
@@ -163,7 +167,7 @@ def reserve_daily(spark: SparkSession, updates: DataFrame, transfers: DataFrame,
     balances and actual balances = scaled x index (J-9).  Days without an
     update are dropped, not forward-filled (T16): the left join plus the
     NOT NULL filter becomes an inner join in the optimised plan (PF-9)."""
-    rates = latest_per_day(updates, p.asset, p.start_day, p.rate_unit)
+    rates = latest_per_day(updates, p.reserve or p.asset, p.start_day, p.rate_unit)
     state = state if state is not None else running_state(spark, transfers, p)
     j = state.join(rates, "day", "left")
     if p.forward_fill_rates:
@@ -194,10 +198,9 @@ def carry_daily(spark: SparkSession, updates: DataFrame, transfers: DataFrame, p
                 period_cuts, last_period: str) -> DataFrame:
     """The carry dashboard (J-14): one row per day from ``window_start`` with
     a rate update; carry = vault 30-day annualised yield - borrow APY."""
-    state = running_state(spark, transfers, p)
-    daily = utilisation(reserve_daily(spark, updates, transfers, p, state), p.reserve_factor)
-    ex = annualised_growth(exchange_rate_daily(state), "exch_rate")
-    j = daily.join(ex.select("day", "exch_rate", "exch_rate_growth_30d"), "day", "left")
+    # exchange rate and lag stand on the state's own rows, so transfers are scanned once
+    state = annualised_growth(with_exchange_rate(running_state(spark, transfers, p)), "exch_rate")
+    j = utilisation(reserve_daily(spark, updates, transfers, p, state), p.reserve_factor)
     j = j.filter(F.col("day") >= F.lit(p.window_start))
     borrow_apy = apr_to_apy("borrow_apr", p.secs_per_year)
     supply_apy = apr_to_apy("supply_apr", p.secs_per_year)

@@ -260,12 +260,17 @@ def distinct_holders(spark, sf):
 # ===================================================== calendar and carry
 from datetime import date  # noqa: E402
 
-from ..operators import series  # noqa: E402
+from ..operators import markets, series  # noqa: E402
 
 CARRY = series.CarryParams(
     asset=S.ASSET, vault=S.VAULT, a_token=S.ATOKEN, debt_token=S.DTOKEN, reserve_factor=0.25,
     start_day=S.CAL_START, end_day=S.CAL_END, window_start=S.WINDOW_START, unit=S.UNIT,
 )
+# a second market: another reserve, the tokens' roles swapped, a later calendar, balances carried in
+MARKETS = {"base": CARRY, "second": series.CarryParams(
+    asset=S.ASSET, vault=S.VAULT, a_token=S.DTOKEN, debt_token=S.ATOKEN, reserve_factor=0.1, reserve=S.SHARE,
+    start_day=date(1996, 7, 1), end_day=date(2000, 12, 31), window_start=date(1997, 1, 1), unit=S.UNIT,
+    opening_scaled_supply=10**13, opening_scaled_debt=10**12, opening_assets=5 * 10**12, opening_shares=4 * 10**12)}
 # period labels: the studied query labels three open-ended periods by two
 # cut dates; the stand-in calendar gets its own cut dates and labels
 PERIODS = [(date(1998, 1, 1), "1. 1996-1997"), (date(2000, 1, 1), "2. 1998-1999")]
@@ -377,8 +382,26 @@ def carry_daily(spark, sf):
     return series.carry_daily(spark, s.reserve_updates, s.transfers, CARRY, PERIODS, LAST_PERIOD)
 
 
+def _markets(s: S.StandIns) -> DataFrame:
+    return markets.market_table(s.spark, MARKETS)
+
+
+@query
+def running_balances_markets(spark, sf):
+    """WN-4 / T17: running balances of two markets, each from its opening balances."""
+    s = S.StandIns(spark, sf)
+    return markets.market_state(s.transfers, _markets(s)).select("market", "day", "scaled_supply", "scaled_debt", "total_assets", "total_shares")
+
+
+@query
+def carry_markets(spark, sf):
+    """J-14 / WN-5 / J-9: the carry dashboard of two markets in one run."""
+    s = S.StandIns(spark, sf)
+    return markets.carry_markets(s.reserve_updates, s.transfers, _markets(s), PERIODS, LAST_PERIOD)
+
+
 # ================================================= raw logs and account words
-from ..operators import accounts  # noqa: E402
+from ..operators import accounts, asof  # noqa: E402
 from ..sources import decode  # noqa: E402
 
 # block windows: the studied pager requests inclusive windows of 9,999 + 1 blocks
@@ -390,6 +413,9 @@ LARGE_CUT = 2_000_000.0
 LEVERAGE_CAP = 12.5
 PROFILE_K = 10
 AS_OF_BLOCK = 10_000
+RESERVE_PINS = (300, 3_000, 10_000)
+SNAPSHOT_PINS = (S.PIN_BLOCK - 2, S.PIN_BLOCK - 1, S.PIN_BLOCK)
+RECONCILE_TOL = 0.15  # interest over some years
 
 
 def _decoded(s: S.StandIns) -> DataFrame:
@@ -397,7 +423,8 @@ def _decoded(s: S.StandIns) -> DataFrame:
 
 
 def _accounts(s: S.StandIns) -> DataFrame:
-    return decode.decode_account_words(s.account_words, hf_unit=HF_UNIT)
+    pinned = s.account_words.filter(F.col("block_number") == F.lit(S.PIN_BLOCK))
+    return decode.decode_account_words(pinned, hf_unit=HF_UNIT)
 
 
 def _holder_legs(s: S.StandIns) -> DataFrame:
@@ -549,15 +576,67 @@ def intra_cluster_transfers(spark, sf):
     return x.select("contract_address", "from", "to", scale(F.col("value"), S.UNIT).alias("value"), "evt_block_number")
 
 
+def _debt_events(s: S.StandIns) -> DataFrame:
+    return asof.debt_events(s.borrow, s.repay, s.liquidation, [S.ASSET])
+
+
+@query
+def index_as_of_events(spark, sf):
+    """T5: every debt event with the borrow index of the last update at or before it."""
+    s = S.StandIns(spark, sf)
+    x = asof.with_index(_debt_events(s), s.reserve_updates, "variable_borrow_index")
+    return x.select("user_addr", F.to_date("evt_block_time").alias("day"), scale("amount", S.UNIT).alias("amount"),
+                    r8(F.col("variable_borrow_index")).alias("debt_index"))
+
+
+@query
+def accrued_debt(spark, sf):
+    """J-27 / T5: principal against accrued debt (scaled balance x current index) per borrower."""
+    s = S.StandIns(spark, sf)
+    x = asof.accrued_debt(_debt_events(s), s.reserve_updates, S.UNIT)
+    return x.select("user_addr", "n_events", "principal_debt", "scaled_debt", F.round("accrued_debt", 4).alias("accrued_debt"), F.round("interest", 4).alias("interest"))
+
+
 @query
 def reconcile_positions(spark, sf):
-    """J-27: event-netted debt against the balance snapshot, per address."""
+    """J-27: event-netted (principal) debt against the accrued debt of the
+    addresses that hold the debt token; the gap is the interest (T5)."""
     s = S.StandIns(spark, sf)
     from ..operators import quality
 
     ev = ledger.position_sums(_legs(s)).select(F.col("user_addr").alias("address"), scale("debt_raw", S.UNIT).alias("a"))
-    bal = _holder_legs(s).select("address", scale("debt_raw", S.UNIT).alias("b"))
-    return quality.reconcile(ev, bal, "address", 1e-9)
+    holders = _holder_legs(s).filter("debt_raw is not null").select("address")
+    accrued = asof.accrued_debt(_debt_events(s), s.reserve_updates, S.UNIT).select(F.col("user_addr").alias("address"), F.round("accrued_debt", 4).alias("b"))
+    return quality.reconcile(ev, accrued.join(holders, "address", "left_semi"), "address", RECONCILE_TOL)
+
+
+def _pins(spark, *blocks: int) -> DataFrame:
+    return spark.createDataFrame([(b,) for b in blocks], "pin bigint")
+
+
+@query
+def reserves_at_pins(spark, sf):
+    """SRC-9: every reserve's rates at three pinned blocks, one pass over the updates."""
+    s = S.StandIns(spark, sf)
+    x = asof.states_at_pins(s.reserve_updates, ["reserve"], _pins(spark, *RESERVE_PINS), "evt_block_number", "evt_index")
+    return x.select("pin", "reserve", "evt_block_number", F.col("variable_borrow_rate").alias("borrow_apr"), F.col("liquidity_rate").alias("supply_apr"),
+                    F.col("variable_borrow_index").alias("debt_index"))
+
+
+@query
+def balances_at_pins(spark, sf):
+    """SRC-9: token balances at three pinned blocks (none yet at the first)."""
+    x = asof.states_at_pins(S.StandIns(spark, sf).balances, ["token", "address"], _pins(spark, *SNAPSHOT_PINS))
+    return x.select("pin", "token", "address", "block_number", scale("balance", S.UNIT).alias("balance"))
+
+
+@query
+def accounts_at_pins(spark, sf):
+    """SRC-9 / SC-12: decoded account records at three pinned blocks; a short record stays a failed read."""
+    x = asof.states_at_pins(S.StandIns(spark, sf).account_words, ["address"], _pins(spark, *SNAPSHOT_PINS))
+    d = decode.decode_account_words(x.withColumn("key", F.concat_ws("@", "address", "pin")).select("block_number", F.col("key").alias("address"), "data"), hf_unit=HF_UNIT)
+    at = F.split("address", "@")
+    return d.select(at[1].cast("bigint").alias("pin"), at[0].alias("address"), "collateral", "debt", "health_factor")
 
 
 # ======================================== categories, reserves, lineage

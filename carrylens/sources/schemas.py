@@ -38,11 +38,11 @@ SCHEMAS: dict[str, StructType] = {
     "transfer": _s(("contract_address", S), ("from", S), ("to", S), ("value", AMOUNT), ("evt_block_time", TS),
                    ("evt_block_number", L), ("evt_index", I)),
     "borrow": _s(("reserve", S), ("on_behalf_of", S), ("amount", AMOUNT), ("evt_block_time", TS)),
-    "repay": _s(("reserve", S), ("user", S), ("amount", AMOUNT)),
+    "repay": _s(("reserve", S), ("user", S), ("amount", AMOUNT), ("evt_block_time", TS)),
     "supply": _s(("reserve", S), ("on_behalf_of", S), ("amount", AMOUNT), ("evt_block_time", TS)),
     "withdraw": _s(("reserve", S), ("user", S), ("amount", AMOUNT)),
     "liquidation_call": _s(("user", S), ("debt_asset", S), ("debt_to_cover", AMOUNT), ("collateral_asset", S),
-                           ("liquidated_collateral_amount", AMOUNT)),
+                           ("liquidated_collateral_amount", AMOUNT), ("evt_block_time", TS)),
     "reserve_data_updated": _s(("reserve", S), ("evt_block_time", TS), ("evt_block_number", L), ("evt_index", I),
                                ("liquidity_rate", AMOUNT), ("variable_borrow_rate", AMOUNT),
                                ("liquidity_index", AMOUNT), ("variable_borrow_index", AMOUNT)),

@@ -156,14 +156,14 @@ class StandIns:
     def _build_repay(self) -> DataFrame:
         x = self.lines.filter((F.col("f") == "R") & (F.col("st") == "F") & (F.col("t") < 8))
         return x.select(F.lit(ASSET).alias("reserve"), user_address(F.col("user") + 1).alias("user"),
-                        (F.col("cents") * F.col("d")).alias("amount"))
+                        (F.col("cents") * F.col("d")).alias("amount"), F.col("l_shipdate").alias("evt_block_time"))
 
     def _build_liquidation(self) -> DataFrame:
         x = self.lines.filter((F.col("f") == "R") & (F.col("st") == "F") & (F.col("t") == 8))
         return x.select(
             user_address(F.col("user") + 1).alias("user"), F.lit(ASSET).alias("debt_asset"),
             (F.col("cents") * F.col("d")).alias("debt_to_cover"), F.lit(SHARE).alias("collateral_asset"),
-            (F.col("cents") * F.col("t")).alias("liquidated_collateral_amount"),
+            (F.col("cents") * F.col("t")).alias("liquidated_collateral_amount"), F.col("l_shipdate").alias("evt_block_time"),
         )
 
     def _build_creation_traces(self) -> DataFrame:
@@ -282,6 +282,9 @@ class StandIns:
         coll = F.round(F.col("c_raw").cast("double") * F.col("exchange_rate") * 1e4).cast("bigint")
         debt = F.col("d_raw") * 10_000
         p = p.select("user", coll.alias("cb"), debt.alias("db"))
+        # an earlier snapshot with twice the collateral, which readers pinned to PIN_BLOCK must leave out
+        age = F.explode(F.array(F.lit(0), F.lit(1)))
+        p = p.select("user", age.alias("age"), "cb", "db").select("user", "age", (F.col("cb") * (F.col("age") + 1)).alias("cb"), "db")
         cb, db = F.col("cb"), F.col("db")
         avail = F.greatest(F.round(cb.cast("double") * 0.92).cast("bigint") - db, F.lit(0).cast("bigint"))
         hf = F.round(F.lit(9400.0) * cb / db).cast("bigint")
@@ -289,7 +292,7 @@ class StandIns:
                         _word(F.lit(9200).cast("bigint")), _word(hf))
         short = F.concat(F.lit("0x"), _word(cb), _word(db))
         return p.select(
-            F.lit(PIN_BLOCK).cast("bigint").alias("block_number"), user_address(F.col("user") + 1).alias("address"),
+            (F.lit(PIN_BLOCK) - F.col("age")).cast("bigint").alias("block_number"), user_address(F.col("user") + 1).alias("address"),
             F.when((cb > 0) & (db > 0), full).otherwise(short).alias("data"),
         )
 
