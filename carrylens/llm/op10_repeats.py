@@ -2,18 +2,25 @@
 
 Seeds are winnowed: of every run of 50 words the 10-word gram with the least
 hash is the anchor, so equal 50-word windows choose equal anchors at equal
-places.  Documents are joined on anchors that several documents hold.  Each
-occurrence is compared with the anchor's leader (its first occurrence in the
-smallest doc_id) and the match is extended to the left and to the right over
-the windows around the anchor; what the leader does not match is settled among
-the other occurrences by the content of the windows, so no repeat is lost
-where two documents share more with each other than with the leader.  Runs of
-matched windows are the maximal repeats; those at least 50 words long count.
-
-Scale: an anchor costs one comparison per occurrence, never a pair of
-occurrences; anchor and window counts combine before the shuffle; the
-occurrences of a hot anchor are dealt over portions that each get a copy of
-the leader.  Exact copies are recognised by digest and not seeded at all.
+places.  Documents are joined on anchors that several documents hold.  An anchor's
+occurrences are extended in order of their doc_id: window by window to the left
+and to the right of the anchor against the leaders so far, the first of which
+is the smallest doc_id's occurrence.  Windows that a leader has are matched;
+with those that no leader has, an occurrence becomes a leader of the later
+ones, so no repeat is lost where two documents share more with each other than
+with the first.  Runs of matched windows are the maximal repeats; those at
+least 50 words long count.
+
+Scale: anchors are counted before the shuffle; an anchor costs a row per
+document and window list, never a pair of occurrences, and a text that goes
+round and round has one row for all rounds.  Occurrences of a hot anchor are
+dealt over portions of about ``PORTION`` that each get a copy of the first
+leader; what a portion's leaders don't settle among themselves is one row per
+portion, document and window, and is compared between that anchor's portions.
+A task holds the leaders of one portion.  Windows are compared by 64-bit hashes
+among one anchor's occurrences only, so unlike windows are taken for equal with
+a probability of 2**-64 a comparison.  Exact copies are recognised by digest
+and not seeded at all.
 
 Edge cases: null or wordless texts keep nothing and lose nothing; a text of
 fewer than 50 words has no window; rows with one doc_id never remove from each
@@ -35,7 +42,7 @@ from carrylens.llm.common import RangeHash, merge_spans, table, window_argmin, w
 
 WINDOW = 50
 GRAM = 10
-PORTION = 4000  # occurrences of an anchor compared with one copy of its leader
+PORTION = 4000  # rows of an anchor that one task holds, with a copy of the first leader
 
 
 class Words:
@@ -75,15 +82,15 @@ def _seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "row_id", "n_words", "digest", "anchors"])
 
 
-_SEEDS = "anchor bigint, member boolean, doc_id bigint, row_id bigint, first bigint, at bigint, hashes array<bigint>"
+_SEEDS = "anchor bigint, member boolean, doc_id bigint, row_id bigint, firsts array<bigint>, hashes array<bigint>"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, row_id, text, shared, led): one row per occurrence of a shared
-    anchor, with the hashes of the windows that chose it.  ``first`` is the first
-    such window, ``at`` the anchor's place."""
+    """Rows (doc_id, row_id, text, shared, led): the occurrences of shared
+    anchors with the hashes of the windows that chose them, one row for all
+    that have the same windows.  ``firsts`` are the places of the first ones."""
     for b in batches:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(6)]
         for doc, row, text, shared, led in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_id", "text", "shared", "led"))):
             w = Words(text)
             w.seed()
@@ -93,45 +100,57 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(shared := np.array(shared, dtype=np.int64))
             shared, led = shared[order], np.array(led, dtype=bool)[order]
             where = np.minimum(np.searchsorted(shared, names), len(shared) - 1)
-            seen: set[int] = set()
+            rounds: dict[tuple[int, bytes], list[int]] = {}
             for k in np.flatnonzero(shared[where] == names).tolist():
-                name = int(names[k])
-                leader = bool(led[where[k]]) and name not in seen
-                seen.add(name)
-                for col, v in zip(cols, (name, not leader, doc, row, int(firsts[k]), int(w.anchor[firsts[k]]), w.hashes[firsts[k] : lasts[k]].view(np.int64))):
+                rounds.setdefault((int(names[k]), w.hashes[firsts[k] : lasts[k]].tobytes()), []).append(k)
+            leads: set[int] = set()
+            for (name, hashes), places in rounds.items():
+                leader = bool(led[where[places[0]]]) and name not in leads
+                leads.add(name)
+                for col, v in zip(cols, (name, not leader, doc, row, firsts[places], np.frombuffer(hashes, dtype=np.int64))):
                     col.append(v)
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["anchor", "member", "doc_id", "row_id", "first", "at", "hashes"])
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["anchor", "member", "doc_id", "row_id", "firsts", "hashes"])
 
 
-_EXTENDED = "doc_id bigint, row_id bigint, first bigint, last bigint, open bigint"
+_EXTENDED = "anchor bigint, doc_id bigint, row_id bigint, first bigint, last bigint, open bigint, starts array<bigint>"
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, portion, member): windows [first, last) of an
-    occurrence that equal the leader's, or one unmatched window with its hash
-    in ``open``.  Windows are aligned by their distance from the anchor."""
-    key = lead = None
+    """Rows sorted by (anchor, portion, member, doc_id): runs [first, last) of
+    windows that a smaller doc_id's occurrence in this portion has; of anchors
+    with several portions also the windows of its leaders (``open``), once a
+    row with all their places."""
+    key, leader_of, opened = None, {}, {}
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [()] * 7
+        types = [pa.int64()] * 6 + [pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["anchor", "doc_id", "row_id", "first", "last", "open", "starts"])
+
+    def settled() -> list[tuple]:
+        return [(key[0], doc, row, None, None, h, starts) for (doc, row, h), starts in opened.items()]
+
     for b in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for anchor, portion, member, doc, row, first, at, hashes in zip(*(b.column(c).to_pylist() for c in ("anchor", "portion", "member", "doc_id", "row_id", "first", "at", "hashes"))):
-            if not member and key != (anchor, portion):
-                key, lead = (anchor, portion), (doc, row, at - first, hashes)
-                continue
-            own, shift = np.array(hashes, dtype=np.int64), (at - first) - lead[2]
-            other = np.array(lead[3], dtype=np.int64)
-            lo, hi = max(0, shift), min(len(own), len(other) + shift)
-            equal = np.zeros(len(own), dtype=bool)
-            if lo < hi:
-                equal[lo:hi] = own[lo:hi] == other[lo - shift : hi - shift]
-            found = np.flatnonzero(equal)
-            if len(found) and doc > lead[0]:
-                for col, v in zip(cols, (doc, row, first + int(found[0]), first + int(found[-1]) + 1, None)):
-                    col.append(v)
-            for k in np.flatnonzero(~equal).tolist():
-                for col, v in zip(cols, (doc, row, first + k, first + k + 1, int(own[k]))):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "row_id", "first", "last", "open"])
+        out: list[tuple] = []
+        for anchor, portion, portions, doc, row, firsts, hashes in zip(*(b.column(c).to_pylist() for c in ("anchor", "portion", "portions", "doc_id", "row_id", "firsts", "hashes"))):
+            if (anchor, portion) != key:
+                out += settled()
+                key, leader_of, opened = (anchor, portion), {}, {}
+            runs: list[list[int]] = []
+            for k, h in enumerate(hashes):
+                if leader_of.setdefault(h, doc) < doc:
+                    if runs and runs[-1][1] == k:
+                        runs[-1][1] = k + 1
+                    else:
+                        runs.append([k, k + 1])
+                elif portions > 1:
+                    opened.setdefault((doc, row, h), []).extend(f + k for f in firsts)
+            if runs:
+                out += [(anchor, doc, row, a, z, None, None) for a, z in merge_spans([(f + a, f + z) for f in firsts for a, z in runs])]
+        yield batch(out)
+    if opened:
+        yield batch(settled())
 
 
 _KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
@@ -174,15 +193,15 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = written(texts.mapInArrow(_occurrences, _SEEDS), "occurrences")
     portions = found.groupBy("anchor").agg(F.ceil(F.count("*") / PORTION).alias("portions")).filter("portions > 1")
     found = found.join(portions, "anchor", "left").withColumn("portions", F.coalesce("portions", F.lit(1)))
-    # rows that share a doc_id may bring an anchor several leaders: the first stays, the others are compared with it
-    member = found.filter("member").withColumn("portion", F.pmod(F.xxhash64("doc_id", "first"), F.col("portions")))
+    member = found.filter("member").withColumn("portion", F.pmod(F.xxhash64("doc_id", "firsts"), F.col("portions")))
     leads = found.filter("not member").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1)))
-    dealt = member.unionByName(leads).repartition("anchor", "portion").sortWithinPartitions("anchor", "portion", "member", "doc_id", "row_id", "first")
-    matched = written(dealt.drop("portions").mapInArrow(_extend, _EXTENDED), "extended")
+    dealt = member.unionByName(leads).repartition("anchor", "portion").sortWithinPartitions("anchor", "portion", "member", "doc_id", "row_id", "firsts")
+    matched = written(dealt.mapInArrow(_extend, _EXTENDED), "extended")
+    # between the portions of an anchor: the leaders' windows
     opened = matched.filter("open is not null")
-    least = opened.groupBy("open").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    rest = opened.join(least, "open").filter("doc_id > least").select("doc_id", "row_id", "first", "last")
-    return rows, matched.filter("open is null").select("doc_id", "row_id", "first", "last").union(rest)
+    least = opened.groupBy("anchor", "open").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    rest = opened.join(least, ["anchor", "open"]).filter("doc_id > least").select("doc_id", "row_id", F.explode("starts").alias("first"))
+    return rows, matched.filter("open is null").select("doc_id", "row_id", "first", "last").union(rest.withColumn("last", F.col("first") + 1))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -68,6 +68,21 @@ def test_op10_words(spark, docs, small):
         assert collections.Counter(map(tuple, remove_words(frame).collect())) == cut(rows, split, 50, join)
 
 
+@pytest.mark.parametrize("portion", [1, 2, 7, 4000])
+def test_op10_hot_anchors_are_dealt_over_portions(spark, monkeypatch, portion):
+    """A frequent passage with every kind of neighbourhood, texts that go round
+    and round, and repeats between documents that the smallest one doesn't have."""
+    from carrylens.llm import op10_repeats
+
+    monkeypatch.setattr(op10_repeats, "PORTION", portion)
+    split, join = lambda t: t.encode().split(), lambda u: b" ".join(u).decode()
+    tails = ["alpha " * 3, " ".join(f"t{i}" for i in range(40)), " ".join(f"t{i}" for i in range(25)) + " other", ""]
+    rows = [(i, f"{'x ' * (i % 3)}{tails[i % 4][::-1]} {PASSAGE} {tails[(i // 2) % 4]} end{i % 5}") for i in range(40)]
+    rows += [(100 + i, "ping pong " * (30 + 13 * i)) for i in range(9)] + [(90, "pong ping " * 200), (3, "pong " + "ping pong " * 90), (200, "go " * 400), (201, "go " * 60 + "stop " + "go " * 55)]
+    got = remove_words(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert collections.Counter(map(tuple, got.collect())) == cut(rows, split, 50, join)
+
+
 def test_op5_bytes(spark, docs, small):
     split, join = lambda t: t.encode(), lambda u: bytes(u)
     for frame, rows in ((docs, ROWS), (spark.createDataFrame(small[:120], "doc_id bigint, text string"), small[:120])):
