@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +41,10 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 BLOCK_TOKENS = 1 << 21
 _BITS = 33  # sequences numbered within a partition
 
+LONG_RUN = 20_000  # characters between two borders of white space, from which a text goes to the tokenizer file
+
+#: A run of white space or of other characters that is long, found in one pass.
+_RUN = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}|(?<!\S)\S{{{LONG_RUN}}}")
 _TOKENIZERS: dict = {}
 
 
@@ -51,8 +56,9 @@ def encoder(path: str, ranks: str | None = None, pattern: str | None = None, add
     ``ranks`` names the same vocabulary as a rank file with its split
     ``pattern``; it serves texts of Latin characters (below U+0250), where the
     split rules of both libraries agree on every character, at several times
-    the speed.  Other texts, and with ``added`` those that hold an added token,
-    go to the tokenizer file itself.
+    the speed.  Other texts, with ``added`` those that hold an added token, and
+    those with a run of LONG_RUN characters, on which the fast split's
+    backtracking gives up, go to the tokenizer file itself.
     """
     key = path, ranks, pattern, added
     if key not in _TOKENIZERS:
@@ -72,7 +78,7 @@ def encoder(path: str, ranks: str | None = None, pattern: str | None = None, add
     full, fast, held = _TOKENIZERS[key]
 
     def encode(text: str) -> list[int]:
-        if fast is not None and (text.isascii() or max(text) < "ɐ") and not any(t in text for t in held):
+        if fast is not None and (text.isascii() or max(text) < "ɐ") and not any(t in text for t in held) and not (len(text) >= LONG_RUN and _RUN.search(text)):
             return fast.encode_ordinary(text)
         return full.encode(text, add_special_tokens=False).ids
 

@@ -49,21 +49,52 @@ _CONTEXT = 60  # characters before a match that are searched for its two words
 _SPAN = "struct<kind:int,first:int,last:int,value:string,context:string>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _parts(items: Column) -> Column:
+    """An array cut into parts of about the square root of its size (64 at least)."""
+    size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    return _bound(size, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int"))),
+                                              lambda i: F.slice(items, i * n + 1, n)))
+
+
+def _scanned(items: Column, kind: str, value, join) -> Column:
+    """Parts of ``items`` (structs of type ``kind``) as structs (at, items): what
+    ``join`` has made of the values before the part, and its items as structs
+    (at, item), each with what was made before it.  An array that grows in an
+    aggregate is copied at every step, so both levels grow to the square root."""
+    pair = f"struct<at:int,item:{kind}>"
+
+    def starts(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda at, x: join(at, value(x))))
+        none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(totals, none, lambda acc, t: F.struct(join(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def inner(part: Column, at: Column) -> Column:
+        none = F.struct(at.alias("at"), F.expr(f"cast(array() as array<{pair}>)").alias("out"))
+        grown = F.aggregate(part, none, lambda acc, x: F.struct(join(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("item")))).alias("out")), lambda acc: acc["out"])
+        return F.struct(at.alias("at"), grown.alias("items"))
+
+    return _bound(items, lambda xs: _bound(_parts(xs), lambda parts: F.zip_with(parts, starts(parts), inner)))
+
+
 def _matches(text: Column, regex: str, kind: int) -> Column:
     """All matches as structs (kind, first, last, value, context), in order:
     the texts between matches give the positions."""
     between, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    pairs = F.filter(F.zip_with(between, found, lambda b, v: F.struct(b.alias("before"), v.alias("value"))), lambda p: p["value"].isNotNull())
 
-    def step(acc: Column, pair: Column) -> Column:
-        first = acc["at"] + F.length(pair["before"])
-        last = first + F.length(pair["value"])
-        words = F.regexp_extract(F.lower(F.substring(pair["before"], -_CONTEXT, _CONTEXT)), r"(\S+\s+\S+)\s+$", 1)
-        span = F.struct(F.lit(kind).alias("kind"), first.alias("first"), last.alias("last"), pair["value"].alias("value"), F.regexp_replace(words, r"\s+", " ").alias("context"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(x: Column) -> Column:
+        before, value = x["item"]["before"], x["item"]["value"]
+        first = x["at"] + F.length(before)
+        words = F.regexp_extract(F.lower(F.substring(before, -_CONTEXT, _CONTEXT)), r"(\S+\s+\S+)\s+$", 1)
+        return F.struct(F.lit(kind).alias("kind"), first.alias("first"), (first + F.length(value)).alias("last"), value.alias("value"), F.regexp_replace(words, r"\s+", " ").alias("context"))
 
-    pairs = F.zip_with(between, found, lambda b, v: F.struct(b.alias("before"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
-    return F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), start, step, lambda acc: acc["out"])
+    placed = _scanned(pairs, "struct<before:string,value:string>", lambda p: F.length(p["before"]) + F.length(p["value"]), lambda a, b: a + b)
+    return F.flatten(F.transform(placed, lambda part: F.transform(part["items"], span))).cast(f"array<{_SPAN}>")
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -106,7 +137,16 @@ def found_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("row_id"), base_spans(text).alias("base"),
                        F.when(text.rlike("[0-9@]"), _matches(text, TOKEN, -1)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)")).alias("tokens"))
-    clear = F.filter("tokens", lambda t: ~F.exists("base", lambda s: (s["first"] < t["last"]) & (t["first"] < s["last"])))
+
+    def meets(s: Column, t: Column) -> Column:
+        return (s["first"] < t["last"]) & (t["first"] < s["last"])
+
+    def clear_of(tokens: Column, spans: Column) -> Column:
+        return F.filter(tokens, lambda t: ~F.exists(spans, lambda s: meets(s, t)))
+
+    # by parts of the tokens, which are in order: a part is held against the spans that meet its stretch
+    clear = _bound(_parts(F.col("tokens")), lambda parts: F.flatten(F.transform(parts, lambda part: F.when(F.size(part) == 0, part).otherwise(_bound(
+        F.filter("base", lambda s: (s["first"] < F.element_at(part, -1)["last"]) & (F.get(part, 0)["first"] < s["last"])), lambda spans: clear_of(part, spans))))))
     return rows.select("doc_id", "row_id", "base", clear.alias("tokens"))
 
 
@@ -161,12 +201,24 @@ def redact(text: Column, spans: Column) -> Column:
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["kind"].alias("kind"))))
     name = F.array(*map(F.lit, KINDS))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["first"] - acc["at"]), F.lit("["), F.upper(F.get(name, s["kind"])), F.lit("]"))
-        inside = s["first"] < acc["at"]  # overlaps the span before: one mark for both
-        return F.struct(F.greatest(acc["at"], s["last"]).alias("at"), F.when(inside, acc["out"]).otherwise(fresh).alias("out"))
+    def marked(part: Column) -> Column:
+        """The text from the part's start to the end of its last span, with marks."""
+        here = F.element_at(part["items"], -1)
+        end = F.greatest(here["at"], here["item"]["last"])
+        # positions count characters from the text's start, so they are taken in the part's own text
+        own = F.substring(text, part["at"] + 1, end - part["at"])
+
+        def piece(x: Column, words: Column) -> Column:
+            s = x["item"]
+            plain = F.substring(words, x["at"] - part["at"] + 1, s["first"] - x["at"])
+            # one that overlaps the span before has no mark of its own
+            return F.when(s["first"] < x["at"], F.lit("")).otherwise(F.concat(plain, F.lit("["), F.upper(F.get(name, s["kind"])), F.lit("]")))
+
+        return _bound(own, lambda words: F.array_join(F.transform(part["items"], lambda x: piece(x, words)), ""))
 
-    rest = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    placed = _scanned(ordered, "struct<first:int,last:int,kind:int>", lambda s: s["last"], F.greatest)
+    last = F.array_max(F.transform(spans, lambda s: s["last"]))
+    rest = F.concat(F.array_join(F.transform(placed, marked), ""), F.substring(text, last + 1, F.length(text)))
     return F.when(F.size(spans) > 0, rest).otherwise(text)
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from carrylens.llm import queries as Q
 from carrylens.llm.op3_minhash import near_duplicates
@@ -340,7 +341,7 @@ def test_op9_wording_of_the_template_is_left_out(spark):
     def page(i):
         some = "<p>On six of ten.</p>" if i < 6 else ""
         few = "<p>On four of ten.</p>" if i >= 6 else ""
-        return (f"<html><body><div class=x1>Our tagline &amp; more</div><article><h1>Title {i}</h1><p>Read <b>this</b> notice.</p>{some}<p>Text {i}</p>{few}</article><div class=x2>Legal line</div></body></html>")
+        return (f"<html><body><div class=x1>Our tagline &amp; more</div><div class=x3><h1>Title {i}</h1><p>Read <b>this</b> notice.</p>{some}<p>Text {i}</p>{few}</div><div class=x2>Legal line</div></body></html>")
 
     rows = [(i, "http://h.example/", page(i)) for i in range(10)]
     rows += [(20 + i, "http://plain.example/", f"<div class=x1>Our tagline</div><div>Text {i}</div><button>Go</button>") for i in range(4)]
@@ -352,6 +353,75 @@ def test_op9_wording_of_the_template_is_left_out(spark):
     assert got == want
 
 
+def test_op9_what_stands_in_an_article_is_kept(spark):
+    page = ("<html><body><nav>menu</nav><article><h1>T{0}</h1><h2>Method</h2><p>body {0}</p><h2>Results</h2><p>res {0}</p><div class='related-work'><p>others {0}</p></div>"
+            "<section id='share-prices'>prices</section><div class='share-buttons'>no</div><div class='comment_list'>no</div><div class='sponsored'>no</div></article><footer>f</footer></body></html>")
+    rows = [(i, "http://h.example/", page.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"T{i}\n\nMethod\n\nbody {i}\n\nResults\n\nres {i}\n\nothers {i}\n\nprices" for i in range(6)}
+
+
+@pytest.mark.parametrize("odd", ["<script ", "<!x ", "<a '", '<a "', "<a href=", "</p ", "<!--", "<title>", "< ", "&"])
+def test_op9_odd_pages_take_one_pass(odd):
+    import time
+
+    from carrylens.llm.op9_pages import blocks
+
+    page = "<p>start</p>" + odd * (1_000_000 // len(odd))
+    began = time.process_time()
+    assert next(iter(list(blocks(page))))[1] == "start"
+    assert time.process_time() - began < 10
+
+
+def test_op9_empty_table_and_names(spark):
+    rows = spark.createDataFrame([(1, "http://h/", "<p>x</p>", 5, "t", 9)], "page_id bigint, url string, html string, page bigint, template string, host int")
+    assert [tuple(r) for r in extract(rows).collect()] == [(1, "http://h/", "x", 1)]
+    assert extract(rows.limit(0)).collect() == []
+
+
+def test_op6_long_texts_take_little_time(spark):
+    """200,000 digit words, 50,000 addresses, and a plain Python version of positions and marks."""
+    import time
+
+    words = " ".join(f"n{i}" for i in range(200_000))
+    mails = " ".join(f"u{i}@x.org é" for i in range(50_000))
+    began = time.time()
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame([(1, words), (2, mails), (3, "no")], "doc_id bigint, text string")).collect()}
+    assert not got[1].base and [(s.first, s.last) for s in got[2].base] == [m.span() for m in re.finditer(r"u\d+@x\.org", mails)]
+    spans = spark.createDataFrame([(mails, [(0, *m.span()) for m in re.finditer(r"u\d+@x\.org", mails)])], "text string, spans array<struct<kind:int,first:int,last:int>>")
+    assert spans.select(redact(F.col("text"), F.col("spans")).alias("t")).first().t == re.sub(r"u\d+@x\.org", "[EMAIL]", mails)
+    assert time.time() - began < 60
+
+
+def test_op6_empty_table_nulls_and_names(spark):
+    rows = [(None, "a@b.co x"), (None, "a@b.co x"), (4, None), (4, ""), (5, "call +1 (555) 010-9999 or 10.0.0.1")]
+    docs_ = spark.createDataFrame([(i, t, "c", 1, "x") for i, t in rows], "doc_id bigint, text string, base string, row_id int, spans string")
+    got = sorted((r.doc_id or 0, len(r.base)) for r in personal_data(docs_).collect())
+    assert got == [(0, 1), (0, 1), (4, 0), (4, 0), (5, 2)]
+    assert personal_data(docs_.limit(0)).collect() == []
+
+
+def test_op2_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as P
+
+    full = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, added=True)
+    for text in (" " * 3_000_000, "a" * 100_000, "x " + "\n" * 1_200_000 + " y", "word " * 9000):
+        assert encode(text) == full.encode(text, add_special_tokens=False).ids
+
+
+def test_pipeline_personal_data_with_clashing_names(spark):
+    import corpus_pipeline
+
+    names = "doc_id bigint, text string, n_chars int, h_spans string, h_doc int, h_row int, d_doc int, d_row int, row string"
+    docs_ = spark.createDataFrame([(1, "mail a@b.co now", 15, "s", 1, 2, 3, 4, "r"), (None, None, None, "s", 1, 2, 3, 4, "r"), (2, "plain", 5, "s", 1, 2, 3, 4, "r")], names)
+    got = corpus_pipeline.personal_data_redaction(spark, docs_, SF)
+    assert got.columns == docs_.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, [*docs_.filter("doc_id is null or doc_id = 2").collect(), docs_.first().__class__(**{**docs_.filter("doc_id = 1").first().asDict(), "text": "mail [EMAIL] now", "n_chars": 16})]))
+
+
 def test_op4_rules(spark, docs):
     rows = [(1, "Intro. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License. x"), (2, None)]
     got = {r.doc_id: (r.sentence_ids, r.licences) for r in scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
