@@ -55,12 +55,14 @@ def personal_data_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Replaces personal data by its kind in brackets; n_chars follows the text."""
     spans = personal_data(docs).filter(F.size("spans") > 0)
     spans = written(spans.select(F.col("doc_id").alias("h_doc"), F.col("row_id").alias("h_row"), F.col("spans").alias("h_spans")).dropDuplicates(["h_doc", "h_row"]), "personal")
-    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["h_doc"]) & (_row_id() == spans["h_row"]), "left")
-    text = F.when(F.col("h_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("h_spans")))
+    # the row travels as one column, so none of its names can clash
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d_doc"), _row_id().alias("d_row"))
+    rows = whole.join(spans, F.col("d_doc").eqNullSafe(F.col("h_doc")) & (F.col("d_row") == F.col("h_row")), "left")
+    text = F.when(F.col("h_spans").isNull(), F.col("row.text")).otherwise(redact(F.col("row.text"), F.col("h_spans")))
     put = {"text": text}
     if "n_chars" in docs.columns:
-        put["n_chars"] = F.when(F.col("h_spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*(put[c].alias(c) if c in put else F.col(c) for c in docs.columns))
+        put["n_chars"] = F.when(F.col("h_spans").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(put[c].alias(c) if c in put else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
