@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from carrylens.llm.common import table
@@ -188,19 +189,29 @@ def code_lengths(model: tuple, data: bytes) -> np.ndarray:
     return out
 
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """The learned rows (lang, text): of each language the SAMPLE first distinct
+    (doc_id, text) by a hash of doc_id, then doc_id, then text.
+
+    Only ids and hashes are ranked (cut to SAMPLE a language in each task before
+    they move); the chosen rows' texts are fetched by a semi join whose right
+    side has at most SAMPLE short rows a language, so it is broadcast, and texts
+    that weren't chosen don't move."""
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    rows = rows.withColumn("content", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "content")
+    ids = rows.select("lang", "doc_id", "content").distinct()
+    chosen = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE).drop("place")
+    held = rows.join(F.broadcast(chosen), ["lang", "doc_id", "content"], "left_semi")
+    return held.groupBy("lang", "doc_id", "content").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def learn(docs: DataFrame) -> Trees:
     """Trees from the sampled labelled rows that aren't held out."""
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    picked = None
-    for lang in langs:
-        part = rows.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        picked = part if picked is None else picked.union(part)
+    grams = sampled(docs).mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[int, int]] = {}
-    if picked is not None:
-        grams = picked.mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        for lang, gram, n in zip(*grams.toArrow().to_pydict().values()):
-            counts.setdefault(lang, {})[gram] = n
+    for lang, gram, n in zip(*grams.toArrow().to_pydict().values()):
+        counts.setdefault(lang, {})[gram] = n
     return Trees(counts)
 
 

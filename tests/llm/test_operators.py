@@ -270,6 +270,19 @@ def test_op8_accuracy_and_edges(spark, docs):
     assert {r.lang_pred for r in identify(docs, full.limit(0)).collect()} == {"und"}
 
 
+def test_op8_sample_has_no_undefined_ties(spark, monkeypatch):
+    """Repeated ids and rows: distinct (doc_id, text) count, whatever the partitions."""
+    from carrylens.llm import op8_language
+
+    monkeypatch.setattr(op8_language, "SAMPLE", 5)
+    rows = [(i % 4 * 4, f"text {i % 3}", lang) for i in range(60) for lang in ("en", "fr")] + [(1, None, "en"), (None, "x", "en"), (3, "y", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    picks = [collections.Counter(map(tuple, op8_language.sampled(frame.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert picks[0] == picks[1] == picks[2]
+    assert {lang: sum(n for (x, _), n in picks[0].items() if x == lang) for lang in ("en", "fr")} == {"en": 5, "fr": 5}
+    assert op8_language.sampled(frame.limit(0)).collect() == []
+
+
 def test_op8_learns_whole_texts(spark):
     from carrylens.llm import op8_language as m
 
