@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .units import col_
 
 
+def period_of(df: DataFrame, day: str, periods: DataFrame, label: str = "period") -> DataFrame:
+    """``df`` with the label of the period that holds ``day`` (PF-13): periods
+    are rows (label, since, until), half-open, with a NULL border for an open
+    end.  Where periods overlap, the one that begins last counts (then the
+    greatest label); a day in a hole has NULL.  Periods are a parameter table,
+    sent to every task once as an ordered array, so no row is multiplied."""
+    all_ = F.broadcast(periods.agg(F.sort_array(F.collect_list(F.struct("since", "label", "until"))).alias("_periods")))
+    holds = F.filter("_periods", lambda p: (p["since"].isNull() | (p["since"] <= F.col(day))) & (p["until"].isNull() | (F.col(day) < p["until"])))
+    return df.crossJoin(all_).withColumn(label, F.try_element_at(holds, F.lit(-1))["label"]).drop("_periods")
+
+
 def year_label(day: str | Column) -> Column:
     return F.year(col_(day)).cast("string")
 

@@ -143,6 +143,16 @@ def hex_bit_is_set(bitmap: str | Column, i: int | Column) -> Column:
     return F.getbit(digit, F.pmod(i, F.lit(4)).cast("int")) == 1
 
 
+def hex_set_bits(bitmap: str | Column, width: int = 128) -> Column:
+    """ARRAY<INT> of the set bit positions of a bitmap of 32 hex digits."""
+    return F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: hex_bit_is_set(bitmap, i))
+
+
+def hex_bitmap(high: str | Column, low: str | Column) -> Column:
+    """Two BIGINT limbs -> 32 lower-case hex digits, which hold all 128 bits."""
+    return F.lower(F.concat(F.lpad(F.hex(col_(high)), 16, "0"), F.lpad(F.hex(col_(low)), 16, "0")))
+
+
 def set_bits(bitmap: str | Column, width: int = 128) -> Column:
     """ARRAY<INT> of the set bit positions of a bitmap (SC-13)."""
     return F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: bit_is_set(bitmap, i))

@@ -11,18 +11,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.curves import loop_roe, max_leverage
-from ..functions.units import bit_is_set, r8, set_bits
+from ..functions.units import bit_is_set, hex_bit_is_set, hex_set_bits, r8, set_bits
+
+
+def _wide(df: DataFrame, bitmap: str) -> bool:
+    """Whether a bitmap column is 32 hex digits (all 128 bits) rather than a decimal (126)."""
+    return df.schema[bitmap].dataType.typeName() == "string"
+
+
+def _has(df: DataFrame, bitmap: str, bit: int):
+    return hex_bit_is_set(bitmap, bit) if _wide(df, bitmap) else bit_is_set(bitmap, bit)
+
+
+def _bits(df: DataFrame, bitmap: str, width: int):
+    return hex_set_bits(bitmap, width) if _wide(df, bitmap) else set_bits(bitmap, width)
+
+
+def _some(df: DataFrame, bitmap: str):
+    return F.col(bitmap).rlike("[1-9a-fA-F]") if _wide(df, bitmap) else F.col(bitmap) != 0
+
+
+def bit_lists(categories: DataFrame, width: int = 128) -> DataFrame:
+    """Every category with the positions of its set bits, both sides (SC-13)."""
+    return categories.select("category_id", _bits(categories, "collateral_bitmap", width).alias("collateral_bits"), _bits(categories, "borrowable_bitmap", width).alias("borrowable_bits"))
 
 
 def candidates(categories: DataFrame, collateral_bit: int, borrowable_bit: int) -> DataFrame:
     """Categories where reserve A is collateral and reserve B borrowable (SC-13)."""
     return categories.filter(
-        bit_is_set("collateral_bitmap", collateral_bit) & bit_is_set("borrowable_bitmap", borrowable_bit))
+        _has(categories, "collateral_bitmap", collateral_bit) & _has(categories, "borrowable_bitmap", borrowable_bit))
 
 
 def collateral_members(categories: DataFrame, width: int = 128) -> DataFrame:
     """``(category_id, reserve_index)`` for every set collateral bit (SC-13)."""
-    return categories.select("category_id", F.explode(set_bits("collateral_bitmap", width)).alias("reserve_index"))
+    return categories.select("category_id", F.explode(_bits(categories, "collateral_bitmap", width)).alias("reserve_index"))
 
 
 def lineage_resolved(reserves: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -49,7 +71,7 @@ def pure_flags(cands: DataFrame, reserves: DataFrame, lineage: DataFrame, collat
 def coverage(categories: DataFrame, scan_bound: int) -> DataFrame:
     """Highest configured category id and whether it is close to the scan
     bound (AG-16)."""
-    nz = (F.col("collateral_bitmap") != 0) | (F.col("borrowable_bitmap") != 0)
+    nz = _some(categories, "collateral_bitmap") | _some(categories, "borrowable_bitmap")
     g = categories.agg(F.max(F.when(nz, F.col("category_id"))).alias("max_configured_id"),
                        F.count(F.when(nz, F.lit(1))).alias("n_configured"))
     return g.select("max_configured_id", "n_configured",

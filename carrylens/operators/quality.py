@@ -45,6 +45,29 @@ def dangling(df: DataFrame, name: str, key: str, ref: DataFrame, ref_key: str) -
     return rule(j, name, F.col("_hit").isNull())
 
 
+def row_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """All row rules of a table in one scan and one aggregate, as rows
+    ``(rule, n_checked, n_bad)``; a rule is the condition of a bad row, and
+    NULL counts as bad."""
+    counts = [F.count(F.when(F.coalesce(bad, F.lit(True)), F.lit(1))).alias(f"b{i}") for i, bad in enumerate(rules.values())]
+    g = df.agg(F.count(F.lit(1)).alias("n_checked"), *counts)
+    each = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"b{i}").alias("n_bad")) for i, name in enumerate(rules)])
+    return g.select("n_checked", F.explode(each).alias("r")).select("r.rule", "n_checked", "r.n_bad")
+
+
+def asymmetric_pointers(pointers: DataFrame) -> DataFrame:
+    """Rows (source, target) without a row (target, source): a pointer that
+    isn't answered.  One aggregation over unordered pairs; both directions of a
+    pair combine in the tasks, so a target that many sources name stays cheap."""
+    ends = [F.least("source", "target"), F.greatest("source", "target")]
+    forth = F.col("source") <= F.col("target")
+    g = pointers.filter("source is not null and target is not null").groupBy(ends[0].alias("_a"), ends[1].alias("_b")).agg(
+        F.count(F.when(forth, 1)).alias("_forth"), F.count(F.when(~forth, 1)).alias("_back"))
+    lone = g.filter("_a <> _b and (_forth = 0 or _back = 0)")
+    answered = F.col("_forth") > 0
+    return lone.select(F.when(answered, F.col("_a")).otherwise(F.col("_b")).alias("source"), F.when(answered, F.col("_b")).otherwise(F.col("_a")).alias("target"))
+
+
 def run_checks(*rules: DataFrame) -> DataFrame:
     out = rules[0]
     for r in rules[1:]:

@@ -402,7 +402,7 @@ def carry_markets(spark, sf):
 
 # ================================================= raw logs and account words
 from ..operators import accounts, asof  # noqa: E402
-from ..sources import decode  # noqa: E402
+from ..sources import decode, landing  # noqa: E402
 
 # block windows: the studied pager requests inclusive windows of 9,999 + 1 blocks
 WINDOW_FIRST, WINDOW_SIZE = 0, 9_999
@@ -427,6 +427,11 @@ def _accounts(s: S.StandIns) -> DataFrame:
     return decode.decode_account_words(pinned, hf_unit=HF_UNIT)
 
 
+def _looper_accounts(s: S.StandIns) -> DataFrame:
+    """The account records of loopers: the risk profile is theirs alone (J-7)."""
+    return _accounts(s).join(_loopers(s).select("address"), "address", "left_semi")
+
+
 def _holder_legs(s: S.StandIns) -> DataFrame:
     return positions.holder_legs(s.balances, S.ATOKEN, S.DTOKEN, S.PIN_BLOCK)
 
@@ -510,7 +515,7 @@ def size_bands(spark, sf):
 @query
 def account_leverage(spark, sf):
     """J-7 / SC-18: equity and leverage per account, NULL when insolvent."""
-    a = accounts.account_leverage(_accounts(S.StandIns(spark, sf)))
+    a = accounts.account_leverage(_looper_accounts(S.StandIns(spark, sf)))
     return a.select("address", "equity", r8(F.col("leverage")).alias("leverage"), "is_insolvent",
                     r8(F.col("health_factor")).alias("health_factor"))
 
@@ -518,19 +523,19 @@ def account_leverage(spark, sf):
 @query
 def risk_segments(spark, sf):
     """AG-14: dust / near-liquidation / normal counts."""
-    return accounts.risk_segments(_accounts(S.StandIns(spark, sf)), DUST_CUT)
+    return accounts.risk_segments(_looper_accounts(S.StandIns(spark, sf)), DUST_CUT)
 
 
 @query
 def leverage_stats(spark, sf):
     """AG-11 / AG-12: median, weighted, min and max leverage of normal accounts."""
-    return accounts.leverage_stats(_accounts(S.StandIns(spark, sf)), DUST_CUT)
+    return accounts.leverage_stats(_looper_accounts(S.StandIns(spark, sf)), DUST_CUT)
 
 
 @query
 def weighted_leverage(spark, sf):
     """AG-10: debt-weighted leverage of normal accounts by HF band."""
-    a = accounts.with_segments(_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
+    a = accounts.with_segments(_looper_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
     band = F.when(F.col("health_factor") < 1.05, F.lit("hf<1.05")).otherwise(F.lit("hf>=1.05"))
     g = a.groupBy(band.alias("hf_band")).agg(
         safe_div(F.sum(F.col("leverage") * F.col("debt")), F.sum("debt")).alias("w"), F.count(F.lit(1)).alias("n_accounts"))
@@ -540,13 +545,13 @@ def weighted_leverage(spark, sf):
 @query
 def over_cap_positions(spark, sf):
     """J-7: healthy non-dust accounts above the 12.5x cap."""
-    return accounts.over_cap(_accounts(S.StandIns(spark, sf)), DUST_CUT, LEVERAGE_CAP)
+    return accounts.over_cap(_looper_accounts(S.StandIns(spark, sf)), DUST_CUT, LEVERAGE_CAP)
 
 
 @query
 def leverage_histogram(spark, sf):
     """AG-13: fixed-edge leverage histogram with empty buckets."""
-    return accounts.leverage_histogram(_accounts(S.StandIns(spark, sf)), DUST_CUT)
+    return accounts.leverage_histogram(_looper_accounts(S.StandIns(spark, sf)), DUST_CUT)
 
 
 @query
@@ -568,11 +573,10 @@ def top_profile(spark, sf):
 
 @query
 def intra_cluster_transfers(spark, sf):
-    """JN-12: asset and share transfers with both ends among the top 10 loopers."""
+    """JN-12: asset and share transfers with both ends among the loopers."""
     s = S.StandIns(spark, sf)
-    top = _loopers(s).orderBy(F.col("debt_raw").desc(), F.col("address")).limit(PROFILE_K).select("address")
     t = s.transfers.filter(F.col("contract_address").isin(S.ASSET, S.SHARE))
-    x = ledger.intra_set_transfers(t, top)
+    x = ledger.intra_set_transfers(t, _loopers(s).select("address"))
     return x.select("contract_address", "from", "to", scale(F.col("value"), S.UNIT).alias("value"), "evt_block_number")
 
 
@@ -644,6 +648,8 @@ from ..operators import categories, quality, scenarios  # noqa: E402
 
 TARGET = "0xa" + "0" * 39  # lineage target: address of region TARGET_REGION (= 0)
 CATEGORY_SCAN_BOUND = 1_000_000
+PERIOD_ROWS = [("early", None, date(1996, 3, 1)), ("launch", date(1996, 1, 1), date(1996, 7, 1)), ("middle", date(1997, 1, 1), date(1999, 1, 1)),
+               ("incident", date(1998, 5, 1), date(1998, 6, 1)), ("late", date(2000, 1, 1), None)]
 LOOP_EQUITY, LOOP_Y, LOOP_R = 1000.0, 0.04, 0.032
 
 
@@ -672,6 +678,14 @@ def category_pure_flag(spark, sf):
     return _flagged(S.StandIns(spark, sf)).select("category_id", "is_pure")
 
 
+@query
+def category_bits(spark, sf):
+    """SC-13: the positions of all set bits, 0 to 127, of both bitmaps of every category."""
+    x = categories.bit_lists(S.StandIns(spark, sf).categories)
+    return x.select("category_id", F.array_join(F.transform("collateral_bits", lambda b: b.cast("string")), ",").alias("collateral_bits"),
+                    F.array_join(F.transform("borrowable_bits", lambda b: b.cast("string")), ",").alias("borrowable_bits"))
+
+
 @query
 def category_coverage(spark, sf):
     """AG-16: highest configured category id against the scan bound."""
@@ -795,6 +809,68 @@ def integrity_checks(spark, sf):
     )
 
 
+def _pointers(s: S.StandIns) -> DataFrame:
+    """Reserves that name each other in pairs; every 17th names another one."""
+    k = F.col("reserve_index")
+    peer = F.when(k % 17 == 3, k.bitwiseXOR(F.lit(2))).otherwise(k.bitwiseXOR(F.lit(1)))
+    return s.reserves.select(F.col("address").alias("source"), S.reserve_address(peer).alias("target"))
+
+
+@query
+def pointer_symmetry(spark, sf):
+    """J-28: pointers that aren't answered by one back."""
+    return quality.asymmetric_pointers(_pointers(S.StandIns(spark, sf)))
+
+
+@query
+def row_rules(spark, sf):
+    """J-28: all row rules of the transfer table in one scan."""
+    z, frm, to = F.lit(ZERO_ADDRESS), F.col("from"), F.col("to")
+    return quality.row_rules(S.StandIns(spark, sf).transfers, {
+        "transfer_to_self": (frm == to) & (frm != z), "no_value": F.col("value") <= 0, "address_malformed": ~(frm.rlike("^0x[0-9a-f]{40}$") & to.rlike("^0x[0-9a-f]{40}$")),
+        "zero_to_zero": (frm == z) & (to == z), "no_time": F.col("evt_block_time").isNull()})
+
+
+def _shared_path(spark, name: str) -> str:
+    import uuid
+
+    from ..plans.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stored_daily_flows(spark, sf):
+    """SRC-11: daily flows written by year, one year written again, one copy read back."""
+    s = S.StandIns(spark, sf)
+    flows = ledger.daily_net_flows(s.transfers, [S.ASSET, S.SHARE, S.ATOKEN, S.DTOKEN], S.VAULT, S.UNIT).withColumn("year", F.year("day"))
+    path = _shared_path(spark, "flows")
+    landing.write_partitions(flows, path, ["year"])
+    landing.write_partitions(flows.filter("year = 1997"), path, ["year"])
+    return landing.read_table(spark, path, flows.schema)
+
+
+@query
+def json_landing(spark, sf):
+    """SRC-6: JSON pages of raw logs, one page twice and some lines cut off, read
+    with the declared schema, one row per (block, log index), decoded."""
+    s = S.StandIns(spark, sf)
+    lines = s.raw_logs.select("block_number", F.to_json(F.struct("address", "topics", "data", "block_number", "log_index")).alias("value"))
+    path = _shared_path(spark, "pages")
+    lines.select("value").write.text(f"{path}/page-1")
+    lines.filter("block_number % 3 = 0").select("value").write.text(f"{path}/page-2")
+    lines.filter("block_number % 50 = 0").select(F.left("value", F.lit(40)).alias("value")).write.text(f"{path}/page-3")
+    logs = landing.landed_logs(landing.read_json_logs(spark, *(f"{path}/page-{k}" for k in (1, 2, 3))))
+    return decode.decode_transfers(logs, S.TRANSFER_TOPIC).select("contract_address", "from", "to", F.col("value").cast("string").alias("value"), "block_number", "log_index")
+
+
+@query
+def period_ranges(spark, sf):
+    """PF-13: days of rate updates with periods as rows, which overlap and leave holes."""
+    r = series.latest_per_day(S.StandIns(spark, sf).reserve_updates, S.ASSET, CARRY.start_day).select("day")
+    return labels.period_of(r, "day", spark.createDataFrame(PERIOD_ROWS, "label string, since date, until date"))
+
+
 # ============================ accounts as cluster + literal scenario tables
 # Fixed values of the studied scenario model, as stated there: vault yield,
 # case borrow rate, liquidation threshold, status-quo curve (base 0, kink
@@ -869,7 +945,7 @@ def curve_inverse(spark, sf):
 @query
 def scenario_grid(spark, sf):
     """JN-11: every healthy account x every scenario borrow rate -> ROE."""
-    a = accounts.with_segments(_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
+    a = accounts.with_segments(_looper_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
     return scenarios.positions_x_rates(a, RATE_SCENARIOS, Y)
 
 
@@ -878,7 +954,7 @@ def hf_leverage_map(spark, sf):
     """J-20: HF <-> leverage conversions against each account's measured values."""
     from ..functions.curves import hf_from_leverage, leverage_from_hf
 
-    a = accounts.with_segments(_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
+    a = accounts.with_segments(_looper_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
     lt = F.col("liquidation_threshold")
     return a.select("address", r8(F.col("health_factor")).alias("health_factor"), r8(F.col("leverage")).alias("leverage"),
                     r8(leverage_from_hf("health_factor", lt)).alias("leverage_from_hf"),

@@ -62,10 +62,12 @@ CTES_MODEL: dict[str, str] = {
         round(CAST(s1 AS DOUBLE) / 1e4, 8) AS slope1, round(CAST(s2 AS DOUBLE) / 1e4, 8) AS slope2
       FROM v_reserves""",
     "v_categories": """SELECT CAST(p_partkey AS INTEGER) AS category_id, p_brand AS label,
-        (1::BIGINT << CAST(p_partkey % 10 AS INTEGER)) | (1::BIGINT << CAST(p_size % 10 AS INTEGER)) AS collateral_bitmap,
-        (1::BIGINT << CAST(p_partkey % 7 AS INTEGER)) | (1::BIGINT << CAST(p_size % 6 AS INTEGER)) AS borrowable_bitmap,
+        list_sort(list_distinct([CAST(p_partkey % 10 AS BIGINT), CAST(p_size % 10 AS BIGINT)] || CASE WHEN p_partkey % 50 = 7 THEN [30::BIGINT, 32] ELSE [] END
+          || CASE WHEN p_partkey % 3 = 1 THEN [CAST(64 + p_partkey % 64 AS BIGINT)] ELSE [] END || CASE WHEN p_partkey % 97 = 5 THEN range(96, 128) ELSE [] END)) AS coll_bits,
+        list_sort(list_distinct([CAST(p_partkey % 7 AS BIGINT), CAST(p_size % 6 AS BIGINT)] || CASE WHEN p_partkey % 50 = 7 THEN [31::BIGINT] ELSE [] END
+          || CASE WHEN p_partkey % 4 = 2 THEN [CAST(64 + p_size % 64 AS BIGINT)] ELSE [] END)) AS borr_bits,
         9000 + p_size * 10 AS ltv, 9200 + p_size * 10 AS lt, CAST(10000 + p_partkey % 500 AS INTEGER) AS bonus FROM part""",
-    "cands": "SELECT * FROM v_categories WHERE (collateral_bitmap >> 3) & 1 = 1 AND (borrowable_bitmap >> 5) & 1 = 1",
+    "cands": "SELECT * FROM v_categories WHERE list_contains(coll_bits, 3) AND list_contains(borr_bits, 5)",
     "v_lineage": """SELECT r.address AS token, 'SY' AS relation, ('0xb' || lpad(lower(hex(s.s_nationkey)), 39, '0')) AS target
         FROM v_reserves r JOIN supplier s ON s.s_suppkey = r.reserve_index WHERE r.symbol LIKE 'PT-%'
       UNION ALL SELECT ('0xb' || lpad(lower(hex(n_nationkey)), 39, '0')), 'yieldToken', ('0xa' || lpad(lower(hex(n_regionkey)), 39, '0'))
@@ -73,8 +75,7 @@ CTES_MODEL: dict[str, str] = {
     "resolved": """SELECT r.reserve_index, r.address, r.symbol, sy.target AS sy, yt.target AS yield_token FROM v_reserves r
         LEFT JOIN (SELECT * FROM v_lineage WHERE relation = 'SY') sy ON sy.token = r.address
         LEFT JOIN (SELECT * FROM v_lineage WHERE relation = 'yieldToken') yt ON yt.token = sy.target""",
-    "cmembers": """SELECT c.category_id, b.i AS reserve_index FROM cands c CROSS JOIN range(0, 63) b(i)
-        WHERE (c.collateral_bitmap >> b.i) & 1 = 1""",
+    "cmembers": """SELECT category_id, unnest(coll_bits) AS reserve_index FROM cands""",
     "pure": f"""SELECT c.*, COALESCE(p.all_ok, TRUE) AS is_pure FROM cands c LEFT JOIN (
         SELECT m.category_id, bool_and(COALESCE(r.yield_token = {TGT}, FALSE)) AS all_ok
         FROM cmembers m LEFT JOIN resolved r ON r.reserve_index = m.reserve_index WHERE m.reserve_index <> 3
@@ -124,9 +125,9 @@ BODIES_MODEL: dict[str, str] = {
     "category_candidates": """SELECT category_id, label, round(CAST(ltv AS DOUBLE) / 1e4, 8) AS ltv, round(CAST(lt AS DOUBLE) / 1e4, 8) AS lt,
         round(CAST(bonus - 10000 AS DOUBLE) / 1e4, 8) AS bonus FROM cands""",
     "category_pure_flag": "SELECT category_id, is_pure FROM pure",
-    "category_coverage": """SELECT MAX(CASE WHEN collateral_bitmap <> 0 OR borrowable_bitmap <> 0 THEN category_id END) AS max_configured_id,
-        COUNT(CASE WHEN collateral_bitmap <> 0 OR borrowable_bitmap <> 0 THEN 1 END) AS n_configured,
-        MAX(CASE WHEN collateral_bitmap <> 0 OR borrowable_bitmap <> 0 THEN category_id END) >= 900000 AS near_scan_bound FROM v_categories""",
+    "category_coverage": """SELECT MAX(CASE WHEN len(coll_bits) > 0 OR len(borr_bits) > 0 THEN category_id END) AS max_configured_id,
+        COUNT(CASE WHEN len(coll_bits) > 0 OR len(borr_bits) > 0 THEN 1 END) AS n_configured,
+        MAX(CASE WHEN len(coll_bits) > 0 OR len(borr_bits) > 0 THEN category_id END) >= 900000 AS near_scan_bound FROM v_categories""",
     "token_lineage": f"SELECT reserve_index, address, symbol, sy, yield_token, COALESCE(yield_token = {TGT}, FALSE) AS resolves_to_target FROM resolved",
     "best_category": """SELECT category_id, label, round(CAST(ltv AS DOUBLE) / 1e4, 8) AS ltv, round(CAST(lt AS DOUBLE) / 1e4, 8) AS lt,
         round(CAST(bonus - 10000 AS DOUBLE) / 1e4, 8) AS bonus FROM best_cat""",
@@ -153,7 +154,7 @@ BODIES_MODEL: dict[str, str] = {
         UNION ALL SELECT 'reserve_address_unique', CAST(SUM(n) AS BIGINT), CAST(COALESCE(SUM(CASE WHEN n > 1 THEN n END), 0) AS BIGINT)
           FROM (SELECT address, COUNT(*) AS n FROM v_reserves GROUP BY 1)
         UNION ALL SELECT 'category_bit_has_reserve', COUNT(*), COUNT(CASE WHEN r.reserve_index IS NULL THEN 1 END)
-          FROM (SELECT c.category_id, b.i FROM v_categories c CROSS JOIN range(0, 63) b(i) WHERE (c.collateral_bitmap >> b.i) & 1 = 1) m
+          FROM (SELECT category_id, unnest(coll_bits) AS i FROM v_categories) m
           LEFT JOIN (SELECT DISTINCT reserve_index FROM v_reserves) r ON r.reserve_index = m.i
         UNION ALL SELECT 'sy_hop_resolves', COUNT(*), COUNT(CASE WHEN y.token IS NULL THEN 1 END)
           FROM (SELECT * FROM v_lineage WHERE relation = 'SY') s

@@ -51,7 +51,7 @@ SCHEMAS: dict[str, StructType] = {
     "balances": _s(("block_number", L), ("token", S), ("address", S), ("balance", AMOUNT)),
     "account_words": _s(("block_number", L), ("address", S), ("data", S)),
     "code": _s(("address", S), ("code", BinaryType())),
-    "categories": _s(("category_id", I), ("label", S), ("collateral_bitmap", AMOUNT), ("borrowable_bitmap", AMOUNT),
+    "categories": _s(("category_id", I), ("label", S), ("collateral_bitmap", S), ("borrowable_bitmap", S),
                      ("ltv", I), ("lt", I), ("bonus", I)),
     "lineage": _s(("token", S), ("relation", S), ("target", S)),
     "token_supply": _s(("token", S), ("total_supply", AMOUNT), ("vault_balance", AMOUNT)),

@@ -16,7 +16,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.units import ZERO_ADDRESS, address_from_id
+from ..functions.units import ZERO_ADDRESS, address_from_id, hex_bitmap
 
 # Fixed values of the stand-in world (addresses are invented, lower case).
 UNIT = 1e4  # money unit of every stand-in amount
@@ -346,10 +346,15 @@ class StandIns:
         k, size = F.col("p_partkey"), F.col("p_size")
         coll = F.expr("shiftleft(1L, cast(p_partkey % 10 AS INT)) | shiftleft(1L, cast(p_size % 10 AS INT))")
         borr = F.expr("shiftleft(1L, cast(p_partkey % 7 AS INT)) | shiftleft(1L, cast(p_size % 6 AS INT))")
+        # some categories reach over bit 9: the pair (30, 32) with 31 borrowable, single bits over 63, a dense run up to 127
+        pair = F.expr("CASE WHEN p_partkey % 50 = 7 THEN shiftleft(1L, 30) | shiftleft(1L, 32) ELSE 0L END")
+        between = F.expr("CASE WHEN p_partkey % 50 = 7 THEN shiftleft(1L, 31) ELSE 0L END")
+        coll_high = F.expr("CASE WHEN p_partkey % 3 = 1 THEN shiftleft(1L, cast(p_partkey % 64 AS INT)) ELSE 0L END | CASE WHEN p_partkey % 97 = 5 THEN -4294967296L ELSE 0L END")
+        borr_high = F.expr("CASE WHEN p_partkey % 4 = 2 THEN shiftleft(1L, cast(p_size % 64 AS INT)) ELSE 0L END")
         return p.select(
             k.cast("int").alias("category_id"), F.col("p_brand").alias("label"),
-            coll.cast("decimal(38,0)").alias("collateral_bitmap"),
-            borr.cast("decimal(38,0)").alias("borrowable_bitmap"),
+            hex_bitmap(coll_high, coll.bitwiseOR(pair)).alias("collateral_bitmap"),
+            hex_bitmap(borr_high, borr.bitwiseOR(between)).alias("borrowable_bitmap"),
             (F.lit(9000) + size * 10).cast("int").alias("ltv"),
             (F.lit(9200) + size * 10).cast("int").alias("lt"),
             (F.lit(10000) + k % 500).cast("int").alias("bonus"),
