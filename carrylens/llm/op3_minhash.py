@@ -11,7 +11,8 @@ Scale: equal sets are one class first, so exact copies never meet in pairs.
 Within a bucket only (least member, other member) is compared; afterwards only
 members of *different* components in a bucket are, so a big group of near
 copies costs a link per member.  Buckets that still hold many components are
-split by a second and third shared band instead of being paired whole.  The
+compared in salted blocks, the members outside the largest component against
+all: no pair is left out.  The
 leader's members are dealt in salted portions.  The later pairs pass an exact
 bound first: with S(x) the shingles of x that any other candidate holds,
 ``J(a, b) <= m / (|a| + |b| - m)`` for ``m = min(S(a), S(b))``.  They also
@@ -40,7 +41,7 @@ SHINGLE = 5
 BANDS, ROWS = 40, 4  # a pair at 0.75 shares no band with probability (1 - 0.75**4)**40 < 3e-7
 PERCENT = 75
 SKETCH_MIN = 0.58  # share of equal coordinates below which a candidate isn't compared (five deviations under 0.75)
-SPLIT = 4096  # members above which a bucket of several components is split by another band
+SPLIT = 4096  # members above which a bucket of several components is compared in blocks of this size
 BITS = 1024  # coordinates whose lowest bit is compared before a later pair is made
 UNLIKE = 179  # bits that may differ: a similarity of 0.65, five deviations under 0.75
 PORTION = 2000  # members compared with one copy of their leader
@@ -197,30 +198,36 @@ def _bound(a: str, b: str):
     return 100 * most >= PERCENT * (F.col(f"s{a}") + F.col(f"s{b}") - most)
 
 
-def _cross(mixed: DataFrame, bands: DataFrame, sizes: DataFrame) -> DataFrame:
+def _cross(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs of members of different components that share a bucket and pass
-    the bound.  Crowded buckets are split by one more shared band at a time: a
-    pair at the threshold shares about 12 of the 40.  At the third band every
-    pair is tried, however many there are."""
-    found = None
-    component = mixed.select(F.col("doc_id").alias("id"), "component_id").distinct()
-    for level in range(3):
-        rows = mixed.join(sizes, "doc_id")
-        few = rows if level == 2 else rows.filter(f"n <= {SPLIT}")
-        left, right = (few.select("key", *(F.col(c).alias(c[0] + x) for c in ("doc_id", "component_id", "s", "h", "bands")), *(F.col(w).alias(w + x) for w in _WORDS)) for x in "ab")
-        unlike = F.expr(" + ".join(f"bit_count({w}a ^ {w}b)" for w in _WORDS) + f" <= {UNLIKE}")
-        when = (left.key == right.key) & F.expr("da < db and ca <> cb") & _bound("a", "b") & unlike
-        if level == 0:  # a pair is made once, in the first of its common buckets
-            when = when & (F.array_min(F.array_intersect("ba", "bb")) == left.key)
-        pairs = left.join(right, when)
-        pairs = pairs.select(F.col("da").alias("a"), F.col("db").alias("b"))
-        found = pairs if found is None else found.union(pairs)
-        more = rows.filter(f"n > {SPLIT}")
-        if level == 2 or more.isEmpty():
-            break
-        mixed = _mixed(more.drop("bands").join(bands, "doc_id").filter("other <> key")
-                       .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "doc_id").distinct(), component)
-    return found.distinct()
+    the bounds, each made in the first of its common buckets.
+
+    In a bucket of over SPLIT members the pairs are those of a minor member
+    (outside the bucket's largest component) with any other, tried in blocks: a
+    member stands in one block of about SPLIT, and the minor ones are copied to
+    all blocks.  Nothing is left out, and the largest component's members are
+    never held against each other."""
+    rows = mixed.join(sizes, "doc_id")
+    unlike = F.expr(" + ".join(f"bit_count({w}a ^ {w}b)" for w in _WORDS) + f" <= {UNLIKE}")
+    alike = F.expr("ca <> cb") & _bound("a", "b") & unlike & (F.array_min(F.array_intersect("ba", "bb")) == F.col("l.key"))
+
+    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
+        return df.select("key", *more, *(F.col(c).alias(c[0] + x) for c in ("doc_id", "component_id", "s", "h", "bands")), *(F.col(w).alias(w + x) for w in _WORDS))
+
+    few = rows.filter(f"n <= {SPLIT}")
+    pairs = side(few, "a").alias("l").join(side(few, "b").alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("da < db") & alike)
+    found = pairs.select(F.col("da").alias("a"), F.col("db").alias("b"))
+    if mixed.filter(f"n > {SPLIT}").isEmpty():
+        return found.distinct()
+    many = rows.filter(f"n > {SPLIT}").withColumn("blocks", F.ceil(F.col("n") / SPLIT).cast("int"))
+    parts = many.groupBy("key", "component_id").agg(F.count("*").alias("held"))
+    major = parts.groupBy("key").agg(F.max(F.struct("held", F.col("component_id").alias("major")))["major"].alias("major"))
+    many = many.join(major, "key").withColumn("minor", F.col("component_id") != F.col("major"))
+    left = many.filter("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = many.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    when = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block")) & F.expr("not minor or da < db") & alike
+    pairs = side(left, "a", "block").alias("l").join(side(right, "b", "block", "minor").alias("r"), when)
+    return found.union(pairs.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -242,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = written(sizes, "held")
     bits = texts.join(sizes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_bits, "doc_id bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
     sizes = written(sizes.join(bits, "doc_id"), "bits")
-    cross = _cross(mixed, rows.withColumnRenamed("key", "other"), sizes)
+    cross = _cross(mixed, sizes)
     cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         links = links.union(confirm(cross, texts))

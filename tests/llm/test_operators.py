@@ -134,6 +134,34 @@ def test_op3_components(spark, docs, small):
         assert all(r.kept == (r.doc_id is None or r.component_id == r.doc_id) for r in got)
 
 
+@pytest.mark.parametrize("split", [1, 2, 5])
+def test_op3_crowded_buckets_lose_no_pair(spark, monkeypatch, split):
+    """Chains of near copies, whose ends are unlike each other, in buckets of any size against brute force."""
+    from carrylens.llm import op3_minhash
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k * 7 % 61, " ".join(words[4 * k : 4 * k + 120])) for k in range(61)]  # overlap falls from link to link
+    rows += [(100 + k, " ".join(words[:200] + [f"e{k}x{i}" for i in range(12 + 3 * k)])) for k in range(12)]
+    monkeypatch.setattr(op3_minhash, "SPLIT", split)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
+    assert len({find(i) for i in sets}) > 1
+
+
 def test_op3_empty_table(docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
