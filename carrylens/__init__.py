@@ -7,7 +7,6 @@ functions  column expressions (units, guarded ratios, curves, labels)
 operators  DataFrame -> DataFrame jobs (ledger, positions, accounts, series,
            scenarios, categories, quality, distributed ranking)
 plans      session setup, the query catalog and its DuckDB oracle text
-streaming  (empty: the studied analysis has no streaming operator)
 """
 
 __version__ = "0.1.0"
