@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from carrylens.llm import queries as Q
 from carrylens.llm.op3_minhash import near_duplicates
-from carrylens.llm.op4_licenses import scan
+from carrylens.llm.op4_licenses import RULES, SENTENCES, SLOTS, WORDINGS, scan, short_sentences
 from carrylens.llm.op5_suffix_repeats import intervals, remove_repeats as remove_bytes
 from carrylens.llm.op6_personal import KINDS, personal_data, redact
 from carrylens.llm.op7_decontaminate import FMIndex, decontaminate
@@ -463,20 +463,57 @@ def test_pipeline_personal_data_with_clashing_names(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, [*docs_.filter("doc_id is null or doc_id = 2").collect(), docs_.first().__class__(**{**docs_.filter("doc_id = 1").first().asDict(), "text": "mail [EMAIL] now", "n_chars": 16})]))
 
 
-def test_op4_rules(spark, docs):
-    rows = [(1, "Intro. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License. x"), (2, None)]
-    got = {r.doc_id: (r.sentence_ids, r.licences) for r in scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: ("A1,M1", "Apache-2.0,MIT"), 2: ("", "")}
-    assert scan(docs).count() == len(ROWS)
+def _licence_texts():
+    """(expected licences, text): every wording and notice wrapped, unwrapped and as a comment block."""
+    texts = [("MIT", "The MIT License\n\nCopyright (c) 2020 A. Person\n\n" + WORDINGS["MIT"])]
+    texts += [(name, "Some code\n\n" + words) for name, words in WORDINGS.items()]
+    for code, form, version, end in (("GPL-3.0-or-later", "General Public License", "3", ", or\n(at your option) any later version."), ("LGPL-2.1-or-later", "Lesser General Public License", "2.1", ", or\n(at your option) any later version.")):
+        texts.append((code, f"Foo is free software: you can redistribute it and/or modify\nit under the terms of the GNU {form} as published by\nthe Free Software Foundation, either version {version} of the License{end}\n\n"
+                      f"This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {form} for more details.\n"))
+    texts.append(("Apache-2.0", 'Copyright 2020 A\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required'))
+    out = []
+    for name, text in texts:
+        paragraphs = [" ".join(x.split()) for x in text.split("\n\n")]
+        out += [(name, text), (name, "\n\n".join(paragraphs)), (name, "\n".join(f" * {x}" for x in text.split("\n"))), (name, text.replace("\n", "\r\n"))]
+    return out
 
 
-def test_op4_sql(spark):
+_LICENCE_ROWS = [
+    ("Apache-2.0,MIT", "Intro. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License. x"), ("", None), ("", ""), ("", "?!\n\n.\n"),
+    ("CC-BY-NC-4.0", "a line\nLicensed under CC BY-NC 4.0\nanother"), ("GPL-3.0", "x. This work is licensed under the GNU General Public License version 3."),
+    ("MPL-2.0", "/* SPDX-License-Identifier: MPL-2.0 */"), ("Proprietary", "Copyright X. All rights reserved."), ("MIT", "All rights reserved.\n\nReleased under the MIT license."),
+    ("", "you can obtain the MIT license elsewhere"), ("", "." * 300_000 + "x" + "\n-" * 100_000 + '."' * 100_000 + "word " * 50_000),
+]
+
+
+def test_op4_licences_wrapped_and_unwrapped(spark):
+    import duckdb
+
+    cases = _licence_texts() + _LICENCE_ROWS
+    rows = spark.createDataFrame([(k, t, "x", 1) for k, (_, t) in enumerate(cases + cases[:1])], "doc_id bigint, text string, plain string, ids int")
+    got = sorted(map(tuple, scan(rows).collect()))
+    assert [r[3] for r in got] == [name for name, _ in cases + cases[:1]]
+    con = duckdb.connect()
+    con.register("documents", rows.toPandas())
+    assert sorted(con.execute(Q.ORACLE_SQL["op4_license_sentence_rules"]).fetchall()) == got
+    assert scan(rows.limit(0)).count() == 0
+
+
+def test_op4_every_rule_can_match(spark):
+    """Each rule's identifiers come from some sentence, so none is dead."""
+    names = set(SENTENCES.values()) | {name for _, _, name in SLOTS}
+    assert all(set(rule.split()) <= names for _, rule in RULES)
+    assert all(short_sentences(s) == [s] or s.startswith("under ") for s in SENTENCES)
+
+
+def test_op4_sql(spark, docs):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = sorted(con.execute(Q.ORACLE_SQL["op4_license_sentence_rules"]).fetchall())
     assert sorted(map(tuple, Q.QUERIES["op4_license_sentence_rules"](spark, SF).collect())) == want
+    assert scan(docs).count() == len(ROWS)
 
 
 def test_op1_edited_and_fingerprints(spark, docs, small):
