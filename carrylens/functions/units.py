@@ -40,6 +40,17 @@ def exact_sum(c: str | Column) -> Column:
     return F.sum(exact(c))
 
 
+def real_sum(c: str | Column) -> Column:
+    """Sum of a DOUBLE that doesn't depend on the order of rows or partitions
+    (T25): every value is taken to 12 decimals and summed exactly."""
+    return F.sum(col_(c).cast("decimal(38,12)")).cast("double")
+
+
+def weighted_mean(c: str | Column, weight: str | Column) -> Column:
+    """``sum(c * weight) / sum(weight)`` by exact sums and one division."""
+    return safe_div(real_sum(col_(c) * col_(weight)), real_sum(weight))
+
+
 def safe_div(a: str | Column, b: str | Column) -> Column:
     """``a / NULLIF(b, 0)``: NULL instead of an ANSI divide-by-zero error (T1)."""
     b = col_(b)

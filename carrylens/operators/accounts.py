@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.units import r8, safe_div
+from ..functions.units import r8, weighted_mean
 from .bands import banded_median
 
 # Fixed leverage bucket edges of the studied histogram, half-open, last one
@@ -49,7 +49,7 @@ def leverage_stats(accounts: DataFrame, dust_cut: float) -> DataFrame:
     med = banded_median(n, "leverage", "address").select(F.col("median").alias("median_leverage"))
     g = n.agg(
         F.count(F.lit(1)).alias("n_accounts"),
-        safe_div(F.sum(F.col("leverage") * F.col("debt")), F.sum("debt")).alias("weighted_leverage"),
+        weighted_mean("leverage", "debt").alias("weighted_leverage"),
         F.min("leverage").alias("min_leverage"),
         F.max("leverage").alias("max_leverage"),
     ).crossJoin(F.broadcast(med))

@@ -99,5 +99,28 @@ def param_table(row: DataFrame) -> DataFrame:
     return r.unpivot([], cols, "param", "value")
 
 
+def as_text(column: str, kind: str) -> Column:
+    """A parameter as text, the same whatever engine reads it: whole numbers and
+    text as they are, other numbers with eight places, times to the second."""
+    c = F.col(column)
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return F.format_string("%.8f", c.cast("double"))
+    if kind == "timestamp":
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return c.cast("string")
+
+
+def setup_table(*parts: DataFrame) -> DataFrame:
+    """Frames of at most one row each -> one ``(param, value)`` row per column,
+    values as text (J-29).  Every parameter is listed: those of a frame without
+    a row, like NULL values, have a NULL value."""
+    out = None
+    for part in parts:
+        texts = part.agg(*[F.max(F.when(F.col(c).isNotNull(), as_text(c, kind))).alias(c) for c, kind in part.dtypes])
+        rows = texts.unpivot([], part.columns, "param", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def transfers_self(transfers: DataFrame) -> Column:
     return (F.col("from") == F.col("to")) & (F.col("from") != F.lit(ZERO_ADDRESS))

@@ -23,7 +23,7 @@ from ..functions.curves import (
     leverage_from_hf,
     loop_roe,
 )
-from ..functions.units import r8, safe_div
+from ..functions.units import r8, real_sum, safe_div, weighted_mean
 from .accounts import with_segments
 
 
@@ -57,13 +57,12 @@ def cluster_stats(members: DataFrame, y: float, r: float, loop_debt: DataFrame |
     debt-weighted realised ROE), plus the cluster's share of loop debt (J-18).
     ``loop_debt`` is a one-row frame with column ``loop_debt``."""
     roe = loop_roe(F.col("leverage"), y, r)
-    d = F.col("debt")
     g = members.agg(
         F.count(F.lit(1)).alias("n_members"),
-        F.sum(d).alias("cluster_debt"),
-        safe_div(F.sum(d * F.col("leverage")), F.sum(d)).alias("w_leverage"),
-        safe_div(F.sum(d * F.col("health_factor")), F.sum(d)).alias("w_hf"),
-        safe_div(F.sum(d * roe), F.sum(d)).alias("hurdle"),
+        real_sum("debt").alias("cluster_debt"),
+        weighted_mean("leverage", "debt").alias("w_leverage"),
+        weighted_mean("health_factor", "debt").alias("w_hf"),
+        weighted_mean(roe, "debt").alias("hurdle"),
         F.min(roe).alias("roe_min"),
         F.max(roe).alias("roe_max"),
     )
@@ -118,13 +117,15 @@ def sensitivity(stats: DataFrame, hf_targets: Sequence[float], l_targets: Sequen
 def config_grid(stats: DataFrame, configs: Sequence[tuple[str, float, float]], y: float, curve: Curve,
                 deposits: float, base: str) -> DataFrame:
     """Curve configurations solved against the same cluster, with revenue and
-    utilisation change against the base configuration (J-21): the base row is
-    found by a self-join, not by driver-side indexing."""
+    utilisation change against the base configuration (J-21).  The base row's
+    values come from a window over the configurations (a handful of rows), so
+    the cluster is computed once."""
     spark = stats.sparkSession
     cf = spark.createDataFrame(list(configs), "config string, uopt double, slope1 double")
     j = solve(cf.crossJoin(F.broadcast(stats)), y, "hurdle", "w_leverage", curve, deposits, uopt="uopt", slope1="slope1")
-    b = j.filter(F.col("config") == base).select(F.col("revenue").alias("base_revenue"), F.col("u_star").alias("base_u"))
-    return j.crossJoin(F.broadcast(b)).withColumn(
+    rows = Window.partitionBy(F.lit(1))
+    of_base = lambda c: F.max(F.when(F.col("config") == base, F.col(c))).over(rows)
+    return j.withColumn("base_revenue", of_base("revenue")).withColumn("base_u", of_base("u_star")).withColumn(
         "revenue_change", F.col("revenue") / F.col("base_revenue") - F.lit(1.0)).withColumn(
         "u_change_points", (F.col("u_star") - F.col("base_u")) * F.lit(100.0))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, units
-from ..functions.units import r8, safe_div, scale
+from ..functions.units import r8, safe_div, scale, weighted_mean
 from ..operators import ledger, positions
 from ..plans.session import materialize
 from ..sources import standins as S
@@ -538,7 +538,7 @@ def weighted_leverage(spark, sf):
     a = accounts.with_segments(_looper_accounts(S.StandIns(spark, sf)), DUST_CUT).filter(F.col("segment") == "normal")
     band = F.when(F.col("health_factor") < 1.05, F.lit("hf<1.05")).otherwise(F.lit("hf>=1.05"))
     g = a.groupBy(band.alias("hf_band")).agg(
-        safe_div(F.sum(F.col("leverage") * F.col("debt")), F.sum("debt")).alias("w"), F.count(F.lit(1)).alias("n_accounts"))
+        weighted_mean("leverage", "debt").alias("w"), F.count(F.lit(1)).alias("n_accounts"))
     return g.select("hf_band", "n_accounts", r8(F.col("w")).alias("weighted_leverage"))
 
 
@@ -784,6 +784,42 @@ def param_table(spark, sf):
     return quality.param_table(_param_row(S.StandIns(spark, sf)))
 
 
+REFERENCE_CATEGORY = 16  # the category the best one is set against
+GROSS_YIELD = 0.0457
+INCENTIVE = "none observed"
+
+
+@query
+def setup_table(spark, sf):
+    """J-29: the whole setup table as text: snapshot block and time, rates, caps
+    and totals of the debt and collateral reserves, curve, best and reference
+    category with labels, staking, and the caller's own settings."""
+    s = S.StandIns(spark, sf)
+    block = s.reserve_updates.agg(F.max("evt_block_number").alias("block_number"), F.max("evt_block_time").alias("block_time_utc"))
+    caps = s.reserves.select("reserve_index", "symbol", "supply_cap", "borrow_cap")
+    scaled = _scaled_reserves(s).join(caps, "reserve_index")
+    whole = lambda c: F.round(c).cast("bigint")
+    debt = scaled.filter(F.col("reserve_index") == S.BORROWABLE_BIT).select(
+        F.col("symbol").alias("debt_symbol"), F.col("borrow_rate").alias("debt_borrow_rate"), F.col("supply_rate").alias("debt_supply_rate"),
+        F.col("reserve_factor").alias("debt_reserve_factor"), F.col("base_rate").alias("ir_base"), F.col("uopt").alias("ir_uopt"),
+        F.col("slope1").alias("ir_slope1"), F.col("slope2").alias("ir_slope2"), F.col("supply_cap").alias("debt_supply_cap"),
+        F.col("borrow_cap").alias("debt_borrow_cap"), whole("total_supplied").alias("debt_total_supplied"),
+        whole("total_variable_debt").alias("debt_total_borrowed"),
+        r8(safe_div("total_variable_debt", "total_supplied")).alias("debt_utilisation"))
+    collateral = scaled.filter(F.col("reserve_index") == S.COLLATERAL_BIT).select(
+        F.col("symbol").alias("collateral_symbol"), F.col("reserve_factor").alias("collateral_reserve_factor"),
+        F.col("supply_cap").alias("collateral_supply_cap"))
+
+    def named(category: DataFrame, name: str) -> DataFrame:
+        return _cat_terms(category).select(*[F.col(c).alias(f"{name}_{c}") for c in ("category_id", "label", "ltv", "lt", "bonus")])
+
+    staking = quality.staking_state(s.token_supply, S.ASSET, S.VAULT, S.UNIT).select(
+        whole("asset_total_supply").alias("asset_total_supply"), "staking_ratio")
+    given = spark.range(1).select(F.lit(Y).alias("net_yield"), F.lit(GROSS_YIELD).alias("gross_yield"), F.lit(INCENTIVE).alias("active_incentive"))
+    reference = s.categories.filter(F.col("category_id") == REFERENCE_CATEGORY)
+    return quality.setup_table(block, debt, collateral, named(categories.best(_flagged(s)), "best"), named(reference, "reference"), staking, given)
+
+
 @query
 def params_as_json(spark, sf):
     """SC-20 / SRC-11: the same parameters as one JSON object, numbers as text with eight places."""
@@ -1031,10 +1067,10 @@ def fit_gap(spark, sf):
                              .withColumn("total_supply", F.lit(None).cast("double"))
                              .withColumn("total_borrow", F.lit(None).cast("double")), CARRY.reserve_factor)
     obs = obs.agg(F.max_by("utilisation_rates", "day").alias("observed_u"))
-    base = scenarios.solve(st, Y, "hurdle", "w_leverage", CURVE, DEPOSITS).select(F.col("u_star"))
-    alt = scenarios.solve(st, Y, "hurdle", "w_leverage", CURVE, DEPOSITS, slope1=PLACEHOLDER_SLOPE1).select(
-        F.col("u_star").alias("u_alt"))
-    j = base.crossJoin(alt).crossJoin(F.broadcast(obs))
+    # both curves as rows against one cluster, then one row again
+    both = scenarios.slope_sweep(st, (CURVE.slope1, PLACEHOLDER_SLOPE1), Y, CURVE, DEPOSITS)
+    at = lambda s1: F.max(F.when(F.col("slope1") == s1, F.col("u_star")))
+    j = both.agg(at(CURVE.slope1).alias("u_star"), at(PLACEHOLDER_SLOPE1).alias("u_alt")).crossJoin(F.broadcast(obs))
     return j.select(r8(F.col("observed_u")).alias("observed_u"), r8(F.col("u_star")).alias("u_star"),
                     r8(F.col("u_star") - F.col("observed_u")).alias("gap"), r8(F.col("u_alt")).alias("u_star_placeholder"),
                     r8(F.col("u_alt") - F.col("observed_u")).alias("gap_placeholder"))

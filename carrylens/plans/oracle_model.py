@@ -32,6 +32,30 @@ EQ_SQ = eq(f"0.90{D}", f"0.04{D}")
 EQ_ALT = eq(f"0.90{D}", f"0.035{D}")
 EQCOLS = "round(r_star, 8) AS r_star, round(u_star, 8) AS u_star, branch, round(revenue, 4) AS revenue, round(supply_apy, 8) AS supply_apy"
 
+def _setup_rows() -> list[str]:
+    """The setup table's rows: each source of one row, and its parameters as text."""
+    num, whole = "printf('%.8f', {})".format, "CAST(CAST(round({}) AS BIGINT) AS VARCHAR)".format
+    debt = [("debt_symbol", "symbol"), ("debt_borrow_rate", num("borrow_rate")), ("debt_supply_rate", num("supply_rate")),
+            ("debt_reserve_factor", num("r.reserve_factor")), ("ir_base", num("base_rate")), ("ir_uopt", num("r.uopt")), ("ir_slope1", num("slope1")),
+            ("ir_slope2", num("slope2")), ("debt_supply_cap", "CAST(cents * 1000 AS VARCHAR)"), ("debt_borrow_cap", "CAST(cents * 900 AS VARCHAR)"),
+            ("debt_total_supplied", whole("total_supplied")), ("debt_total_borrowed", whole("total_variable_debt")),
+            ("debt_utilisation", num("round(total_variable_debt / total_supplied, 8)"))]
+    collateral = [("collateral_symbol", "symbol"), ("collateral_reserve_factor", num("r.reserve_factor")), ("collateral_supply_cap", "CAST(cents * 1000 AS VARCHAR)")]
+    terms = [("category_id", "CAST(category_id AS VARCHAR)"), ("label", "label"), ("ltv", num("CAST(ltv AS DOUBLE) / 1e4")), ("lt", num("CAST(lt AS DOUBLE) / 1e4")),
+             ("bonus", num("CAST(bonus - 10000 AS DOUBLE) / 1e4"))]
+    groups = [
+        ("v_reserve_update", "true", [("block_number", "CAST(evt_block_number AS VARCHAR)")], "evt_block_number"),
+        ("v_reserve_update", "true", [("block_time_utc", "strftime(evt_block_time, '%Y-%m-%d %H:%M:%S')")], "evt_block_time"),
+        ("sres r JOIN v_reserves v USING (reserve_index)", "reserve_index = 5", debt, "1"),
+        ("sres r JOIN v_reserves v USING (reserve_index)", "reserve_index = 3", collateral, "1"),
+        ("best_cat", "true", [(f"best_{p}", x) for p, x in terms], "1"),
+        ("v_categories", "category_id = 16", [(f"reference_{p}", x) for p, x in terms], "1"),
+        ("stake", "true", [("asset_total_supply", whole("sup")), ("staking_ratio", num("round(staked / NULLIF(sup, 0), 8)"))], "1"),
+        ("(SELECT 1)", "true", [("net_yield", "'0.04000000'"), ("gross_yield", "'0.04570000'"), ("active_incentive", "'none observed'")], "1"),
+    ]
+    return [f"SELECT '{p}' AS param, (SELECT arg_max({x}, {order}) FROM {source} WHERE {where}) AS value" for source, where, rows, order in groups for p, x in rows]
+
+
 CTES_MODEL: dict[str, str] = {
     "v_reserves": f"""SELECT reserve_index, address, symbol, ltv, liquidation_threshold, liquidation_bonus, reserve_factor,
         cents, upct, uopt, s1, s2, last_update,
@@ -147,6 +171,7 @@ BODIES_MODEL: dict[str, str] = {
     "staking_state": """SELECT sup AS asset_total_supply, staked AS asset_staked, shares AS vault_shares,
         round(staked / NULLIF(sup, 0), 8) AS staking_ratio, round(staked / NULLIF(shares, 0), 8) AS exchange_rate FROM stake""",
     "param_table": "SELECT param, value FROM (UNPIVOT prow ON COLUMNS(*) INTO NAME param VALUE value)",
+    "setup_table": " UNION ALL ".join(_setup_rows()),
     "params_as_json": "SELECT CAST(to_json(struct_pack(" + ", ".join(f"{p} := printf('%.8f', {p})" for p in PARAMS) + ")) AS VARCHAR) AS params_json FROM prow",
     "integrity_checks": f"""SELECT 'reserve_index_unique' AS rule, CAST(SUM(n) AS BIGINT) AS n_checked,
             CAST(COALESCE(SUM(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS n_bad

@@ -32,7 +32,7 @@ def test_key_matches_duckdb(spark, con, key):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) >= 0 and "rank" in df.columns and "user_addr" in df.columns
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and rows and "user_addr" in df.columns
 
 
 def _plan(df) -> str:
@@ -60,3 +60,37 @@ def test_leaderboard_has_no_single_partition_window_over_positions(spark):
 def test_latest_per_day_uses_max_by_not_a_sort(spark):
     plan = _plan(QUERIES["latest_per_day"](spark, SF))
     assert "max_by" in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("key", ["curve_configs", "config_table_text", "fit_gap"])
+def test_cluster_is_computed_once(spark, key):
+    plan = _plan(QUERIES[key](spark, SF))
+    assert plan.count("TakeOrderedAndProject(limit=10") == _plan(QUERIES["cluster_hurdle"](spark, SF)).count("TakeOrderedAndProject(limit=10")
+
+
+def test_setup_table_names_every_parameter(spark):
+    got = {r.param: r.value for r in QUERIES["setup_table"](spark, SF).collect()}
+    assert len(got) == 33 and got["active_incentive"] == "none observed" and got["debt_symbol"].endswith("5")
+    assert got["block_number"].isdigit() and len(got["block_time_utc"]) == 19
+
+
+def test_setup_table_of_parts_without_a_row_or_value(spark):
+    from carrylens.operators.quality import setup_table
+
+    one = spark.createDataFrame([(7, None, 0.5)], "a bigint, b string, c double")
+    got = {r.param: r.value for r in setup_table(one, spark.createDataFrame([], "d timestamp, e string")).collect()}
+    assert got == {"a": "7", "b": None, "c": "0.50000000", "d": None, "e": None}
+
+
+def test_weighted_means_do_not_depend_on_order(spark):
+    from pyspark.sql import functions as F
+
+    from carrylens.functions.units import real_sum, weighted_mean
+
+    rows = [(0.1, 1e9), (0.7, 1e-7), (1 / 3, 12345.678), (-0.1, 1e9), (1e6, 0.3)] * 200
+    means = set()
+    for turned in (rows, rows[::-1], sorted(rows)):
+        df = spark.createDataFrame(turned, "x double, w double").repartition(7)
+        means.add(tuple(df.agg(weighted_mean("x", "w"), real_sum(F.col("x") * F.col("w"))).first()))
+    assert len(means) == 1
+    assert spark.createDataFrame([(1.0, 0.0)], "x double, w double").agg(weighted_mean("x", "w")).first()[0] is None
