@@ -6,13 +6,15 @@ instances (the values they precede) form a graph that is scored in rounds: a
 pattern's score is the weight of its instances over all identifier-like tokens
 it precedes; a seed weighs 1, any other instance ``1 - prod(1 - score)`` over
 the patterns that precede it.
-Patterns with enough different instances and a high score then mark the
-identifier-like tokens after them that the base expressions miss, if their
-shape suits the kind.
+Tokens after a pattern with enough different instances and a high score are
+accepted instances, and the contexts they stand in make new patterns in the
+next round.  In the end the identifier-like tokens after such patterns that the
+base expressions miss are marked, if their shape suits the kind.
 
 Scale: documents are read once, without a shuffle of text; only matches,
 tokens with digits or ``@``, and counts of contexts move, and counts combine
-before the shuffle.  The expressions are bounded: look-behinds let a match
+before the shuffle.  Both sides of the graph's joins have one row per kind and
+context or value, so a hot one doesn't multiply.  The expressions are bounded: look-behinds let a match
 start at a run's first character only, so long runs cost linear time.
 
 Edge cases: a null text is empty and has no spans; overlapping kinds each keep
@@ -150,35 +152,42 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_id", "base", clear.alias("tokens"))
 
 
+def _trusted() -> Column:
+    return (F.col("score") >= LEAST_SCORE) & (F.col("instances") >= LEAST_INSTANCES)
+
+
 def score_patterns(found: DataFrame) -> DataFrame:
     """(kind, context, score, instances) of the patterns, after ROUNDS rounds over
-    the graph of patterns and instances."""
-    seeds = found.select(F.explode("base").alias("s")).select("s.kind", "s.context", F.lower("s.value").alias("value")).filter("context <> ''")
-    edges = written(seeds.groupBy("kind", "context", "value").agg(F.count("*").alias("n")), "edges")
-    near = edges.groupBy("context").agg(F.sum("n").alias("all_seeds"))
-    loose = (found.select(F.explode("tokens").alias("s")).select("s.context", F.lower("s.value").alias("value"))
-             .groupBy("context", "value").agg(F.count("*").alias("n")).join(near.select("context"), "context", "left_semi"))
-    loose = written(loose, "loose")
-    missed = loose.groupBy("context").agg(F.sum("n").alias("missed"))
-    volume = written(near.join(missed, "context", "left").select("context", (F.col("all_seeds") + F.coalesce("missed", F.lit(0))).alias("volume")), "volume")
-    known = edges.groupBy("kind", "context").agg(F.sum("n").alias("sure"), F.count("*").alias("instances"))
-    unsure = loose.join(known.select("kind", "context"), "context").filter(_suits(F.col("kind"), F.col("value")))  # instances to be scored
-    pattern = None
-    for _ in range(ROUNDS):
-        if pattern is None:
-            mass = known.withColumn("mass", F.col("sure").cast("double"))
-        else:
-            weight = (unsure.join(pattern, ["kind", "context"]).groupBy("kind", "value")
-                      .agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))))).alias("weight")))
-            more = unsure.join(weight, ["kind", "value"]).groupBy("kind", "context").agg(F.sum(F.col("n") * F.col("weight")).alias("more"))
-            mass = known.join(more, ["kind", "context"], "left").withColumn("mass", F.col("sure") + F.coalesce("more", F.lit(0.0)))
-        pattern = written(mass.join(volume, "context").select("kind", "context", "instances", F.least(F.lit(1.0), F.col("mass") / F.col("volume")).alias("score")), "patterns")
-    return pattern
+    the graph of patterns and instances.  Rounds after the first weigh the tokens
+    by the patterns before them; a token after a trusted pattern is an accepted
+    instance, and every context it stands in becomes a pattern of its kind."""
+    lowered = [F.col("s.context").alias("context"), F.lower("s.value").alias("value")]
+    seeds = found.select(F.explode("base").alias("s")).select("s.kind", *lowered).filter("context <> ''")
+    tokens = found.select(F.explode("tokens").alias("s")).select(*lowered).filter("context <> ''")
+    sure = written(seeds.groupBy("kind", "context", "value").agg(F.count("*").alias("n"))
+                   .groupBy("kind", "context").agg(F.sum("n").alias("sure"), F.count("*").alias("instances")), "edges")
+    kinds = F.filter(F.array(*(F.lit(k) for k in range(len(KINDS)))), lambda k: _suits(k, F.col("value")))
+    loose = written(tokens.select(F.explode(kinds).alias("kind"), "context", "value").groupBy("kind", "context", "value").agg(F.count("*").alias("n")), "loose")
+    volume = written(seeds.select("context").union(tokens.select("context")).groupBy("context").agg(F.count("*").alias("volume")), "volume")
+    mass = sure.select("kind", "context", "instances", F.col("sure").cast("double").alias("mass"))
+    for last in range(ROUNDS):
+        scored = mass.join(volume, "context").select("kind", "context", "instances", F.least(F.lit(1.0), F.col("mass") / F.col("volume")).alias("score"))
+        pattern = written(scored, "patterns")
+        if last == ROUNDS - 1:
+            return pattern
+        doubt = F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999))))
+        weight = (loose.join(pattern, ["kind", "context"]).groupBy("kind", "value")
+                  .agg((1 - F.exp(doubt)).alias("weight"), F.max(_trusted()).alias("accepted")))
+        more = (loose.join(weight, ["kind", "value"]).groupBy("kind", "context")
+                .agg(F.sum(F.col("n") * F.col("weight")).alias("more"), F.count_if("accepted").alias("accepted")))
+        both = sure.join(more, ["kind", "context"], "full").filter("sure is not null or accepted > 0")
+        mass = both.select("kind", "context", (F.coalesce("instances", F.lit(0)) + F.coalesce("accepted", F.lit(0))).alias("instances"),
+                           (F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0.0))).alias("mass"))
 
 
 def new_spans(found: DataFrame) -> DataFrame:
     """(doc_id, row_id, added): spans that high-confidence patterns discover."""
-    good = score_patterns(found).filter(f"score >= {LEAST_SCORE} and instances >= {LEAST_INSTANCES}").select(F.col("kind").alias("as_kind"), "context")
+    good = score_patterns(found).filter(_trusted()).select(F.col("kind").alias("as_kind"), "context")
     tokens = found.select("doc_id", "row_id", F.explode("tokens").alias("s")).select("doc_id", "row_id", "s.*").filter("context <> ''").drop("kind").distinct()
     hits = tokens.join(good, "context").filter(_suits(F.col("as_kind"), F.col("value")))
     span = F.struct(F.col("as_kind").alias("kind"), "first", "last")

@@ -233,6 +233,43 @@ def test_op6_base_and_discovered(spark):
     assert [(KINDS[s.kind], rows[10][1][s.first : s.last]) for s in out[102].base] == [("ip", "42.144.35.254"), ("card", "4539 1488 0343 6467"), ("phone", "+1 (988) 555-2485")]
 
 
+def test_op6_instances_make_new_patterns(spark):
+    """Numbers accepted after "call me" make "ring us" a pattern, which finds one that never follows a seed's words."""
+    base = [f"please call me +49 30 12345{k:02d} now" for k in range(24)]
+    bridge = [f"please call me 030-12345{k:02d} x" for k in range(4)] + [f"or ring us 030-12345{k:02d} x" for k in range(4)]
+    other = ["or ring us 030-9999999 x", "order of size 030-7777777 x"]
+    rows = list(enumerate(base + bridge + other))
+    out = {r.doc_id: [KINDS[s.kind] for s in r.spans] for r in personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [out[k] for k in range(33)] == [["phone"]] * 33 and out[33] == []
+    alone = {r.doc_id: len(r.spans) for r in personal_data(spark.createDataFrame(rows[:24] + rows[28:], "doc_id bigint, text string")).collect()}
+    assert not any(alone[k] for k in range(28, 34))  # without the bridge nothing leads to them
+
+
+def _plain_spans(text):
+    """The contract's base spans in plain Python."""
+    def luhn(d):
+        twice = [int(x) * 2 for x in d[-2::-2]]
+        return (sum(map(int, d[-1::-2])) + sum(x - 9 if x > 9 else x for x in twice)) % 10 == 0
+
+    rules = (
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda v: 13 <= len(re.sub("[^0-9]", "", v)) <= 19 and luhn(re.sub("[^0-9]", "", v))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(re.sub("[^0-9]", "", v)) <= 15),
+    )
+    return [(k, m.start(), m.end()) for k, (rule, good) in enumerate(rules) for m in re.finditer(rule, text) if good(m.group())]
+
+
+def test_op6_base_spans_of_all_kinds_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    pieces = ["a", "b.c", "@", ".", "+", "-", " ", "(", ")", "%", "é", "😀", "0", "10", "255", "256", "1.2.3.4", "4111 1111 1111 1111", "5500-0000-0000-0004", "+49 30 123456", "x@y.z", "7", "12345", "\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    got = personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: [tuple(s) for s in r.base] for r in got} == {k: _plain_spans(t) for k, t in enumerate(texts)}
+
+
 def test_op6_base_ips_with_any_parts(spark):
     parts = ["0", "00", "010", "255", "256"]
     texts = [f"at {a}.{b}.{c}.{d}, x" for a in parts for b in parts for c in parts for d in parts] + ["10.0.0.1 127.0.0.1", "0.0.0.0", "1.2.3", f"{'0' * 5000}.0.0.{'0' * 5000}256"]
