@@ -1,5 +1,5 @@
 """The language coder, the fingerprints and the whole pipeline against plain
-Python versions of their definitions."""
+Python versions of their definitions, odd rows and empty tables."""
 
 import collections
 import itertools
@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 
+import pytest
 import regex
 import xxhash
 
@@ -18,7 +19,10 @@ from carrylens.llm import queries as Q
 from carrylens.llm.op2_packing import END, LENGTH
 from carrylens.llm.op8_language import ORDER
 
-from test_operators import SF, _plain_spans, classes
+from test_operators import LONG, PASSAGE, ROWS, SF, _plain_spans, classes
+
+NAMES = "lang_pred int, score string, kept string, row_id string, component_id string, spans string, h_doc int, h_row int, place int, row string, next_text string"
+CLASH = (1, "s", "k", "r", "c", "sp", 2, 3, 4, "row", "nt")
 
 
 class PlainCoder:
@@ -192,3 +196,38 @@ def test_pipeline_is_the_plain_version_on_whole_tables(spark):
     want = plain_run(rows, benchmark)
     assert 0 < len(want) < len(rows)
     assert packed_texts(corpus_pipeline.run(spark, SF).collect()) == ids_of(want)
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """documents with nulls, repeated rows, long texts, every kind of personal data and names that the stages use themselves."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    rows = [(i, t, "en") for i, t in ROWS] + [
+        (20, "write to a@b.co or a@1.2.3.4 soon", "en"), (21, "card 4111 1111 1111 1111 and +49 30 123456", None), (22, "Benchmark Words, stand here", "en"), (23, "un texte en français", "fr"),
+        (24, "un texte en français", "fr"), (24, "un autre texte", "fr"), (None, "benchmark words stand", "en"), (None, None, None), (25, "4111", "en"), (26, LONG + " " + PASSAGE, "en"), (27, "日本語の文章です", "fr"),
+    ]
+    spark.createDataFrame([(i, t, lang, "src", len(t or ""), *CLASH) for i, t, lang in rows], f"doc_id bigint, text string, lang string, source string, n_chars int, {NAMES}").write.parquet(f"{path}/documents.parquet")
+    benchmark = [("1", "benchmark words STAND"), ("1", "benchmark words STAND"), ("2", None), (None, "un autre"), ("3", "")]
+    spark.createDataFrame(benchmark, "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path, rows, benchmark
+
+
+def test_pipeline_is_the_plain_version_on_odd_rows(spark, odd_tables):
+    path, rows, benchmark = odd_tables
+    assert packed_texts(corpus_pipeline.run(spark, path).collect()) == ids_of(plain_run(rows, benchmark))
+
+
+def test_pipeline_stages_keep_the_columns(spark, odd_tables):
+    path, _, _ = odd_tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema], name
+        assert all(tuple(r)[5:] == CLASH for r in out.collect()), name
+
+
+def test_pipeline_of_empty_tables(spark, odd_tables, tmp_path):
+    path, _, _ = odd_tables
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
