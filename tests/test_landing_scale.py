@@ -4,7 +4,9 @@ import datetime
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
+from carrylens.sources import landing
 from carrylens.sources import standins as S
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +52,16 @@ def test_partitioned_tables_are_landed_without_a_sort(spark, tables, monkeypatch
         want = getattr(S.StandIns(spark, path, land=False), name)
         assert got.count() and sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert seen == [S.OPEN_FILES] * 3 and spark.conf.get(key, None) == before  # lines, transfers, raw_logs
+
+
+def test_pages_are_small_and_compressed_and_their_logs_move_in_parts(spark, tmp_path):
+    import glob
+
+    lines = spark.range(100).select(F.to_json(F.struct(F.lit("0xA").alias("address"), F.array(F.col("id").cast("string")).alias("topics"), F.lit("0x").alias("data"), (F.col("id") % 40).alias("block_number"), F.lit(1).alias("log_index"))).alias("value")).coalesce(1)
+    landing.write_pages(lines, f"{tmp_path}/p1", rows=30)
+    landing.write_pages(lines.filter("value like '%7%'").select(F.left("value", F.lit(20)).alias("value")), f"{tmp_path}/p2")
+    assert len(glob.glob(f"{tmp_path}/p1/*.txt.gz")) == 4
+    pages = landing.read_json_logs(spark, f"{tmp_path}/p1", f"{tmp_path}/p2")
+    got, want = landing.landed_logs(pages, 5), landing.landed_logs(pages)
+    assert "hashpartitioning(block_number" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 5)" in plan
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 40
