@@ -1,13 +1,17 @@
 """Main text of pages by deducing each host's template.
 
-A page is a sequence of blocks of text, cut at the standard's block tags.  Its
-tokens are the block texts, each told apart by the container path it stands in.
-Tokens of one host that occur equally often on every page (equal occurrence
-vectors) form an equivalence class; a class that is frequent, and whose tokens
-keep one order on all pages, is valid.  The tokens of valid classes are the
-host's template text, which is left out outside article and main regions (a
-heading that half of a host's articles have is still the article's); what lies
-between is its slots.  Which slots are main text follows from fixed names: no container
+A page is a sequence of block tags and of the blocks of text between them.  Both
+are its tokens, each told apart by the container path it stands in.  Tokens of
+one host that occur equally often on every page (equal occurrence vectors) form
+an equivalence class.  The class of the tokens that every page has once is the
+host's page class; its tokens, or its tags alone, in the one order that they keep,
+cut each page into slots.  Another class that is frequent is nested where each of its tokens
+first stands in the same slot on all pages; tokens of one class in different
+slots are classes of their own.  A class is valid if its tokens keep one order on
+all pages; of one that doesn't, the tags and the texts are judged apart.  The texts
+of valid classes are the host's template text, which is left out outside article
+and main regions (a heading that half of a host's articles have is still the
+article's).  Which slots are main text follows from fixed names: no container
 around it is a menu, header, footer, sidebar, notice, advert, form, script,
 style or comment section, and, where the page has an article or main region,
 it lies in there; then only the containers inside the region count.
@@ -108,8 +112,9 @@ def walk(page: str | None) -> Iterator[tuple[str, str, tuple[str, ...]]]:
         yield kind, value, tuple(path)
 
 
-def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str]]:
-    """The block texts of a page, each with the path of its containers."""
+def pieces(page: str | None) -> Iterator[tuple[tuple[str, ...], str, bool]]:
+    """The block texts and start tags of a page in order, each with the path of
+    its containers and whether it is a tag."""
     block: list[str] = []
     here: tuple[str, ...] = ()
     silent: dict[tuple[str, ...], bool] = {}
@@ -125,16 +130,24 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str]]:
             block.append(" ")
         elif name in _BLOCKS:
             if text := " ".join(entities.unescape("".join(block)).split()):
-                yield here, text
+                yield here, text, False
             block.clear()
+            if kind == "start":
+                yield path, value, True
             here = (*path, value) if kind == "start" and name in _CONTAINERS else path
     if text := " ".join(entities.unescape("".join(block)).split()):
-        yield here, text
+        yield here, text, False
 
 
-def token_of(path: tuple[str, ...], text: str) -> int:
+def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str]]:
+    """The block texts of a page, each with the path of its containers."""
+    return ((path, text) for path, text, tag in pieces(page) if not tag)
+
+
+def token_of(path: tuple[str, ...], text: str, tag: bool = False) -> int:
+    """A token is odd if it is a tag's, even if it is a text's."""
     digest = hashlib.blake2b("/".join((*path, "#" + text)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return int.from_bytes(digest, "little", signed=True)
+    return int.from_bytes(digest, "little", signed=True) & ~1 | tag
 
 
 _TOKENS = "host string, page bigint, token bigint, n bigint, place bigint"
@@ -142,13 +155,18 @@ _PAGE = 0  # the token that every page has once
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text tokens of each page: how often and where first."""
+    """The tokens of each page: how often and where first."""
     for b in batches:
         cols: list[list] = [[] for _ in range(5)]
         for url, page, text in zip(*(b.column(c).to_pylist() for c in ("url", "page", "html"))):
             seen: dict[int, list[int]] = {_PAGE: [1, -1]}
-            for i, (path, words) in enumerate(blocks(text)):
-                seen.setdefault(token_of(path, words), [0, i])[0] += 1
+            known: dict[tuple, int] = {}  # tags repeat
+            for i, (path, words, tag) in enumerate(pieces(text)):
+                if not tag:
+                    token = token_of(path, words)
+                elif (token := known.get((path, words))) is None:
+                    token = known[path, words] = token_of(path, words, True)
+                seen.setdefault(token, [0, i])[0] += 1
             host = host_of(url)
             for token, (n, place) in seen.items():
                 for col, v in zip(cols, (host, page, token, n, place)):
@@ -157,20 +175,48 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "page", "token", "n", "place"])
 
 
+_CLASS = ["host", "support", "total", "vector"]  # a class: equal support, total and fingerprint of the occurrence vector
+_KINDS = {"whole": None, "tags": 1, "texts": 0}  # the lowest bit of their tokens
+
+
+def _ordered(placed: DataFrame, by: list[str]) -> DataFrame:
+    """Classes ``by`` with the kinds of their tokens that keep one order of
+    first places on all of the class's pages."""
+    pages = placed.groupBy(*by, "page").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("s"))
+    pages = pages.select(*by, *[F.xxhash64(F.transform(F.filter("s", lambda x: F.lit(bit is None) | (x["token"].bitwiseAND(F.lit(1)) == F.lit(bit or 0))), lambda x: x["token"])).alias(k) for k, bit in _KINDS.items()])
+    # a token that a page lacks makes a different sequence there; a page that lacks all of them is missing
+    same = pages.groupBy(*by).agg(F.count("*").alias("n"), *[(F.min(k) == F.max(k)).alias(k) for k in _KINDS])
+    return same.filter("n = support").drop("n")
+
+
+_KEPT = "whole or (token & 1 = 1 and tags) or (token & 1 = 0 and texts)"  # of a class in no one order, the tags and the texts are judged apart
+
+_CUTS = "whole or (token & 1 = 1 and tags) or (token & 1 = 0 and texts and not tags)"  # what cuts into slots has one order as a whole
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """pages (page, url, html) -> (host, template): the text tokens of a host's
     valid classes; pages with one ``page`` number are copies and count once."""
     tokens = written(pages.mapInArrow(_tokens, _TOKENS).distinct(), "tokens")
-    # a class: equal support, total and fingerprint of the occurrence vector
     vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
     vectors = written(vectors.filter(f"support >= {LEAST_PAGES}"), "vectors")
-    most = vectors.filter(f"token = {_PAGE}").select("host", F.col("support").alias("pages"))
-    vectors = vectors.filter(f"token <> {_PAGE}").join(most, "host").filter(f"support >= {FREQUENT} * pages").drop("pages")
-    # one order on all pages: the sequence of first places is the same everywhere
-    order = (tokens.join(vectors, ["host", "token"]).groupBy("host", "support", "total", "vector", "page")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda s: s["token"]).alias("sequence")))
-    valid = order.groupBy("host", "support", "total", "vector").agg(F.min(F.xxhash64("sequence")).alias("lo"), F.max(F.xxhash64("sequence")).alias("hi")).filter("lo = hi")
-    found = vectors.join(valid, ["host", "support", "total", "vector"])
+    # the page class is that of the token which every page has once
+    most = vectors.filter(f"token = {_PAGE}").select("host", F.col("support").alias("pages"), F.col("vector").alias("once"))
+    vectors = vectors.filter(f"token <> {_PAGE}").join(most, "host").filter(f"support >= {FREQUENT} * pages")
+    vectors = vectors.select(*_CLASS, "token", F.expr("support = pages and total = pages and vector = once").alias("root"))
+    placed = written(tokens.drop("n").join(vectors, ["host", "token"]), "placed")
+    # the page class's tokens cut each page into slots
+    roots = written(vectors.filter("root").join(_ordered(placed.filter("root"), _CLASS), _CLASS).filter(_CUTS).select("host", "token"), "roots")
+    root = placed.join(roots, ["host", "token"]).select("host", "page", "place")
+    cuts = root.groupBy("host", "page").agg(F.collect_list("place").alias("cuts"))
+    inner = placed.join(roots, ["host", "token"], "left_anti").join(cuts, ["host", "page"], "left")
+    inner = inner.withColumn("slot", F.expr("coalesce(size(filter(cuts, c -> c < place)), 0)")).drop("cuts", "root")
+    # nested: a token keeps to one slot on all pages
+    nested = inner.groupBy(*_CLASS, "token").agg(F.min("slot").alias("slot"), F.max("slot").alias("last")).filter("slot = last").drop("last")
+    by = [*_CLASS, "slot"]
+    inner = inner.drop("slot").join(nested, [*_CLASS, "token"])
+    valid = nested.join(_ordered(inner, by), by).filter(_KEPT).select("host", "token")
+    found = valid.union(roots).filter("token & 1 = 0")
     return written(found.groupBy("host").agg(F.collect_list("token").alias("template")), "templates")
 
 
