@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carrylens.plans.session import ensure_checkpoint_dir
@@ -137,15 +137,19 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on edges (u, v)."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = (both.join(least, "u").filter("v > u and v <> m")
-             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    joined = large.join(least, "u")
-    return (joined.select("u", F.col("m").alias("v"))
-            .union(joined.filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))).distinct())
+    """One large-star and one small-star step on edges (u, v), u > v.
+
+    Large-star: an edge's smaller end becomes that end's own least neighbour.
+    Small-star: a node keeps its least neighbour, and its others get that one.
+    Three shuffles a round: what the driver keeps of a round goes with its tasks.
+    A row makes one row at most, so repeats never add up; they go with the next
+    round's ``distinct`` or meet as one row where a node has a single neighbour."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+    # dealt by the key of the join, so neither the repeats nor the join move them again
+    once = edges.select("u", "v").repartition("v").distinct()
+    large = once.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+    small = large.withColumn("m", F.min("v").over(Window.partitionBy("u"))).distinct()
+    return small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:

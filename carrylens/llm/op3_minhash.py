@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = written(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     stars = members.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = written(confirm(likely(stars, signed), texts), "links")
-    mixed = _mixed(members, components(links))
+    near = components(links)
+    mixed = _mixed(members, near)
     candidates = texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = signed.join(_held(candidates), "doc_id").filter(f"100 * held >= {PERCENT} * n_shingles").select("doc_id", F.col("n_shingles").alias("s"), F.col("held").alias("h"), "bands")
     sizes = written(sizes, "held")
@@ -251,6 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = written(sizes.join(bits, "doc_id"), "bits")
     cross = _cross(mixed, sizes)
     cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    # the components found so far stand for their links: each member's edge to the smallest
+    links = near.filter("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
     if not cross.isEmpty():
         links = links.union(confirm(cross, texts))
     # equal sets are links too; they also tie the sets of rows that share a doc_id
